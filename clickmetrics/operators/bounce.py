@@ -22,11 +22,13 @@ from clickmetrics.functions.compat import ntz, pct, pct_scaled_first, week_start
 from clickmetrics.operators.prepare import DIRECT_SEARCH
 from clickmetrics.operators.sessions import SESSION, TS, URL, hits_per_session
 
-PAID = F.col("utm_content") != F.lit(DIRECT_SEARCH)
+def paid(label: str = DIRECT_SEARCH) -> Column:
+    """Hits or sessions of paid traffic: ``utm_content <> label`` (NULL content is neither)."""
+    return F.col("utm_content") != F.lit(label)
 
 
 def bounce_rate(sp: DataFrame, where: Column | None = None, digits: int = 2) -> DataFrame:
-    """M15 (``where=PAID``, 2 digits) / M23 (no filter, 0 digits): one-hit sessions
+    """M15 (``where=paid()``, 2 digits) / M23 (no filter, 0 digits): one-hit sessions
     divided by hits, times 100."""
     h = sp if where is None else sp.filter(where)
     per_session = h.groupBy(SESSION).agg(F.count(SESSION).alias("_n"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clickmetrics.operators import bounce, conversion, engagement, landing, traffic, visitors
 from clickmetrics.operators.prepare import clean_sessions, session_pageviews
 from clickmetrics.operators.sessions import next_later_time
-from clickmetrics.sources.events import load_from_events
+from clickmetrics.sources.events import load_from_events, web_tables_for
 from clickmetrics.sources.tables import WebTables
 
 # Fixed test-data parameters (the test clickstream covers 2024-01-01 .. 2024-01-30).
@@ -94,9 +94,15 @@ CATALOG: dict[str, Plan] = {
 }
 
 
-def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run catalog plan ``name`` on web tables derived from ``<sf_dir>/events.parquet``."""
-    return CATALOG[name](Prepared(load_from_events(spark, sf_dir)))
+def run(name: str, spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
+    """Run catalog plan ``name`` on web tables derived from ``<sf_dir>/events.parquet``.
+
+    By default the derived tables are written once (per application and
+    input version) and shared by all plans; ``materialized=False`` derives
+    them inside the plan itself.
+    """
+    raw = web_tables_for(spark, sf_dir) if materialized else load_from_events(spark, sf_dir)
+    return CATALOG[name](Prepared(raw))
 
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:

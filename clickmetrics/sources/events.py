@@ -10,10 +10,15 @@ SQL text for the independent DuckDB oracle.
 
 from __future__ import annotations
 
+import hashlib
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickmetrics.operators.sessionize import gap_sessions
+from clickmetrics.session import checkpoint_dir
 from clickmetrics.sources.tables import WebTables
 
 # Fixed adapter parameters and labels (our own test-data rules).
@@ -81,10 +86,51 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_from_events(spark: SparkSession, sf_dir: str) -> WebTables:
-    """Web tables derived from ``<sf_dir>/events.parquet``."""
+    """Web tables derived from ``<sf_dir>/events.parquet`` (lazy: recomputed by every plan using them)."""
     return web_tables_from_events(read_events(spark, sf_dir))
 
 
+_TABLE_NAMES = ("website_sessions", "website_pageviews", "orders", "order_items")
+_materialized: dict[tuple, WebTables] = {}
+
+
+def _input_signature(path: str) -> tuple:
+    """Identify an input by its files' names, sizes and modification times."""
+    p = Path(path)
+    files = [p] if p.is_file() else sorted(f for f in p.rglob("*") if f.is_file())
+    return tuple((str(f), f.stat().st_size, f.stat().st_mtime_ns) for f in files)
+
+
+def materialize_web_tables(spark: SparkSession, tables: WebTables, label: str) -> WebTables:
+    """Write the four web tables once under the shared checkpoint folder and read them back.
+
+    Sessionization needs every event of a user, so it cannot be filtered or
+    pruned per metric; writing its result once cuts that lineage: metrics
+    then scan Parquet with their own filters and columns, several branches
+    of one plan share the files instead of re-deriving sessions, and a lost
+    executor only re-reads files.
+    """
+    root = os.path.join(checkpoint_dir(spark), "web_tables", label)
+    frames = dict(zip(_TABLE_NAMES, (tables.sessions, tables.pageviews, tables.orders, tables.order_items)))
+    for name, df in frames.items():
+        df.write.mode("overwrite").parquet(os.path.join(root, name))
+    read = {name: spark.read.parquet(os.path.join(root, name)) for name in _TABLE_NAMES}
+    return WebTables(sessions=read["website_sessions"], pageviews=read["website_pageviews"],
+                     orders=read["orders"], order_items=read["order_items"])
+
+
+def web_tables_for(spark: SparkSession, sf_dir: str) -> WebTables:
+    """Materialized web tables for ``<sf_dir>/events.parquet``, derived once per
+    Spark application and input version, then reused by every metric."""
+    events_path = f"{sf_dir.rstrip('/')}/events.parquet"
+    key = (spark.sparkContext.applicationId, checkpoint_dir(spark), os.path.abspath(events_path),
+           _input_signature(events_path))
+    if key not in _materialized:
+        label = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
+        _materialized[key] = materialize_web_tables(spark, load_from_events(spark, sf_dir), label)
+    return _materialized[key]
+
+
 # The same rules as SQL text (DuckDB dialect), used only by the oracle.  It
 # defines raw tables `website_sessions`, `website_pageviews`, `web_orders`,
 # `order_items`, cleaned sessions `ws` and the derived table `sp`.  It uses the

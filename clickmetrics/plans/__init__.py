@@ -1,0 +1 @@
+"""Named analyses (one per reference statement) and their SQL oracle."""

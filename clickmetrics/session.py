@@ -52,3 +52,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
+
+
+def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20, broadcast_bytes: int = 64 << 20) -> dict:
+    """Shuffle and scan sizing for an input of ``input_bytes`` (e.g. 100 TB of events).
+
+    * one shuffle partition per ``partition_bytes`` of input (AQE then merges
+      partitions that turn out small, towards the same advisory size), so a
+      reduce task holds a bounded slice whatever the scale;
+    * scans split files into ``partition_bytes`` pieces;
+    * runtime broadcast only for join sides *measured* below
+      ``broadcast_bytes``; anything larger stays a shuffle join;
+    * skewed join partitions (5x the median and above the advisory size) are
+      split by AQE.
+    """
+    parts = max(200, -(-int(input_bytes) // int(partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(broadcast_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(broadcast_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    }

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+None of the reference's statements uses a stream, watermark, window-over-time
+or state construct; every analysis is a batch query over whole tables.  The
+operators in :mod:`clickmetrics.operators` are plain DataFrame functions, so
+they also apply to a micro-batch DataFrame inside ``foreachBatch``, but no
+streaming-only operator is added here.
+"""

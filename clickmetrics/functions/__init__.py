@@ -8,6 +8,7 @@ from clickmetrics.functions.compat import (
     ntz,
     pct,
     pct_scaled_first,
+    round_half_away,
     safe_ratio,
     soundex_difference,
     time_bucket,
@@ -16,5 +17,5 @@ from clickmetrics.functions.compat import (
 
 __all__ = [
     "boundary_diff", "epoch_micros", "int_avg", "label_marker", "ntz", "pct",
-    "pct_scaled_first", "safe_ratio", "soundex_difference", "time_bucket", "week_start",
+    "pct_scaled_first", "round_half_away", "safe_ratio", "soundex_difference", "time_bucket", "week_start",
 ]

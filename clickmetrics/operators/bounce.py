@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickmetrics.functions.compat import ntz, pct, pct_scaled_first, week_start
+from clickmetrics.functions.compat import ntz, pct, pct_scaled_first, round_half_away, week_start
 from clickmetrics.operators.prepare import DIRECT_SEARCH
 from clickmetrics.operators.sessions import SESSION, TS, URL, hits_per_session
 
@@ -33,7 +33,7 @@ def bounce_rate(sp: DataFrame, where: Column | None = None, digits: int = 2) ->
     h = sp if where is None else sp.filter(where)
     per_session = h.groupBy(SESSION).agg(F.count(SESSION).alias("_n"))
     return per_session.agg(
-        F.round(pct(F.count(F.when(F.col("_n") == 1, F.lit(1))), F.sum("_n")), digits).alias("bounce_rate"))
+        round_half_away(pct(F.count(F.when(F.col("_n") == 1, F.lit(1))), F.sum("_n")), digits).alias("bounce_rate"))
 
 
 def bounce_by_page(sp: DataFrame, wp: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def bounce_by_page(sp: DataFrame, wp: DataFrame) -> DataFrame:
     bounced = (wp.select(SESSION, URL).join(single, SESSION, "inner")
                .groupBy(URL).agg(F.count(URL).alias("_b")))
     totals = sp.groupBy(URL).agg(F.count(URL).alias("_t"))
-    return totals.join(bounced, URL, "inner").select(URL, F.round(pct(F.col("_b"), F.col("_t")), 2).alias("bounce_rate"))
+    return totals.join(bounced, URL, "inner").select(URL, round_half_away(pct(F.col("_b"), F.col("_t")), 2).alias("bounce_rate"))
 
 
 def _arm_counts(per_session: DataFrame, arms: dict[str, str]) -> DataFrame:

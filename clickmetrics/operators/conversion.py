@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickmetrics.functions.compat import ntz, pct, safe_ratio
+from clickmetrics.functions.compat import ntz, pct, round_half_away, safe_ratio
 from clickmetrics.operators.sessions import SESSION, TS, URL
 
 # The reference's funnel, as (step name, url, rate-column prefix).
@@ -75,5 +75,5 @@ def funnel(sp: DataFrame, steps: Sequence[tuple[str, str, str]] = REFERENCE_FUNN
     if not rates_only:
         cols += [F.col(f"{name}_page") for name, _, _ in steps[1:]]
     for (prev, _, _), (name, _, rate) in zip(steps, steps[1:]):
-        cols.append(F.round(pct(F.col(f"{name}_page"), F.col(f"{prev}_page")), 2).alias(f"{rate}_click_rate"))
+        cols.append(round_half_away(pct(F.col(f"{name}_page"), F.col(f"{prev}_page")), 2).alias(f"{rate}_click_rate"))
     return totals.select(*cols)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickmetrics.functions.compat import boundary_diff, int_avg
+from clickmetrics.functions.compat import boundary_diff, int_avg, round_half_away
 from clickmetrics.operators.sessions import SESSION, TS, URL, entry_hits, next_later_time
 
 
@@ -31,7 +31,7 @@ def time_on_page(wp: DataFrame) -> DataFrame:
     h = h.select(URL, boundary_diff("SECOND", TS, "next_ts").alias("_secs"))
     per_url = h.groupBy(URL).agg((F.sum("_secs").cast("double") / F.lit(60.0)).alias("_mins"),
                                  F.count(URL).alias("_n"))
-    return per_url.select(URL, F.round(F.try_divide(F.col("_mins"), F.col("_n").cast("double")), 1)
+    return per_url.select(URL, round_half_away(F.try_divide(F.col("_mins"), F.col("_n").cast("double")), 1)
                           .alias("time_on_page_min"))
 
 

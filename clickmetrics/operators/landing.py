@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickmetrics.functions.compat import boundary_diff, int_avg, pct
+from clickmetrics.functions.compat import boundary_diff, int_avg, pct, round_half_away
 from clickmetrics.operators.prepare import DIRECT_SEARCH
 from clickmetrics.operators.sessions import SESSION, TS, URL, entry_hits, next_later_time
 
@@ -22,7 +22,7 @@ def landing_time(wp: DataFrame, ws: DataFrame, by: str | None = None, label: str
     h = wp.select(SESSION, TS, URL).join(paid, SESSION, "left_semi")
     e = entry_hits(next_later_time(h)).filter(F.col("next_ts").isNotNull())
     e = e.select(URL, boundary_diff("SECOND", TS, "next_ts").alias("_secs"))
-    value = F.round(int_avg("_secs").cast("double") / F.lit(60.0), 2).alias("avg_landing_min")
+    value = round_half_away(int_avg("_secs").cast("double") / F.lit(60.0), 2).alias("avg_landing_min")
     if by is None:
         return e.agg(value)
     return e.groupBy(F.col(by).alias(by)).agg(value)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickmetrics.functions.compat import round_half_away
 from clickmetrics.operators.prepare import DIRECT_SEARCH
 
 SESSION = "website_session_id"
@@ -46,7 +47,7 @@ def conversion_rate(o: DataFrame, ws: DataFrame) -> DataFrame:
     """
     sessions = ws.agg(F.countDistinct(SESSION).cast("double").alias("s"))
     rate = F.try_divide(F.countDistinct("order_id").cast("double"), sessions.scalar()) * F.lit(100.0)
-    return o.agg(F.round(rate, 2).alias("conversion_rate"))
+    return o.agg(round_half_away(rate, 2).alias("conversion_rate"))
 
 
 def _organic(col: str = "utm_content", label: str = DIRECT_SEARCH):

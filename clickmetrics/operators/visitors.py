@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickmetrics.functions.compat import soundex_difference
+from clickmetrics.functions.compat import round_half_away, soundex_difference
 from clickmetrics.operators.sessions import SESSION, USER, flag_first_visit
 
 
@@ -33,7 +33,7 @@ def revenue_by_visit_rank(ws: DataFrame, o: DataFrame, oi: DataFrame, which: str
     ranked = flag_first_visit(j).dropDuplicates([USER, SESSION, "order_item_id", "price_usd", "is_first"])
     keep = F.col("is_first") if which == "new" else ~F.col("is_first")
     name = "revenue_new_sessions" if which == "new" else "revenue_repeat_sessions"
-    return ranked.filter(keep).agg(F.round(F.sum("price_usd").cast("double"), 2).alias(name))
+    return ranked.filter(keep).agg(round_half_away(F.sum("price_usd").cast("double"), 2).alias(name))
 
 
 def new_vs_repeat(ws: DataFrame) -> DataFrame:

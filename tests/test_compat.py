@@ -6,7 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from clickmetrics.functions import boundary_diff, int_avg, ntz, pct, safe_ratio, soundex_difference, week_start
+from clickmetrics.functions import (boundary_diff, int_avg, ntz, pct, round_half_away, safe_ratio,
+                                    soundex_difference, week_start)
 from conftest import one
 
 
@@ -34,7 +35,15 @@ def test_week_start_is_time_zone_free(spark):
 
 
 def test_round_half_away_from_zero(spark):
-    assert one(spark.range(1).select(F.round(F.lit(2.675), 2), F.round(F.lit(0.125), 2))) == (2.68, 0.13)
+    got = one(spark.range(1).select(round_half_away(F.lit(2.675), 2), round_half_away(F.lit(0.125), 2),
+                                    round_half_away(F.lit(-0.125), 2), round_half_away(F.lit(2.5), 0)))
+    assert got == (2.68, 0.13, -0.13, 3.0)
+
+
+def test_round_uses_the_binary_value(spark):
+    # 1.005 is stored as 1.00499999...; Spark's text-based round would give 1.01.
+    assert one(spark.range(1).select(round_half_away(F.lit(1.005), 2), round_half_away(F.lit(105.52499999999999), 2))) \
+        == (1.0, 105.53)
 
 
 def test_integer_average_truncates(spark):

@@ -94,6 +94,13 @@ CATALOG: dict[str, Plan] = {
 }
 
 
+def run_on_events(name: str, events: DataFrame) -> DataFrame:
+    """Run catalog plan ``name`` on web tables derived (lazily) from an ``events`` DataFrame."""
+    from clickmetrics.sources.events import web_tables_from_events
+
+    return CATALOG[name](Prepared(web_tables_from_events(events)))
+
+
 def run(name: str, spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
     """Run catalog plan ``name`` on web tables derived from ``<sf_dir>/events.parquet``.
 

@@ -9,19 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 from clickmetrics.session import checkpoint_dir
 
 
+def use_database(spark: SparkSession, name: str) -> None:
+    """``CREATE DATABASE`` (if missing) and ``USE`` it for later catalog tables."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+    spark.catalog.setCurrentDatabase(name)
+
+
+def browse(df: DataFrame, n: int = 20) -> DataFrame:
+    """``SELECT *`` for a look at a table: the first ``n`` rows (display only, not a metric)."""
+    return df.limit(n)
+
+
 def save_table(df: DataFrame, path: str | None = None, name: str | None = None,
                fmt: str = "parquet", partition_by: list[str] | None = None,
                bucket_by: tuple[int, str] | None = None) -> None:
     """Write ``df`` once so later statements read it instead of recomputing it.
 
-    ``path`` writes files (Parquet by default); ``name`` saves a catalog table,
-    optionally bucketed by a key (e.g. the session id) so that later joins and
-    aggregates on that key read co-located buckets without a shuffle.
+    ``path`` writes files (Parquet by default); ``name`` saves a catalog table
+    (stored at ``path`` when both are given), optionally bucketed by a key so
+    later joins and aggregates on that key read co-located buckets without a
+    shuffle.  Bucket only on keys without heavy hitters: a hot key's bucket is
+    read by a single task.
     """
     w = df.write.mode("overwrite").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if name is not None:
+        if path is not None:
+            w = w.option("path", path)
         if bucket_by is not None:
             n, key = bucket_by
             w = w.bucketBy(n, key).sortBy(key)

@@ -10,7 +10,7 @@ import pytest
 from clickmetrics.operators import traffic
 from clickmetrics.operators.prepare import clean_sessions
 from clickmetrics.session import checkpoint_dir, cluster_conf
-from clickmetrics.sources import load_web_tables, materialize, read_table, save_table
+from clickmetrics.sources import browse, load_web_tables, materialize, read_table, save_table, use_database
 from clickmetrics.sources.schema import SchemaError, check_columns, WEBSITE_PAGEVIEWS
 from conftest import one
 
@@ -56,3 +56,16 @@ def test_cluster_conf_scales_with_input():
     small, big = cluster_conf(10 << 30), cluster_conf(100 << 40)
     assert int(small["spark.sql.shuffle.partitions"]) == 200
     assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+
+
+def test_database_and_select_into(spark, prepared):
+    use_database(spark, "digital_analysis_test")
+    try:
+        path = os.path.join(_scratch(spark), "session_and_pageview")
+        save_table(prepared.sp, path=path, name="session_and_pageview")
+        back = spark.table("digital_analysis_test.session_and_pageview")
+        assert back.count() == 23
+        assert back.columns == prepared.sp.columns
+        assert browse(back, 5).count() == 5
+    finally:
+        spark.catalog.setCurrentDatabase("default")

@@ -3,7 +3,7 @@
 A bounce is a one-hit session.  The reference divides by different
 denominators in different statements; each function keeps its own:
 
-* M15 / M23 :func:`bounce_rate`: one-hit sessions / *hits*;
+* M15 / M23 :func:`bounce_rate`: one-hit sessions / *hits* (of known sessions);
 * M24 :func:`bounce_by_page`: one-hit sessions on a page / the page's hits;
 * M25-M27: one-hit sessions having the page / sessions having the page
   (where "having" means *any* hit of the session, not only its first).
@@ -27,24 +27,36 @@ def paid(label: str = DIRECT_SEARCH) -> Column:
     return F.col("utm_content") != F.lit(label)
 
 
-def bounce_rate(sp: DataFrame, where: Column | None = None, digits: int = 2) -> DataFrame:
-    """M15 (``where=paid()``, 2 digits) / M23 (no filter, 0 digits): one-hit sessions
-    divided by hits, times 100."""
-    h = sp if where is None else sp.filter(where)
-    per_session = h.groupBy(SESSION).agg(F.count(SESSION).alias("_n"))
+def bounce_rate(wp: DataFrame, ws: DataFrame, where: Column | None = None, digits: int = 2) -> DataFrame:
+    """M15 (``where=paid()``, 2 digits) / M23 (no filter, 0 digits) over the derived
+    table: one-hit sessions divided by *hits*, times 100.
+
+    ``where`` is a predicate on session attributes; hits are counted per
+    session before they meet the (filtered) sessions table.
+    """
+    sessions = ws if where is None else ws.filter(where)
+    per_session = (hits_per_session(wp, SESSION, "_n")
+                   .join(sessions.select(SESSION), SESSION, "left_semi"))
     return per_session.agg(
         round_half_away(pct(F.count(F.when(F.col("_n") == 1, F.lit(1))), F.sum("_n")), digits).alias("bounce_rate"))
 
 
-def bounce_by_page(sp: DataFrame, wp: DataFrame) -> DataFrame:
-    """Per url, hits of one-hit sessions (found in ``sp``, pages taken from
-    ``wp``) / the url's hits in ``sp``, times 100, rounded to 2.  Urls without
-    any bounce are absent (inner join), as in the reference."""
-    single = sp.groupBy(SESSION).agg(F.count(SESSION).alias("_n")).filter(F.col("_n") == 1).select(SESSION)
-    bounced = (wp.select(SESSION, URL).join(single, SESSION, "inner")
-               .groupBy(URL).agg(F.count(URL).alias("_b")))
-    totals = sp.groupBy(URL).agg(F.count(URL).alias("_t"))
-    return totals.join(bounced, URL, "inner").select(URL, round_half_away(pct(F.col("_b"), F.col("_t")), 2).alias("bounce_rate"))
+def bounce_by_page(wp: DataFrame, ws: DataFrame) -> DataFrame:
+    """Per url, hits of one-hit sessions / the url's hits (both over hits of
+    known sessions), times 100, rounded to 2.  Urls without any bounce are
+    absent (inner join), as in the reference.
+
+    Hits are first counted per (session, url), map-side combined, so every
+    later join is between aggregates.
+    """
+    su = (wp.groupBy(SESSION, URL).agg(F.count(F.lit(1)).alias("_h"))
+          .join(ws.select(SESSION), SESSION, "left_semi"))
+    single = su.groupBy(SESSION).agg(F.sum("_h").alias("_n")).filter(F.col("_n") == 1).select(SESSION)
+    named = su.where(F.col(URL).isNotNull())
+    bounced = named.join(single, SESSION, "left_semi").groupBy(URL).agg(F.sum("_h").alias("_b"))
+    totals = named.groupBy(URL).agg(F.sum("_h").alias("_t"))
+    return totals.join(bounced, URL, "inner").select(
+        URL, round_half_away(pct(F.col("_b"), F.col("_t")), 2).alias("bounce_rate"))
 
 
 def _arm_counts(per_session: DataFrame, arms: dict[str, str]) -> DataFrame:
@@ -77,12 +89,16 @@ def page_bounce(wp: DataFrame, page: str = "/home", label: str = "Home") -> Data
 def page_ab_test(wp: DataFrame, ws: DataFrame, pages: dict[str, str] | None = None,
                  source: str = "gsearch", campaign: str = "nonbrand") -> DataFrame:
     """Landing-page test, one row per arm: campaign sessions having the arm's
-    page, those with a single hit (counted over *all* their hits), and the rate."""
+    page, those with a single hit (counted over *all* their hits), and the rate.
+
+    Hits are reduced to one row of flags per session before the campaign
+    filter (a semi-join of two session-keyed aggregates).
+    """
     pages = pages or {"Home": "/home", "Lander-1": "/lander-1"}
     campaign_sessions = ws.filter((F.col("utm_source") == source) & (F.col("utm_campaign") == campaign)).select(SESSION)
-    hits = wp.join(campaign_sessions, SESSION, "left_semi")
     flags = [F.max((F.col(URL) == F.lit(url)).cast("int")).alias(f"_f{i}") for i, url in enumerate(pages.values())]
-    per_session = hits.groupBy(SESSION).agg(F.count("website_pageview_id").alias("_n"), *flags)
+    per_session = (wp.groupBy(SESSION).agg(F.count("website_pageview_id").alias("_n"), *flags)
+                   .join(campaign_sessions, SESSION, "left_semi"))
     per_session = per_session.select("_n", *[(F.col(f"_f{i}") == 1).alias(f"_has{i}") for i in range(len(pages))])
     return _arm_counts(per_session, pages)
 
@@ -92,24 +108,22 @@ def weekly_page_trend(wp: DataFrame, ws: DataFrame, pages: tuple[str, ...] = ("/
                       start: str = "2012-06-01", end: str = "2012-08-31") -> DataFrame:
     """Weekly campaign traffic per page with bounce rate.
 
-    Hits are filtered to the campaign and to ``start <= created_at <= end``
-    (inclusive; text dates mean midnight) *before* counting hits per session,
-    so a session crossing the range edge counts only its hits inside.
-    Weeks start on Monday, Sundays belonging to the next week.
+    Hits are filtered to ``start <= created_at <= end`` (inclusive; text dates
+    mean midnight) *before* counting hits per session, so a session crossing
+    the range edge counts only its hits inside.  Weeks start on Monday,
+    Sundays belonging to the next week.  Hits become (session) counts and
+    distinct (week, page, session) rows before any join, so a large session
+    adds a handful of rows, not its hits.
     """
     campaign_sessions = ws.filter((F.col("utm_campaign") == campaign) & (F.col("utm_source") == source)).select(SESSION)
-    h = (wp.filter(F.col(TS).between(ntz(start), ntz(end)))
-         .join(campaign_sessions, SESSION, "left_semi")
-         .select(SESSION, TS, URL))
-    counts = hits_per_session(h, name="_page_count")
-    on_pages = h.filter(F.col(URL).isin(list(pages))).select(
-        SESSION, URL, week_start(TS).alias("week_start_date"))
-    # One row per (week, page, session), then plain counts: no multi-distinct Expand.
-    per = (on_pages.join(counts, SESSION, "inner")
-           .groupBy("week_start_date", URL, SESSION).agg(F.max("_page_count").alias("_pc")))
+    h = wp.filter(F.col(TS).between(ntz(start), ntz(end))).select(SESSION, TS, URL)
+    counts = hits_per_session(h, name="_page_count").join(campaign_sessions, SESSION, "left_semi")
+    on_pages = (h.filter(F.col(URL).isin(list(pages)))
+                .select(SESSION, URL, week_start(TS).alias("week_start_date")).distinct())
+    per = on_pages.join(counts, SESSION, "inner")
     out = per.groupBy("week_start_date", URL).agg(
         F.count(SESSION).alias("total_sessions"),
-        F.count(F.when(F.col("_pc") == 1, F.col(SESSION))).alias("bounced_sessions"),
+        F.count(F.when(F.col("_page_count") == 1, F.col(SESSION))).alias("bounced_sessions"),
     )
     return (out.select("week_start_date", F.col(URL).alias("entry_page"), "total_sessions", "bounced_sessions",
                        pct_scaled_first(F.col("bounced_sessions"), F.col("total_sessions")).alias("bounce_rate"))

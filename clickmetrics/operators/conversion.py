@@ -46,21 +46,22 @@ def page_order_rate(wp: DataFrame, o: DataFrame, pages: Sequence[str] = ("/billi
         safe_ratio(orders, F.col("total_page_views")).alias("conversion_rate"))
 
 
-def funnel(sp: DataFrame, steps: Sequence[tuple[str, str, str]] = REFERENCE_FUNNEL,
+def funnel(wp: DataFrame, ws: DataFrame, steps: Sequence[tuple[str, str, str]] = REFERENCE_FUNNEL,
            source: str = "gsearch", campaign: str = "nonbrand",
            start: str = "2012-08-05", end: str = "2012-09-05", rates_only: bool = False) -> DataFrame:
-    """M31 / M32 (``rates_only``): set-membership funnel.
+    """M31 / M32 (``rates_only``): set-membership funnel over the derived table.
 
-    Per session (campaign hits with ``start <= created_at <= end``) a 0/1 flag
-    per step page; a session reaches step i if it has steps 0..i (in any
-    order).  Outputs ``total_sessions``, ``<step>_page`` for steps after the
-    first, and ``<rate>_click_rate`` = reached(i) / reached(i-1) * 100,
-    rounded to 2 (NULL when the previous step has no session).
+    Per session (campaign sessions, hits with ``start <= created_at <= end``)
+    a 0/1 flag per step page; a session reaches step i if it has steps 0..i
+    (in any order).  Outputs ``total_sessions``, ``<step>_page`` for steps
+    after the first, and ``<rate>_click_rate`` = reached(i) / reached(i-1) *
+    100, rounded to 2 (NULL when the previous step has no session).  Hits
+    become one row of flags per session before the campaign filter.
     """
-    h = sp.filter((F.col("utm_source") == source) & (F.col("utm_campaign") == campaign)
-                  & F.col(TS).between(ntz(start), ntz(end)))
+    campaign_sessions = ws.filter((F.col("utm_source") == source) & (F.col("utm_campaign") == campaign)).select(SESSION)
+    h = wp.filter(F.col(TS).between(ntz(start), ntz(end)))
     flags = [F.max(F.when(F.col(URL) == F.lit(url), 1).otherwise(0)).alias(name) for name, url, _ in steps]
-    per_session = h.groupBy(SESSION).agg(*flags)
+    per_session = h.groupBy(SESSION).agg(*flags).join(campaign_sessions, SESSION, "left_semi")
 
     reached = []
     prior = None

@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickmetrics.functions.compat import boundary_diff, int_avg, round_half_away
-from clickmetrics.operators.sessions import SESSION, TS, URL, entry_hits, next_later_time
+from clickmetrics.operators.sessions import SESSION, TS, URL, entry_hits, hits_at_time, next_times
 
 
-def avg_session_minutes(sp: DataFrame) -> DataFrame:
-    """Per session ``DATEDIFF(MINUTE, MIN(t), MAX(t))`` (boundaries crossed),
-    then the integer average over sessions; one-hit sessions count 0."""
-    per_session = sp.groupBy(SESSION).agg(F.min(TS).alias("_s"), F.max(TS).alias("_e"))
+def avg_session_minutes(wp: DataFrame, ws: DataFrame) -> DataFrame:
+    """M04 over the derived table (hits of known sessions): per session
+    ``DATEDIFF(MINUTE, MIN(t), MAX(t))`` (boundaries crossed), then the integer
+    average over sessions; one-hit sessions count 0.
+
+    Hits are reduced to one row per session before meeting the sessions table.
+    """
+    per_session = wp.groupBy(SESSION).agg(F.min(TS).alias("_s"), F.max(TS).alias("_e"))
+    per_session = per_session.join(ws.select(SESSION), SESSION, "left_semi")
     per_session = per_session.select(boundary_diff("MINUTE", "_s", "_e").alias("_m"))
     return per_session.agg(int_avg("_m").alias("avg_session_minutes"))
 
@@ -26,11 +31,16 @@ def pages_per_session(wp: DataFrame) -> DataFrame:
 def time_on_page(wp: DataFrame) -> DataFrame:
     """Seconds from each hit to the session's next strictly later hit
     (boundary seconds), summed per url, / 60.0, divided by *all* hits of the
-    url (exits included), rounded to 1.  A url with only exits gives NULL."""
-    h = next_later_time(wp.select(SESSION, TS, URL))
-    h = h.select(URL, boundary_diff("SECOND", TS, "next_ts").alias("_secs"))
-    per_url = h.groupBy(URL).agg((F.sum("_secs").cast("double") / F.lit(60.0)).alias("_mins"),
-                                 F.count(URL).alias("_n"))
+    url (exits included), rounded to 1.  A url with only exits gives NULL.
+
+    Hits are counted per (session, time, url) first; the next time is joined
+    to those counts, so copies of one hit never pile up in one task.
+    """
+    h = hits_at_time(wp, URL).join(next_times(wp), [SESSION, TS], "left")
+    secs = boundary_diff("SECOND", TS, "next_ts")
+    named = F.when(F.col(URL).isNotNull(), F.col("_c")).otherwise(F.lit(0))
+    per_url = h.groupBy(URL).agg((F.sum(secs * F.col("_c")).cast("double") / F.lit(60.0)).alias("_mins"),
+                                 F.sum(named).alias("_n"))
     return per_url.select(URL, round_half_away(F.try_divide(F.col("_mins"), F.col("_n").cast("double")), 1)
                           .alias("time_on_page_min"))
 
@@ -43,5 +53,6 @@ def top_pages(wp: DataFrame, n: int | None = None) -> DataFrame:
 
 def entry_pages(wp: DataFrame) -> DataFrame:
     """First hit(s) of each session by time (ties kept), counted per url, most first."""
-    e = entry_hits(wp.select(SESSION, TS, URL))
-    return e.groupBy(URL).agg(F.count(URL).alias("count")).orderBy(F.desc("count"), F.asc(URL))
+    e = entry_hits(hits_at_time(wp, URL))
+    named = F.when(F.col(URL).isNotNull(), F.col("_c")).otherwise(F.lit(0))
+    return e.groupBy(URL).agg(F.sum(named).cast("long").alias("count")).orderBy(F.desc("count"), F.asc(URL))

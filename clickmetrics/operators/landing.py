@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickmetrics.functions.compat import boundary_diff, int_avg, pct, round_half_away
+from clickmetrics.functions.compat import boundary_diff, pct, round_half_away
 from clickmetrics.operators.prepare import DIRECT_SEARCH
-from clickmetrics.operators.sessions import SESSION, TS, URL, entry_hits, next_later_time
+from clickmetrics.operators.sessions import SESSION, TS, URL, entry_hits, hits_at_time, next_times
 
 GOAL_PAGE = "/thank-you-for-your-order"
 
@@ -17,12 +17,18 @@ def landing_time(wp: DataFrame, ws: DataFrame, by: str | None = None, label: str
     session's first hit(s) to its next strictly later hit, as an integer
     average, then / 60.0 and rounded to 2.  Entry hits without a next hit
     are left out.
+
+    Paid-ness is a session attribute, so first hits and next times are found
+    over all hits (counted per (session, time, url) first) and only the
+    entry rows, a few per session, meet the paid sessions.
     """
     paid = ws.filter(F.col("utm_content") != F.lit(label)).select(SESSION)
-    h = wp.select(SESSION, TS, URL).join(paid, SESSION, "left_semi")
-    e = entry_hits(next_later_time(h)).filter(F.col("next_ts").isNotNull())
-    e = e.select(URL, boundary_diff("SECOND", TS, "next_ts").alias("_secs"))
-    value = round_half_away(int_avg("_secs").cast("double") / F.lit(60.0), 2).alias("avg_landing_min")
+    h = hits_at_time(wp, URL).join(next_times(wp), [SESSION, TS], "left")
+    e = (entry_hits(h).filter(F.col("next_ts").isNotNull())
+         .join(paid, SESSION, "left_semi")
+         .select(URL, "_c", boundary_diff("SECOND", TS, "next_ts").alias("_secs")))
+    avg = F.expr("sum(`_secs` * `_c`) div nullif(sum(`_c`), 0)")  # integer AVG over hits
+    value = round_half_away(avg.cast("double") / F.lit(60.0), 2).alias("avg_landing_min")
     if by is None:
         return e.agg(value)
     return e.groupBy(F.col(by).alias(by)).agg(value)
@@ -40,28 +46,30 @@ def page_scorecard(wp: DataFrame, ws: DataFrame, goal: str = GOAL_PAGE) -> DataF
       distinct sessions of the url, * 100 (the flag is summed at hit grain, as
       there, so it can exceed 100).
 
-    One shuffle by session yields all per-session facts, one by url the page
-    aggregates; the all-sessions total is a scalar subquery, not a join.
+    Hits are first reduced to one row per (session, url) (map-side); the
+    per-session facts come from those rows, and the url aggregate from their
+    join.  The all-sessions total is a scalar subquery, not a join.
     """
-    base = wp.select(SESSION, TS, URL).join(ws.select(SESSION, "user_id"), SESSION, "inner")
-    per_session = base.groupBy(SESSION).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max((F.col(URL) == F.lit(goal)).cast("int")).alias("_conv"),
-    ).select(SESSION, "_n", F.coalesce("_conv", F.lit(0)).alias("_conv"))
-    all_sessions = per_session.agg(F.count(SESSION).alias("_all")).scalar()
-    hits = base.join(per_session, SESSION, "inner")
-    single = (F.col("_n") == 1) & F.col(URL).isNotNull()
     minute_of_day = F.hour(TS) * 60 + F.minute(TS)
-    per_url = hits.select(URL, SESSION, "user_id", "_conv", single.alias("_single"), minute_of_day.alias("_mod")) \
-        .groupBy(URL).agg(
-            F.count("user_id").alias("view_count"),
-            int_avg("_mod").alias("avg_time_on_page"),
-            F.count(F.when(F.col("_single"), F.lit(1))).alias("single_page_sessions"),
-            F.sum("_conv").alias("_conversions"),
-            F.countDistinct(SESSION).alias("_sessions"),
-        )
-    # The reference joins the page aggregate back on url, which drops a NULL url.
-    return per_url.where(F.col(URL).isNotNull()).select(
+    su = (wp.groupBy(SESSION, URL).agg(F.count(F.lit(1)).alias("_h"),
+                                       F.sum(minute_of_day).alias("_mod_sum"),
+                                       F.count(minute_of_day).alias("_mod_n"))
+          .join(ws.select(SESSION, "user_id"), SESSION, "inner"))
+    per_session = su.groupBy(SESSION).agg(
+        F.sum("_h").alias("_n"),
+        F.coalesce(F.max((F.col(URL) == F.lit(goal)).cast("int")), F.lit(0)).alias("_conv"),
+    )
+    all_sessions = per_session.agg(F.count(SESSION).alias("_all")).scalar()
+    j = su.where(F.col(URL).isNotNull()).join(per_session, SESSION, "inner")
+    per_url = j.groupBy(URL).agg(
+        F.sum(F.when(F.col("user_id").isNotNull(), F.col("_h")).otherwise(F.lit(0))).alias("view_count"),
+        F.expr("sum(`_mod_sum`) div nullif(sum(`_mod_n`), 0)").alias("avg_time_on_page"),
+        F.sum(F.when(F.col("_n") == 1, F.col("_h")).otherwise(F.lit(0))).alias("single_page_sessions"),
+        F.sum(F.col("_h") * F.col("_conv")).alias("_conversions"),
+        F.count(SESSION).alias("_sessions"),
+    )
+    # A NULL url is dropped: the reference joins the page aggregate back on url.
+    return per_url.select(
         URL, "view_count", "avg_time_on_page", "single_page_sessions",
         pct(F.col("single_page_sessions"), all_sessions).alias("bounce_rate"),
         pct(F.col("_conversions"), F.col("_sessions")).alias("conversion_rate"),

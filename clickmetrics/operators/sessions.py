@@ -4,9 +4,10 @@ Design rule: no window may hold a whole session or a whole user, because one
 session or user can own a large share of all hits.  Per-group facts (hit
 count, first time, first session) are therefore computed with aggregates,
 which Spark combines map-side before the shuffle, and joined back on the key;
-AQE splits the join when a key is skewed.  The only ordered operation,
-:func:`next_later_time`, runs over distinct timestamps cut into bounded
-time buckets.
+hits are reduced (per session, per time, or per page) before such joins, so
+neither a large session nor a pile of identical copies reaches one task.
+The only ordered operation, :func:`next_times`, runs over distinct
+timestamps cut into bounded time buckets.
 """
 
 from __future__ import annotations
@@ -42,25 +43,25 @@ def with_session_hits(hits: DataFrame, name: str = "page_count") -> DataFrame:
 def entry_hits(hits: DataFrame) -> DataFrame:
     """Hits ranked first by time in their session (``DENSE_RANK() ... = 1``): ties are all kept.
 
-    As in the reference dialect, NULL times sort first, so a session having a
-    NULL-time hit has exactly those hits as entry hits.
+    The session's first time is an aggregate; hits are matched to it with an
+    equi-join on ``(session, time)``, so a large session is spread over tasks
+    by time instead of landing in one.  As in the reference dialect, NULL
+    times sort first: a session having a NULL-time hit has exactly those hits
+    as entry hits.
     """
     first = hits.groupBy(SESSION).agg(
         F.min(TS).alias("_first_ts"),
         F.max(F.col(TS).isNull().cast("int")).alias("_has_null"),
     )
-    j = hits.join(first, SESSION, "inner")
-    keep = F.when(F.col("_has_null") == 1, F.col(TS).isNull()).otherwise(F.col(TS) == F.col("_first_ts"))
-    return j.filter(keep).drop("_first_ts", "_has_null")
+    firsts = first.where(F.col("_has_null") == 0).select(F.col(SESSION).alias("_fs"), F.col("_first_ts"))
+    at_first = hits.join(firsts, hits[SESSION].eqNullSafe(firsts["_fs"]) & (hits[TS] == firsts["_first_ts"]), "inner")
+    return at_first.drop("_fs", "_first_ts").unionByName(hits.where(F.col(TS).isNull()))
 
 
-def flag_first_visit(df: DataFrame, user: str = USER, order: str = SESSION, name: str = "is_first") -> DataFrame:
-    """Flag rows whose ``order`` value is the user's smallest: ``DENSE_RANK() OVER
-    (PARTITION BY user ORDER BY order) = 1``.  NULL users form one group, as there."""
-    firsts = df.groupBy(user).agg(F.min(order).alias("_first"))
-    firsts = firsts.select(F.col(user).alias("_fu"), "_first")
-    j = df.join(firsts, df[user].eqNullSafe(firsts["_fu"]), "inner")
-    return j.withColumn(name, F.col(order) == F.col("_first")).drop("_fu", "_first")
+def first_of_user(df: DataFrame, user: str = USER, order: str = SESSION) -> DataFrame:
+    """``(user, first)``: each user's smallest ``order`` value, i.e. the rows with
+    ``DENSE_RANK() OVER (PARTITION BY user ORDER BY order) = 1``.  NULL users form one group."""
+    return df.groupBy(user).agg(F.min(order).alias("_first"))
 
 
 # Bucket widths of the next-event search: seconds, then hours.  A group never
@@ -70,18 +71,16 @@ def flag_first_visit(df: DataFrame, user: str = USER, order: str = SESSION, name
 _NEXT_LEVELS_US = (1_000_000, 3_600_000_000)
 
 
-def next_later_time(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str = "next_ts") -> DataFrame:
-    """Add ``name``: the earliest ``ts`` of the same ``key`` that is *strictly later*.
-
-    Equal to the reference's self-join ``LEFT JOIN hits b ON a.key = b.key AND
-    a.ts < b.ts`` + ``MIN(b.ts)``, including ties (tied hits share the same
-    next time), without its quadratic pair list.  Hits with a NULL key or time
-    get NULL, as the join gives them no partner.
+def next_times(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str = "next_ts") -> DataFrame:
+    """``(key, ts, name)``, one row per distinct non-NULL ``(key, ts)``: the earliest
+    time of the same key that is *strictly later* (NULL for the last one).
 
-    Plan: distinct ``(key, ts)`` (map-side combined), then ``lead`` inside
-    one-second buckets; a hit that is last in its second takes the first time
-    of the next non-empty second of the same hour, else the first time of the
-    next non-empty hour.  Every window is bounded by the bucket width.
+    Plan: distinct ``(key, ts)`` (map-side combined, so copies collapse), then
+    ``lead`` inside one-second buckets; the last time of a second takes the
+    first time of the next non-empty second of the same hour, else the first
+    time of the next non-empty hour.  Every window group is bounded by its
+    bucket: 1e6 distinct microsecond times, 3,600 seconds, or the key's
+    non-empty hours.
     """
     l1, l2 = _NEXT_LEVELS_US
     d = (hits.select(key, ts).where(F.col(key).isNotNull() & F.col(ts).isNotNull())
@@ -100,7 +99,25 @@ def next_later_time(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str
     n2 = m2.withColumn("_n2", F.lead("_m2").over(Window.partitionBy(key).orderBy("_b2"))) \
            .select(key, "_b2", "_n2")
 
-    nxt = (n0.join(n1, [key, "_b1"], "left")
-             .join(n2, [key, "_b2"], "left")
-             .select(key, ts, F.coalesce("_n0", "_n1", "_n2").alias(name)))
-    return hits.join(nxt, [key, ts], "left")
+    return (n0.join(n1, [key, "_b1"], "left")
+              .join(n2, [key, "_b2"], "left")
+              .select(key, ts, F.coalesce("_n0", "_n1", "_n2").alias(name)))
+
+
+def next_later_time(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str = "next_ts") -> DataFrame:
+    """Add ``name`` to every hit: the earliest ``ts`` of the same ``key`` that is
+    *strictly later*.
+
+    Equal to the reference's self-join ``LEFT JOIN hits b ON a.key = b.key AND
+    a.ts < b.ts`` + ``MIN(b.ts)``, including ties (tied hits share the same
+    next time), without its quadratic pair list.  Hits with a NULL key or time
+    get NULL, as the join gives them no partner.  Metrics that only need
+    per-page sums should join :func:`next_times` to hits already counted per
+    ``(key, ts, page)`` instead, so identical copies never meet the join.
+    """
+    return hits.join(next_times(hits, key, ts, name), [key, ts], "left")
+
+
+def hits_at_time(hits: DataFrame, *cols: str) -> DataFrame:
+    """Hits counted per ``(session, time, *cols)`` (``_c``): identical copies become one row, map-side."""
+    return hits.groupBy(SESSION, TS, *cols).agg(F.count(F.lit(1)).alias("_c"))

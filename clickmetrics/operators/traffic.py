@@ -64,35 +64,45 @@ def organic_users(ws: DataFrame, label: str = DIRECT_SEARCH) -> DataFrame:
     return ws.filter(_organic(label=label)).agg(F.countDistinct("user_id").alias("organic_users"))
 
 
-def organic_reach(sp: DataFrame, label: str = DIRECT_SEARCH) -> DataFrame:
-    """Distinct users and sessions of organic hits in the derived table.
+def _sessions_with_hits(wp: DataFrame, ws: DataFrame, *cols: str) -> DataFrame:
+    """Sessions that have a hit, with their attributes: the session grain of the
+    derived table.  Hits are reduced per session (map-side) before the join."""
+    return wp.groupBy(SESSION).agg(F.count(F.lit(1)).alias("_n")).join(ws.select(SESSION, *cols), SESSION, "inner")
 
-    Sessions are reduced to one row first (user is a session attribute), so
-    the two distinct counts need a single distinct pass.
-    """
-    per_session = sp.filter(_organic(label=label)).select(SESSION, "user_id").distinct()
+
+def organic_reach(wp: DataFrame, ws: DataFrame, label: str = DIRECT_SEARCH) -> DataFrame:
+    """Distinct users and sessions of organic hits in the derived table."""
+    per_session = _sessions_with_hits(wp, ws, "user_id", "utm_content").filter(_organic(label=label))
     return per_session.agg(F.countDistinct("user_id").alias("organic_users"),
                            F.count(SESSION).alias("organic_sessions"))
 
 
-def organic_by_device(sp: DataFrame, top: int | None = None, label: str = DIRECT_SEARCH) -> DataFrame:
-    """Organic hits per device; ``top=k`` keeps the k largest (the comment asks for the maximum)."""
-    out = sp.filter(_organic(label=label)).groupBy("device_type").agg(F.count("device_type").alias("count"))
+def organic_by_device(wp: DataFrame, ws: DataFrame, top: int | None = None, label: str = DIRECT_SEARCH) -> DataFrame:
+    """Organic hits per device (``COUNT(device_type)``: a NULL device counts 0);
+    ``top=k`` keeps the k largest (the comment asks for the maximum)."""
+    per_session = _sessions_with_hits(wp, ws, "device_type", "utm_content").filter(_organic(label=label))
+    counted = F.when(F.col("device_type").isNotNull(), F.col("_n")).otherwise(F.lit(0))
+    out = per_session.groupBy("device_type").agg(F.sum(counted).cast("long").alias("count"))
     if top is not None:
         out = out.orderBy(F.desc("count"), F.asc("device_type")).limit(top)
     return out
 
 
-def session_reach(sp: DataFrame, label: str = DIRECT_SEARCH) -> DataFrame:
-    """Distinct non-organic sessions (``<>`` drops NULL content) and all sessions."""
-    per_session = sp.select(SESSION, "utm_content").distinct()
+def session_reach(wp: DataFrame, ws: DataFrame, label: str = DIRECT_SEARCH) -> DataFrame:
+    """Distinct non-organic sessions (``<>`` drops NULL content) and all
+    sessions, among sessions with a hit."""
+    per_session = _sessions_with_hits(wp, ws, "utm_content")
     return per_session.agg(
-        F.countDistinct(F.when(F.col("utm_content") != F.lit(label), F.col(SESSION))).alias("non_organic_sessions"),
-        F.countDistinct(SESSION).alias("all_sessions"),
+        F.count(F.when(F.col("utm_content") != F.lit(label), F.col(SESSION))).alias("non_organic_sessions"),
+        F.count(SESSION).alias("all_sessions"),
     )
 
 
 def paid_pages(wp: DataFrame, ws: DataFrame, label: str = DIRECT_SEARCH) -> DataFrame:
-    """Distinct urls of sessions whose ``utm_content`` is not the organic label."""
+    """Distinct urls of sessions whose ``utm_content`` is not the organic label.
+
+    Hits are reduced to distinct (session, url) pairs before the session filter.
+    """
     paid = ws.filter(F.col("utm_content") != F.lit(label)).select(SESSION)
-    return wp.join(paid, SESSION, "left_semi").select(F.col("pageview_url").alias("pages")).distinct()
+    pairs = wp.select(SESSION, "pageview_url").distinct().join(paid, SESSION, "left_semi")
+    return pairs.select(F.col("pageview_url").alias("pages")).distinct()

@@ -2,9 +2,10 @@
 
 "Rank" in the reference is ``DENSE_RANK() OVER (PARTITION BY user_id ORDER BY
 website_session_id)`` and is only ever tested for ``= 1`` or ``> 1``, i.e.
-"is this the user's smallest session id".  That is computed as a per-user
-``min`` (map-side combined) joined back, so a user owning a large share of
-sessions never lands in a single window partition.
+"is this the user's smallest session id".  That is a per-user ``min``
+(combined map-side); rows are matched to it by an equi-join on
+``(user, session)``, so a user owning a large share of sessions is spread
+over tasks by session instead of landing in one window partition.
 """
 
 from __future__ import annotations
@@ -13,36 +14,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickmetrics.functions.compat import round_half_away, soundex_difference
-from clickmetrics.operators.sessions import SESSION, USER, flag_first_visit
+from clickmetrics.operators.sessions import SESSION, USER, first_of_user
 
 
 def revenue_by_visit_rank(ws: DataFrame, o: DataFrame, oi: DataFrame, which: str = "new") -> DataFrame:
     """M05 (``which='new'``) / M06 (``'repeat'``): item revenue of the user's first
     *ordering* session, or of later ones.
 
-    Rank is taken after joining orders (so "first" means first session with an
-    order), over distinct (user, session, item, price) rows; the sum is cast to
-    double and rounded to 2.
+    Rank is taken after joining orders and items (so "first" means the first
+    session with an ordered item), over distinct (user, session, item, price)
+    rows; the sum is cast to double and rounded to 2.  Revenue is summed per
+    session before sessions meet users, so no raw row is shuffled by user.
+    ``website_session_id`` is the sessions key (one user per session).
     """
     if which not in ("new", "repeat"):
         raise ValueError("which must be 'new' or 'repeat'")
-    j = (ws.select(USER, SESSION)
-         .join(o.select("order_id", SESSION), SESSION, "inner")
-         .join(oi.select("order_id", "order_item_id", "price_usd"), "order_id", "inner")
-         .select(USER, SESSION, "order_item_id", "price_usd"))
-    ranked = flag_first_visit(j).dropDuplicates([USER, SESSION, "order_item_id", "price_usd", "is_first"])
-    keep = F.col("is_first") if which == "new" else ~F.col("is_first")
+    items = (o.select("order_id", SESSION)
+             .join(oi.select("order_id", "order_item_id", "price_usd"), "order_id", "inner")
+             .select(SESSION, "order_item_id", "price_usd").distinct())
+    per_session = items.groupBy(SESSION).agg(F.sum("price_usd").alias("_rev"))
+    per_session = per_session.join(ws.select(SESSION, USER), SESSION, "inner")
+    firsts = first_of_user(per_session).select(F.col(USER).alias("_fu"), "_first")
+    on_first = per_session[USER].eqNullSafe(firsts["_fu"]) & (per_session[SESSION] == firsts["_first"])
+    keep = per_session.join(firsts, on_first, "left_semi" if which == "new" else "left_anti")
     name = "revenue_new_sessions" if which == "new" else "revenue_repeat_sessions"
-    return ranked.filter(keep).agg(round_half_away(F.sum("price_usd").cast("double"), 2).alias(name))
+    return keep.agg(round_half_away(F.sum("_rev").cast("double"), 2).alias(name))
 
 
 def new_vs_repeat(ws: DataFrame) -> DataFrame:
-    """Distinct (user, session) pairs whose session is the user's first, and the rest."""
-    pairs = flag_first_visit(ws.select(USER, SESSION)).dropDuplicates([USER, SESSION, "is_first"])
-    return pairs.agg(
-        F.count(F.when(F.col("is_first"), F.col(SESSION))).alias("new_visitor"),
-        F.count(F.when(~F.col("is_first"), F.col(SESSION))).alias("repeat_visitor"),
-    )
+    """Distinct (user, session) pairs whose session is the user's first, and the rest.
+
+    Each user group (NULL users form one) has exactly one first session, so
+    ``new`` is the number of user groups and ``repeat`` the remaining pairs:
+    two aggregates, no join.
+    """
+    pairs = ws.select(USER, SESSION).where(F.col(SESSION).isNotNull()).distinct()
+    per_user = pairs.groupBy(USER).agg(F.count(F.lit(1)).alias("_n"))
+    return per_user.agg(F.count(F.lit(1)).alias("new_visitor"),
+                        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("repeat_visitor"))
 
 
 def repeat_by_flag(ws: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ CATALOG: dict[str, Plan] = {
     "m01_total_visits": lambda t: traffic.total_visits(t.ws),
     "m02_unique_visitors": lambda t: traffic.unique_visitors(t.ws),
     "m03_page_views": lambda t: traffic.page_views(t.wp),
-    "m04_avg_session_minutes": lambda t: engagement.avg_session_minutes(t.sp),
+    "m04_avg_session_minutes": lambda t: engagement.avg_session_minutes(t.wp, t.ws),
     "m05_revenue_new_sessions": lambda t: visitors.revenue_by_visit_rank(t.ws, t.o, t.oi, "new"),
     "m06_revenue_repeat_sessions": lambda t: visitors.revenue_by_visit_rank(t.ws, t.o, t.oi, "repeat"),
     "m07_visits_by_source": lambda t: traffic.visits_by(t.ws, "utm_source"),
@@ -69,25 +69,25 @@ CATALOG: dict[str, Plan] = {
     "m13_repeat_by_flag": lambda t: visitors.repeat_by_flag(t.ws),
     "m13_literal_difference": lambda t: visitors.repeat_by_flag_literal(t.ws),
     "m14_entry_pages": lambda t: engagement.entry_pages(t.wp),
-    "m15_paid_bounce_rate": lambda t: bounce.bounce_rate(t.sp, where=bounce.paid(), digits=2),
+    "m15_paid_bounce_rate": lambda t: bounce.bounce_rate(t.wp, t.ws, where=bounce.paid(), digits=2),
     "m16_landing_time": lambda t: landing.landing_time(t.wp, t.ws),
     "m17_landing_time_by_page": lambda t: landing.landing_time(t.wp, t.ws, by="pageview_url"),
     "m18_organic_sessions": lambda t: traffic.organic_sessions(t.ws),
     "m19_organic_users": lambda t: traffic.organic_users(t.ws),
-    "m20_organic_reach": lambda t: traffic.organic_reach(t.sp),
-    "m21_organic_by_device": lambda t: traffic.organic_by_device(t.sp),
-    "m21_top_organic_device": lambda t: traffic.organic_by_device(t.sp, top=1),
-    "m22_session_reach": lambda t: traffic.session_reach(t.sp),
-    "m23_bounce_rate": lambda t: bounce.bounce_rate(t.sp, digits=0),
-    "m24_bounce_by_page": lambda t: bounce.bounce_by_page(t.sp, t.wp),
+    "m20_organic_reach": lambda t: traffic.organic_reach(t.wp, t.ws),
+    "m21_organic_by_device": lambda t: traffic.organic_by_device(t.wp, t.ws),
+    "m21_top_organic_device": lambda t: traffic.organic_by_device(t.wp, t.ws, top=1),
+    "m22_session_reach": lambda t: traffic.session_reach(t.wp, t.ws),
+    "m23_bounce_rate": lambda t: bounce.bounce_rate(t.wp, t.ws, digits=0),
+    "m24_bounce_by_page": lambda t: bounce.bounce_by_page(t.wp, t.ws),
     "m25_home_bounce": lambda t: bounce.page_bounce(t.wp, "/home", "Home"),
     "m26_landing_ab_test": lambda t: bounce.page_ab_test(t.wp, t.ws),
     "m27_weekly_trend": lambda t: bounce.weekly_page_trend(t.wp, t.ws, start=TREND_START, end=TREND_END),
     "m28_page_scorecard": lambda t: landing.page_scorecard(t.wp, t.ws),
     "m29_billing_test": lambda t: conversion.page_order_rate(t.wp, t.o),
     "m30_billing_test_cutoff": lambda t: conversion.page_order_rate(t.wp, t.o, before=ORDER_CUTOFF),
-    "m31_funnel": lambda t: conversion.funnel(t.sp, TEST_FUNNEL, start=FUNNEL_START, end=FUNNEL_END),
-    "m32_funnel_rates": lambda t: conversion.funnel(t.sp, TEST_FUNNEL, start=FUNNEL_START, end=FUNNEL_END,
+    "m31_funnel": lambda t: conversion.funnel(t.wp, t.ws, TEST_FUNNEL, start=FUNNEL_START, end=FUNNEL_END),
+    "m32_funnel_rates": lambda t: conversion.funnel(t.wp, t.ws, TEST_FUNNEL, start=FUNNEL_START, end=FUNNEL_END,
                                                     rates_only=True),
     "m33_paid_pages": lambda t: traffic.paid_pages(t.wp, t.ws),
     "m34_first_session_per_user": lambda t: visitors.first_session_per_user(t.ws),

@@ -25,7 +25,7 @@ def test_m02_literal_and_intent(prepared):
 
 def test_m04_integer_average(prepared):
     # True mean is 0.8; the integer average truncates to 0.
-    assert one(engagement.avg_session_minutes(prepared.sp)) == (0,)
+    assert one(engagement.avg_session_minutes(prepared.wp, prepared.ws)) == (0,)
 
 
 def test_m05_m06_revenue_by_first_ordering_session(prepared):
@@ -80,8 +80,8 @@ def test_m14_entry_pages_keep_ties(prepared):
 
 
 def test_m15_m23_bounce_rate(prepared):
-    assert one(bounce.bounce_rate(prepared.sp, where=bounce.paid(), digits=2)) == (20.0,)
-    assert one(bounce.bounce_rate(prepared.sp, digits=0)) == (22.0,)
+    assert one(bounce.bounce_rate(prepared.wp, prepared.ws, where=bounce.paid(), digits=2)) == (20.0,)
+    assert one(bounce.bounce_rate(prepared.wp, prepared.ws, digits=0)) == (22.0,)
 
 
 def test_m16_m17_landing_time(prepared):
@@ -93,15 +93,15 @@ def test_m16_m17_landing_time(prepared):
 def test_m18_to_m22_organic(prepared):
     assert one(traffic.organic_sessions(prepared.ws)) == (1,)
     assert one(traffic.organic_users(prepared.ws)) == (1,)
-    assert one(traffic.organic_reach(prepared.sp)) == (1, 1)
-    assert rows(traffic.organic_by_device(prepared.sp)) == [("desktop", 1)]
-    assert rows(traffic.organic_by_device(prepared.sp, top=1)) == [("desktop", 1)]
+    assert one(traffic.organic_reach(prepared.wp, prepared.ws)) == (1, 1)
+    assert rows(traffic.organic_by_device(prepared.wp, prepared.ws)) == [("desktop", 1)]
+    assert rows(traffic.organic_by_device(prepared.wp, prepared.ws, top=1)) == [("desktop", 1)]
     # NULL content is neither organic nor non-organic.
-    assert one(traffic.session_reach(prepared.sp)) == (8, 10)
+    assert one(traffic.session_reach(prepared.wp, prepared.ws)) == (8, 10)
 
 
 def test_m24_bounce_by_page_drops_pages_without_bounce(prepared):
-    got = as_dict(bounce.bounce_by_page(prepared.sp, prepared.wp), "pageview_url", "bounce_rate")
+    got = as_dict(bounce.bounce_by_page(prepared.wp, prepared.ws), "pageview_url", "bounce_rate")
     assert got == {"/home": 60.0, "/lander-1": 40.0}
 
 
@@ -159,7 +159,7 @@ def test_m29_m30_billing(prepared):
 
 
 def test_m31_funnel(prepared):
-    out = conversion.funnel(prepared.sp, REFERENCE_FUNNEL, start="2012-08-05", end="2012-09-05")
+    out = conversion.funnel(prepared.wp, prepared.ws, REFERENCE_FUNNEL, start="2012-08-05", end="2012-09-05")
     assert out.columns == ["total_sessions", "product_page", "fuzzy_page", "cart_page", "shipping_page",
                            "billing_page", "thankyou_page", "products_click_rate", "fuzzy_click_rate",
                            "cart_click_rate", "shipping_click_rate", "billing_click_rate", "thankyou_click_rate"]
@@ -168,13 +168,13 @@ def test_m31_funnel(prepared):
 
 def test_m31_funnel_is_set_membership(prepared):
     # Session 2 has /billing without /cart, so it stops at fuzzy.
-    out = conversion.funnel(prepared.sp, REFERENCE_FUNNEL, start="2012-06-01", end="2012-09-05")
+    out = conversion.funnel(prepared.wp, prepared.ws, REFERENCE_FUNNEL, start="2012-06-01", end="2012-09-05")
     assert one(out.select("total_sessions", "product_page", "fuzzy_page", "cart_page", "shipping_page",
                           "billing_page", "thankyou_page")) == (6, 3, 2, 1, 1, 1, 1)
 
 
 def test_m32_funnel_rates_only(prepared):
-    out = conversion.funnel(prepared.sp, REFERENCE_FUNNEL, start="2012-08-05", end="2012-09-05", rates_only=True)
+    out = conversion.funnel(prepared.wp, prepared.ws, REFERENCE_FUNNEL, start="2012-08-05", end="2012-09-05", rates_only=True)
     assert out.columns == ["total_sessions", "products_click_rate", "fuzzy_click_rate", "cart_click_rate",
                            "shipping_click_rate", "billing_click_rate", "thankyou_click_rate"]
     assert one(out) == (4, 50.0, 50.0, 100.0, 100.0, 100.0, 100.0)

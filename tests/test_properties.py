@@ -23,7 +23,7 @@ def test_new_plus_repeat_is_all_pairs(spark):
 
 def test_funnel_counts_never_increase(spark):
     t = Prepared(load_from_events(spark, SF0001))
-    r = one(conversion.funnel(t.sp, TEST_FUNNEL, start="2024-01-01", end="2024-01-31"))
+    r = one(conversion.funnel(t.wp, t.ws, TEST_FUNNEL, start="2024-01-01", end="2024-01-31"))
     counts = list(r[1:len(TEST_FUNNEL)])
     assert all(a >= b for a, b in zip(counts, counts[1:]))
     assert r[0] >= counts[0]

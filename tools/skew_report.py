@@ -22,7 +22,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from clickmetrics.functions.compat import epoch_micros  # noqa: E402
 from clickmetrics.operators.sessionize import gap_sessions  # noqa: E402
-from clickmetrics.operators.sessions import next_later_time  # noqa: E402
+from clickmetrics.operators.sessions import next_later_time, with_session_hits  # noqa: E402
 from clickmetrics.sources.events import web_tables_from_events  # noqa: E402
 from clickmetrics.sources.sink import materialize  # noqa: E402
 from clickmetrics.session import get_spark  # noqa: E402
@@ -67,7 +67,12 @@ def main():
     log_dir = tempfile.mkdtemp(prefix="run-skew-")
     spark = get_spark("local[8]", 32, extra={
         "spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir, "spark.eventLog.compress": "false",
-        "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        # Test-sized thresholds so AQE's skew-join split shows at sf0.1 (defaults are 256 MB).
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"})
     ev = read_events(spark, sf_dir)
     hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
     sc = spark.sparkContext
@@ -87,6 +92,12 @@ def main():
         .write.format("noop").mode("overwrite").save()
     sc.setJobGroup("bucketed_next", "bucketed next hit")
     next_later_time(wp).write.format("noop").mode("overwrite").save()
+    # Per-session hit count attached to every hit (COUNT(*) OVER (PARTITION BY session)).
+    sc.setJobGroup("count_window", "textbook count over session")
+    wp.withColumn("page_count", F.count(F.lit(1)).over(Window.partitionBy("website_session_id"))) \
+        .write.format("noop").mode("overwrite").save()
+    sc.setJobGroup("count_join", "aggregate joined back")
+    with_session_hits(wp).write.format("noop").mode("overwrite").save()
     total = wp.count()
     spark.stop()
     print(json.dumps({
@@ -96,6 +107,8 @@ def main():
         "largest_session_share_of_hits": round(biggest / total, 4),
         "next_hit_largest_task_share_session_window": round(stage_shares(log_dir, "lead_window"), 4),
         "next_hit_largest_task_share_bucketed": round(stage_shares(log_dir, "bucketed_next"), 4),
+        "session_count_largest_task_share_window": round(stage_shares(log_dir, "count_window"), 4),
+        "session_count_largest_task_share_aggregate_join": round(stage_shares(log_dir, "count_join"), 4),
         "event_log": log_dir,
     }))
 

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F  # noqa: E402
 from clickmetrics.functions.compat import epoch_micros  # noqa: E402
 from clickmetrics.operators.sessionize import gap_sessions  # noqa: E402
 from clickmetrics.operators.sessions import next_later_time, with_session_hits  # noqa: E402
-from clickmetrics.sources.events import web_tables_from_events  # noqa: E402
+from clickmetrics.plans.catalog import CATALOG, Prepared  # noqa: E402
+from clickmetrics.sources.events import materialize_web_tables, web_tables_from_events  # noqa: E402
 from clickmetrics.sources.sink import materialize  # noqa: E402
 from clickmetrics.session import get_spark  # noqa: E402
 from clickmetrics.sources.events import read_events  # noqa: E402
@@ -99,6 +100,12 @@ def main():
     sc.setJobGroup("count_join", "aggregate joined back")
     with_session_hits(wp).write.format("noop").mode("overwrite").save()
     total = wp.count()
+
+    # Every registered plan on the skewed tables (written once).
+    tables = materialize_web_tables(spark, raw, f"skew-report-all-{Path(log_dir).name}")
+    for name, plan in CATALOG.items():
+        sc.setJobGroup(f"plan:{name}", name)
+        plan(Prepared(tables)).write.format("noop").mode("overwrite").save()
     spark.stop()
     print(json.dumps({
         "hot_user_share": 1 / 3,
@@ -109,6 +116,7 @@ def main():
         "next_hit_largest_task_share_bucketed": round(stage_shares(log_dir, "bucketed_next"), 4),
         "session_count_largest_task_share_window": round(stage_shares(log_dir, "count_window"), 4),
         "session_count_largest_task_share_aggregate_join": round(stage_shares(log_dir, "count_join"), 4),
+        "plans_worst_task_share": {name: round(stage_shares(log_dir, f"plan:{name}"), 4) for name in CATALOG},
         "event_log": log_dir,
     }))
 

@@ -32,17 +32,16 @@ from clickmetrics.functions.compat import epoch_micros
 
 
 def gap_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts: str = "ts",
-                 tiebreak: str = "event_id", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+                 tiebreak: str = "event_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Assign sessions to events.
 
-    Returns ``(events_with_session, sessions)``:
-
-    * ``events_with_session``: input columns plus ``session_id`` (smallest
-      ``tiebreak`` value of the session), ``session_seq`` (1, 2, ... per user)
-      and ``session_start`` (time of the first event).
-    * ``sessions``: one row per session with ``user``, ``session_id``,
-      ``session_seq``, ``session_start`` and, for each name in ``carry``,
-      ``first_<name>``: that column's value on the session's first event.
+    Returns the input columns plus ``session_id`` (smallest ``tiebreak`` value
+    of the session), ``session_seq`` (1, 2, ... per user), ``session_start``
+    (time of the first event), ``session_first`` (true on the session's first
+    event, in ``(ts, tiebreak)`` order) and, for each name in ``carry``,
+    ``first_<name>``: that column's value on the first event.  One row per
+    session is therefore ``filter(session_first)`` (see :func:`sessions_of`):
+    no second aggregation.
     """
     gap_us = int(gap_seconds) * 1_000_000
     ev = events.withColumn("_us", epoch_micros(ts)).withColumn("_bucket", F.floor(F.col("_us") / F.lit(gap_us)).cast("long"))
@@ -66,27 +65,26 @@ def gap_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts:
 
     # Session-level values; the window keys (user, seq) are already clustered by user: no new shuffle.
     w_sess = Window.partitionBy(user, "session_seq")
-    sess_first = F.min("_first").over(w_sess)
-    bucket_map = buckets.select(
-        user, "_bucket", "session_seq", "_starts",
+    mapping = buckets.select(
+        F.col(user).alias("_m_user"), F.col("_bucket").alias("_m_bucket"), "session_seq",
         F.min("_min_id").over(w_sess).alias("session_id"),
-        sess_first.alias("_sfirst"),
-    )
-
-    sessions = bucket_map.filter(F.col("_starts") == 1).select(
-        user,
-        "session_id",
-        "session_seq",
+        F.min("_first").over(w_sess).alias("_sfirst"),
+    ).select(
+        "_m_user", "_m_bucket", "session_id", "session_seq",
         F.col("_sfirst._ts").alias("session_start"),
+        F.col(f"_sfirst.{tiebreak}").alias("_first_id"),
         *[F.col(f"_sfirst.{c}").alias(f"first_{c}") for c in carry],
     )
-
-    mapping = bucket_map.select(
-        F.col(user).alias("_m_user"), F.col("_bucket").alias("_m_bucket"), "session_id", "session_seq",
-        F.col("_sfirst._ts").alias("session_start"))
     joined = ev.join(
         mapping,
         (ev[user].eqNullSafe(mapping["_m_user"])) & (ev["_bucket"] == mapping["_m_bucket"]),
         "inner",
-    ).drop("_m_user", "_m_bucket", "_us", "_bucket")
-    return joined, sessions
+    )
+    return (joined.withColumn("session_first", F.col(tiebreak).eqNullSafe(F.col("_first_id")))
+            .drop("_m_user", "_m_bucket", "_us", "_bucket", "_first_id"))
+
+
+def sessions_of(sessionized: DataFrame, user: str = "user_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per session from :func:`gap_sessions` output: its first event's row."""
+    return sessionized.filter(F.col("session_first")).select(
+        user, "session_id", "session_seq", "session_start", *[f"first_{c}" for c in carry])

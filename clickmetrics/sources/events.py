@@ -17,7 +17,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickmetrics.operators.sessionize import gap_sessions
+from clickmetrics.operators.sessionize import gap_sessions, sessions_of
 from clickmetrics.session import checkpoint_dir
 from clickmetrics.sources.tables import WebTables
 
@@ -40,11 +40,19 @@ def _url(event_type: F.Column, k: F.Column) -> F.Column:
             .when(event_type == "purchase", F.lit("/thank-you-for-your-order")))
 
 
-def web_tables_from_events(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> WebTables:
-    """Build raw (uncleaned) web tables from ``events``."""
+def sessionize_events(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
+    """Events with ``k`` and their session (:func:`gap_sessions` columns)."""
     ev = events.select("event_id", "ts", "user_id", "event_type", "value", event_k(F.col("props")).alias("k"))
-    hits, sess = gap_sessions(ev, gap_seconds, user="user_id", ts="ts", tiebreak="event_id", carry=("k",))
+    return gap_sessions(ev, gap_seconds, user="user_id", ts="ts", tiebreak="event_id", carry=("k",))
+
 
+def web_tables_from_sessionized(hits: DataFrame, sessions_src: DataFrame | None = None) -> WebTables:
+    """Raw (uncleaned) web tables as projections of sessionized events.
+
+    ``sessions_src`` may hold the session rows already (``session_first``
+    events); by default they are filtered from ``hits``.
+    """
+    sess = sessions_of(hits if sessions_src is None else sessions_src, carry=("k",))
     k0 = F.col("first_k")
     m5 = k0 % 5
     sessions = sess.select(
@@ -72,8 +80,7 @@ def web_tables_from_events(events: DataFrame, gap_seconds: int = SESSION_GAP_SEC
         F.col("session_id").alias("website_session_id"),
         F.col("ts").alias("created_at"),
     )
-    # Orders and their items never need the session: read them straight from events (no join).
-    items = (ev.filter(F.col("event_type") == "purchase")
+    items = (purchases
              .select("event_id", "value", F.explode(F.sequence(F.lit(1), F.lit(1) + F.col("k") % 2)).alias("n"))
              .select((F.col("event_id") * 10 + F.col("n")).alias("order_item_id"),
                      F.col("event_id").alias("order_id"),
@@ -81,6 +88,11 @@ def web_tables_from_events(events: DataFrame, gap_seconds: int = SESSION_GAP_SEC
     return WebTables(sessions=sessions, pageviews=pageviews, orders=orders, order_items=items)
 
 
+def web_tables_from_events(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> WebTables:
+    """Raw (uncleaned) web tables derived lazily from ``events``."""
+    return web_tables_from_sessionized(sessionize_events(events, gap_seconds))
+
+
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
@@ -90,7 +102,6 @@ def load_from_events(spark: SparkSession, sf_dir: str) -> WebTables:
     return web_tables_from_events(read_events(spark, sf_dir))
 
 
-_TABLE_NAMES = ("website_sessions", "website_pageviews", "orders", "order_items")
 _materialized: dict[tuple, WebTables] = {}
 
 
@@ -101,22 +112,25 @@ def _input_signature(path: str) -> tuple:
     return tuple((str(f), f.stat().st_size, f.stat().st_mtime_ns) for f in files)
 
 
-def materialize_web_tables(spark: SparkSession, tables: WebTables, label: str) -> WebTables:
-    """Write the four web tables once under the shared checkpoint folder and read them back.
+def materialize_events(spark: SparkSession, events: DataFrame, label: str,
+                       gap_seconds: int = SESSION_GAP_SECONDS) -> WebTables:
+    """Sessionize ``events`` once, write the result under the shared checkpoint
+    folder, and return the web tables as projections of the written files.
 
     Sessionization needs every event of a user, so it cannot be filtered or
-    pruned per metric; writing its result once cuts that lineage: metrics
-    then scan Parquet with their own filters and columns, several branches
-    of one plan share the files instead of re-deriving sessions, and a lost
-    executor only re-reads files.
+    pruned per metric; writing it once cuts that lineage.  Two writes: the
+    sessionized events (pageviews, orders and items are column projections of
+    it) and the session rows (its ``session_first`` events, a small table
+    read by almost every metric).  Metrics then scan Parquet with their own
+    pushed filters and columns, several branches of one plan share the files
+    instead of re-deriving sessions, and a lost executor only re-reads files.
     """
     root = os.path.join(checkpoint_dir(spark), "web_tables", label)
-    frames = dict(zip(_TABLE_NAMES, (tables.sessions, tables.pageviews, tables.orders, tables.order_items)))
-    for name, df in frames.items():
-        df.write.mode("overwrite").parquet(os.path.join(root, name))
-    read = {name: spark.read.parquet(os.path.join(root, name)) for name in _TABLE_NAMES}
-    return WebTables(sessions=read["website_sessions"], pageviews=read["website_pageviews"],
-                     orders=read["orders"], order_items=read["order_items"])
+    hits_path, sess_path = os.path.join(root, "sessionized_events"), os.path.join(root, "session_rows")
+    sessionize_events(events, gap_seconds).write.mode("overwrite").parquet(hits_path)
+    hits = spark.read.parquet(hits_path)
+    hits.filter(F.col("session_first")).write.mode("overwrite").parquet(sess_path)
+    return web_tables_from_sessionized(hits, spark.read.parquet(sess_path))
 
 
 def web_tables_for(spark: SparkSession, sf_dir: str) -> WebTables:
@@ -127,7 +141,7 @@ def web_tables_for(spark: SparkSession, sf_dir: str) -> WebTables:
            _input_signature(events_path))
     if key not in _materialized:
         label = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
-        _materialized[key] = materialize_web_tables(spark, load_from_events(spark, sf_dir), label)
+        _materialized[key] = materialize_events(spark, read_events(spark, sf_dir), label)
     return _materialized[key]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clickmetrics.operators import bounce
-from clickmetrics.operators.sessionize import gap_sessions
+from clickmetrics.operators.sessionize import gap_sessions, sessions_of
 from clickmetrics.operators.sessions import next_later_time
 from clickmetrics.sources.events import read_events
 from conftest import SF0001
@@ -62,7 +62,7 @@ def lag_sessions(events, gap_seconds):
 
 def test_bucketed_sessionization_equals_lag_window_on_events(spark):
     ev = read_events(spark, SF0001)
-    ours, _ = gap_sessions(ev, 12 * 3600)
+    ours = gap_sessions(ev, 12 * 3600)
     ref = lag_sessions(ev, 12 * 3600)
     a = sorted((r.event_id, r.session_id, r.session_seq) for r in ours.collect())
     b = sorted((r.event_id, r.sid, r.seq) for r in ref.collect())
@@ -82,7 +82,8 @@ def test_bucketed_sessionization_exact_gap_edges(spark, gap):
         (10, t0, None), (11, t0 + 3 * g, None),
     ]
     ev = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long")
-    ours, sess = gap_sessions(ev, gap)
+    ours = gap_sessions(ev, gap)
+    sess = sessions_of(ours)
     ref = lag_sessions(ev, gap)
     a = sorted((r.event_id, r.session_id, r.session_seq) for r in ours.collect())
     b = sorted((r.event_id, r.sid, r.seq) for r in ref.collect())

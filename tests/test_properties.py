@@ -54,6 +54,6 @@ def test_sessionization_matches_lag_window(spark, evs, gap):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(i, t0 + dt.timedelta(seconds=s), u) for i, (u, s) in enumerate(evs)]
     ev = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long")
-    ours, _ = gap_sessions(ev, gap)
+    ours = gap_sessions(ev, gap)
     ref = lag_sessions(ev, gap)
     assert sorted((r.event_id, r.session_id) for r in ours.collect()) == sorted((r.event_id, r.sid) for r in ref.collect())

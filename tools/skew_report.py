@@ -24,7 +24,7 @@ from clickmetrics.functions.compat import epoch_micros  # noqa: E402
 from clickmetrics.operators.sessionize import gap_sessions  # noqa: E402
 from clickmetrics.operators.sessions import next_later_time, with_session_hits  # noqa: E402
 from clickmetrics.plans.catalog import CATALOG, Prepared  # noqa: E402
-from clickmetrics.sources.events import materialize_web_tables, web_tables_from_events  # noqa: E402
+from clickmetrics.sources.events import materialize_events, web_tables_from_events  # noqa: E402
 from clickmetrics.sources.sink import materialize  # noqa: E402
 from clickmetrics.session import get_spark  # noqa: E402
 from clickmetrics.sources.events import read_events  # noqa: E402
@@ -80,7 +80,7 @@ def main():
     sc.setJobGroup("lag_window", "textbook lag window")
     lag_sessions(hot, 12 * 3600).write.format("noop").mode("overwrite").save()
     sc.setJobGroup("bucketed", "bucketed gap sessions")
-    gap_sessions(hot, 12 * 3600)[0].write.format("noop").mode("overwrite").save()
+    gap_sessions(hot, 12 * 3600).write.format("noop").mode("overwrite").save()
 
     # Next hit on the resulting pageviews (the hot user's events form giant sessions).
     sc.setJobGroup("setup", "derive tables")
@@ -102,7 +102,7 @@ def main():
     total = wp.count()
 
     # Every registered plan on the skewed tables (written once).
-    tables = materialize_web_tables(spark, raw, f"skew-report-all-{Path(log_dir).name}")
+    tables = materialize_events(spark, hot, f"skew-report-all-{Path(log_dir).name}")
     for name, plan in CATALOG.items():
         sc.setJobGroup(f"plan:{name}", name)
         plan(Prepared(tables)).write.format("noop").mode("overwrite").save()

@@ -35,8 +35,18 @@ def ntz(value: str) -> Column:
 
 
 def epoch_micros(ts: ColumnOrName) -> Column:
-    """Microseconds since 1970-01-01 of a ``timestamp_ntz``; time-zone free."""
-    return F.timestamp_diff("MICROSECOND", ntz("1970-01-01 00:00:00"), _col(ts))
+    """Microseconds since 1970-01-01 of a ``timestamp_ntz`` wall-clock value.
+
+    Built from the value's own fields (date, hour, minute, fractional
+    second), which never involve a time zone.  ``timestampdiff`` would cast
+    to the session-zone ``timestamp`` first and shift wall-clock times that
+    fall in that zone's daylight-saving gap.
+    """
+    t = _col(ts)
+    days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long")
+    secs_frac = F.date_part(F.lit("SECOND"), t)  # decimal(8,6): seconds with microseconds
+    return (days * F.lit(86_400_000_000) + F.hour(t).cast("long") * F.lit(3_600_000_000)
+            + F.minute(t).cast("long") * F.lit(60_000_000) + (secs_frac * F.lit(1_000_000)).cast("long"))
 
 
 def time_bucket(ts: ColumnOrName, unit_micros: int) -> Column:

@@ -61,3 +61,20 @@ def test_soundex_difference_of_digits_is_4(spark):
 def test_zero_denominator_is_null_and_guarded_ratio_is_zero(spark):
     df = spark.range(1).select(F.lit(3).alias("n"), F.lit(0).alias("d"))
     assert one(df.select(pct(F.col("n"), F.col("d")), safe_ratio(F.col("n"), F.col("d")))) == (None, 0.0)
+
+
+def test_epoch_micros_ignores_session_zone_even_in_dst_gap(spark):
+    import datetime as dt
+
+    from clickmetrics.functions import epoch_micros
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        # 02:30 does not exist in Los Angeles on 2024-03-10 (clocks jump 02:00 -> 03:00).
+        df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30, 0, 123456),), (dt.datetime(1969, 12, 31, 23, 59, 59),)],
+                                   "t timestamp_ntz")
+        got = [r[0] for r in df.select(epoch_micros("t")).collect()]
+        assert got == [1710037800123456, -1000000]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -76,3 +76,29 @@ def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20, broadcast_b
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
     }
+
+
+def _fs_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on its file system (local, HDFS, object store)."""
+    p, fs = _fs_path(spark, path)
+    return bool(fs.exists(p))
+
+
+def input_signature(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and modification times of the files under ``path``, listed
+    through the Hadoop file system of the path (works for cluster storage)."""
+    p, fs = _fs_path(spark, path)
+    if not fs.exists(p):
+        return ()
+    out = []
+    it = fs.listFiles(p, True)
+    while it.hasNext():
+        st = it.next()
+        out.append((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())))
+    return tuple(sorted(out))

@@ -12,13 +12,12 @@ from __future__ import annotations
 
 import hashlib
 import os
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickmetrics.operators.sessionize import gap_sessions, sessions_of
-from clickmetrics.session import checkpoint_dir
+from clickmetrics.session import checkpoint_dir, input_signature
 from clickmetrics.sources.tables import WebTables
 
 # Fixed adapter parameters and labels (our own test-data rules).
@@ -105,13 +104,6 @@ def load_from_events(spark: SparkSession, sf_dir: str) -> WebTables:
 _materialized: dict[tuple, WebTables] = {}
 
 
-def _input_signature(path: str) -> tuple:
-    """Identify an input by its files' names, sizes and modification times."""
-    p = Path(path)
-    files = [p] if p.is_file() else sorted(f for f in p.rglob("*") if f.is_file())
-    return tuple((str(f), f.stat().st_size, f.stat().st_mtime_ns) for f in files)
-
-
 def materialize_events(spark: SparkSession, events: DataFrame, label: str,
                        gap_seconds: int = SESSION_GAP_SECONDS) -> WebTables:
     """Sessionize ``events`` once, write the result under the shared checkpoint
@@ -137,8 +129,8 @@ def web_tables_for(spark: SparkSession, sf_dir: str) -> WebTables:
     """Materialized web tables for ``<sf_dir>/events.parquet``, derived once per
     Spark application and input version, then reused by every metric."""
     events_path = f"{sf_dir.rstrip('/')}/events.parquet"
-    key = (spark.sparkContext.applicationId, checkpoint_dir(spark), os.path.abspath(events_path),
-           _input_signature(events_path))
+    key = (spark.sparkContext.applicationId, checkpoint_dir(spark), events_path,
+           input_signature(spark, events_path))
     if key not in _materialized:
         label = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
         _materialized[key] = materialize_events(spark, read_events(spark, sf_dir), label)

@@ -65,14 +65,14 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet")
 def load_web_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> WebTables:
     """Load ``website_sessions``, ``website_pageviews``, ``orders``, ``order_items``
     (and, if present, ``products`` / ``order_item_refunds``) from ``root/<name>.<fmt>``."""
-    import os
+    from clickmetrics.session import path_exists
 
     def path(n: str) -> str:
-        return os.path.join(root, f"{n}.{fmt}")
+        return f"{root.rstrip('/')}/{n}.{fmt}"
 
     def optional(n: str) -> DataFrame | None:
         p = path(n)
-        return read_table(spark, p, n, fmt) if os.path.exists(p) else None
+        return read_table(spark, p, n, fmt) if path_exists(spark, p) else None
 
     return WebTables(
         sessions=read_table(spark, path("website_sessions"), "website_sessions", fmt),

@@ -32,23 +32,23 @@ from clickmetrics.functions.compat import epoch_micros
 
 
 def gap_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts: str = "ts",
-                 tiebreak: str = "event_id", carry: tuple[str, ...] = ()) -> DataFrame:
+                 tiebreak: str = "event_id") -> DataFrame:
     """Assign sessions to events.
 
     Returns the input columns plus ``session_id`` (smallest ``tiebreak`` value
-    of the session), ``session_seq`` (1, 2, ... per user), ``session_start``
-    (time of the first event), ``session_first`` (true on the session's first
-    event, in ``(ts, tiebreak)`` order) and, for each name in ``carry``,
-    ``first_<name>``: that column's value on the first event.  One row per
-    session is therefore ``filter(session_first)`` (see :func:`sessions_of`):
-    no second aggregation.
+    of the session), ``session_seq`` (1, 2, ... per user) and
+    ``at_session_start`` (true on the events at the session's first instant;
+    more than one only if several events share it).  One row per session is
+    :func:`sessions_of`.
+
+    All aggregates hold fixed-width longs (``min`` / ``max``), so Spark plans
+    hash aggregation with map-side combining.
     """
     gap_us = int(gap_seconds) * 1_000_000
     ev = events.withColumn("_us", epoch_micros(ts)).withColumn("_bucket", F.floor(F.col("_us") / F.lit(gap_us)).cast("long"))
 
-    first_fields = [F.col("_us"), F.col(tiebreak), F.col(ts).alias("_ts")] + [F.col(c) for c in carry]
     buckets = ev.groupBy(user, "_bucket").agg(
-        F.min(F.struct(*first_fields)).alias("_first"),  # first event in (ts, tiebreak) order
+        F.min("_us").alias("_first_us"),
         F.max("_us").alias("_last_us"),
         F.min(tiebreak).alias("_min_id"),
     )
@@ -58,7 +58,7 @@ def gap_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts:
     prev_last = F.lag("_last_us").over(w_user)
     starts = (prev_bucket.isNull()
               | (prev_bucket != F.col("_bucket") - 1)
-              | (F.col("_first._us") > prev_last + F.lit(gap_us)))
+              | (F.col("_first_us") > prev_last + F.lit(gap_us)))
     buckets = buckets.withColumn("_starts", starts.cast("int"))
     buckets = buckets.withColumn(
         "session_seq", F.sum("_starts").over(w_user.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"))
@@ -68,23 +68,26 @@ def gap_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts:
     mapping = buckets.select(
         F.col(user).alias("_m_user"), F.col("_bucket").alias("_m_bucket"), "session_seq",
         F.min("_min_id").over(w_sess).alias("session_id"),
-        F.min("_first").over(w_sess).alias("_sfirst"),
-    ).select(
-        "_m_user", "_m_bucket", "session_id", "session_seq",
-        F.col("_sfirst._ts").alias("session_start"),
-        F.col(f"_sfirst.{tiebreak}").alias("_first_id"),
-        *[F.col(f"_sfirst.{c}").alias(f"first_{c}") for c in carry],
+        F.min("_first_us").over(w_sess).alias("_start_us"),
     )
     joined = ev.join(
         mapping,
         (ev[user].eqNullSafe(mapping["_m_user"])) & (ev["_bucket"] == mapping["_m_bucket"]),
         "inner",
     )
-    return (joined.withColumn("session_first", F.col(tiebreak).eqNullSafe(F.col("_first_id")))
-            .drop("_m_user", "_m_bucket", "_us", "_bucket", "_first_id"))
+    return (joined.withColumn("at_session_start", F.col("_us") == F.col("_start_us"))
+            .drop("_m_user", "_m_bucket", "_us", "_bucket", "_start_us"))
 
 
-def sessions_of(sessionized: DataFrame, user: str = "user_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per session from :func:`gap_sessions` output: its first event's row."""
-    return sessionized.filter(F.col("session_first")).select(
-        user, "session_id", "session_seq", "session_start", *[f"first_{c}" for c in carry])
+def sessions_of(sessionized: DataFrame, user: str = "user_id", ts: str = "ts", tiebreak: str = "event_id",
+                carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per session from :func:`gap_sessions` output: ``user``,
+    ``session_id``, ``session_seq``, ``session_start`` and, for each name in
+    ``carry``, ``first_<name>``: its value on the first event in
+    ``(ts, tiebreak)`` order.  Only the events at the session's first instant
+    are aggregated (about one per session).
+    """
+    return sessionized.filter(F.col("at_session_start")).groupBy(user, "session_id", "session_seq").agg(
+        F.min(ts).alias("session_start"),
+        *[F.min_by(c, tiebreak).alias(f"first_{c}") for c in carry],
+    )

@@ -42,16 +42,16 @@ def _url(event_type: F.Column, k: F.Column) -> F.Column:
 def sessionize_events(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
     """Events with ``k`` and their session (:func:`gap_sessions` columns)."""
     ev = events.select("event_id", "ts", "user_id", "event_type", "value", event_k(F.col("props")).alias("k"))
-    return gap_sessions(ev, gap_seconds, user="user_id", ts="ts", tiebreak="event_id", carry=("k",))
+    return gap_sessions(ev, gap_seconds, user="user_id", ts="ts", tiebreak="event_id")
 
 
-def web_tables_from_sessionized(hits: DataFrame, sessions_src: DataFrame | None = None) -> WebTables:
+def web_tables_from_sessionized(hits: DataFrame, session_rows: DataFrame | None = None) -> WebTables:
     """Raw (uncleaned) web tables as projections of sessionized events.
 
-    ``sessions_src`` may hold the session rows already (``session_first``
-    events); by default they are filtered from ``hits``.
+    ``session_rows`` may hold :func:`sessions_of` output already (e.g. read
+    from disk); by default it is computed from ``hits``.
     """
-    sess = sessions_of(hits if sessions_src is None else sessions_src, carry=("k",))
+    sess = sessions_of(hits, carry=("k",)) if session_rows is None else session_rows
     k0 = F.col("first_k")
     m5 = k0 % 5
     sessions = sess.select(
@@ -112,8 +112,8 @@ def materialize_events(spark: SparkSession, events: DataFrame, label: str,
     Sessionization needs every event of a user, so it cannot be filtered or
     pruned per metric; writing it once cuts that lineage.  Two writes: the
     sessionized events (pageviews, orders and items are column projections of
-    it) and the session rows (its ``session_first`` events, a small table
-    read by almost every metric).  Metrics then scan Parquet with their own
+    it) and one row per session (aggregated from the events at each
+    session's first instant; a small table read by almost every metric).  Metrics then scan Parquet with their own
     pushed filters and columns, several branches of one plan share the files
     instead of re-deriving sessions, and a lost executor only re-reads files.
     """
@@ -121,7 +121,7 @@ def materialize_events(spark: SparkSession, events: DataFrame, label: str,
     hits_path, sess_path = os.path.join(root, "sessionized_events"), os.path.join(root, "session_rows")
     sessionize_events(events, gap_seconds).write.mode("overwrite").parquet(hits_path)
     hits = spark.read.parquet(hits_path)
-    hits.filter(F.col("session_first")).write.mode("overwrite").parquet(sess_path)
+    sessions_of(hits, carry=("k",)).write.mode("overwrite").parquet(sess_path)
     return web_tables_from_sessionized(hits, spark.read.parquet(sess_path))
 
 

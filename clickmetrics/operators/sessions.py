@@ -89,17 +89,17 @@ def next_times(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str = "n
     d = d.withColumn("_b1", F.floor(F.col("_us") / F.lit(l1)).cast("long")) \
          .withColumn("_b2", F.floor(F.col("_us") / F.lit(l2)).cast("long"))
 
-    n0 = d.withColumn("_n0", F.lead(ts).over(Window.partitionBy(key, "_b1").orderBy("_us")))
+    # Each level aggregates the output of the level below, which is already
+    # partitioned by a superset of its keys, so only the windows shuffle.
+    n0 = d.withColumn("_n0", F.lead(ts).over(Window.partitionBy(key, "_b2", "_b1").orderBy("_us")))
 
-    m1 = d.groupBy(key, "_b2", "_b1").agg(F.min(ts).alias("_m1"))
-    n1 = m1.withColumn("_n1", F.lead("_m1").over(Window.partitionBy(key, "_b2").orderBy("_b1"))) \
-           .select(key, "_b1", "_n1")
+    m1 = n0.groupBy(key, "_b2", "_b1").agg(F.min(ts).alias("_m1"))
+    n1 = m1.withColumn("_n1", F.lead("_m1").over(Window.partitionBy(key, "_b2").orderBy("_b1")))
 
-    m2 = m1.groupBy(key, "_b2").agg(F.min("_m1").alias("_m2"))
-    n2 = m2.withColumn("_n2", F.lead("_m2").over(Window.partitionBy(key).orderBy("_b2"))) \
-           .select(key, "_b2", "_n2")
+    m2 = n1.groupBy(key, "_b2").agg(F.min("_m1").alias("_m2"))
+    n2 = m2.withColumn("_n2", F.lead("_m2").over(Window.partitionBy(key).orderBy("_b2"))).select(key, "_b2", "_n2")
 
-    return (n0.join(n1, [key, "_b1"], "left")
+    return (n0.join(n1.select(key, "_b2", "_b1", "_n1"), [key, "_b2", "_b1"], "left")
               .join(n2, [key, "_b2"], "left")
               .select(key, ts, F.coalesce("_n0", "_n1", "_n2").alias(name)))
 

@@ -14,6 +14,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Coalesce small shuffle partitions up to the advisory size instead of
+    # keeping the configured partition count: fewer, fuller tasks.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
@@ -75,6 +78,7 @@ def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20, broadcast_b
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(broadcast_bytes),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     }
 
 

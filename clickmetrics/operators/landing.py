@@ -18,14 +18,14 @@ def landing_time(wp: DataFrame, ws: DataFrame, by: str | None = None, label: str
     average, then / 60.0 and rounded to 2.  Entry hits without a next hit
     are left out.
 
-    Paid-ness is a session attribute, so first hits and next times are found
-    over all hits (counted per (session, time, url) first) and only the
-    entry rows, a few per session, meet the paid sessions.
+    Paid-ness is a session attribute, so first hits are found over all hits
+    (counted per (session, time, url) first); only the entry rows, a few per
+    session, meet the paid sessions and the next-time table.
     """
     paid = ws.filter(F.col("utm_content") != F.lit(label)).select(SESSION)
-    h = hits_at_time(wp, URL).join(next_times(wp), [SESSION, TS], "left")
-    e = (entry_hits(h).filter(F.col("next_ts").isNotNull())
-         .join(paid, SESSION, "left_semi")
+    entries = entry_hits(hits_at_time(wp, URL)).join(paid, SESSION, "left_semi")
+    # Only entry rows get their next time; an entry without a later hit is left out.
+    e = (entries.join(next_times(wp), [SESSION, TS], "inner").filter(F.col("next_ts").isNotNull())
          .select(URL, "_c", boundary_diff("SECOND", TS, "next_ts").alias("_secs")))
     avg = F.expr("sum(`_secs` * `_c`) div nullif(sum(`_c`), 0)")  # integer AVG over hits
     value = round_half_away(avg.cast("double") / F.lit(60.0), 2).alias("avg_landing_min")

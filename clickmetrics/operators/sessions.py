@@ -29,11 +29,6 @@ def hits_per_session(hits: DataFrame, count_col: str | None = None, name: str =
     return hits.groupBy(SESSION).agg(c.alias(name))
 
 
-def one_hit_sessions(hits: DataFrame, count_col: str | None = None) -> DataFrame:
-    """Sessions with exactly one hit (``GROUP BY session HAVING COUNT(..) = 1``)."""
-    return hits_per_session(hits, count_col).filter(F.col("n_hits") == 1).select(SESSION)
-
-
 def with_session_hits(hits: DataFrame, name: str = "page_count") -> DataFrame:
     """Hits plus ``COUNT(*) OVER (PARTITION BY session)`` as an aggregate joined back."""
     counts = hits.groupBy(SESSION).agg(F.count(F.lit(1)).alias(name))

@@ -26,6 +26,11 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
 
 
+# Spark result type -> DuckDB result type name.
+DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+        "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF0001)
@@ -33,6 +38,8 @@ def test_query_matches_oracle(spark, con, name):
     r = con.sql(ORACLE[name])
     want = canon(r.columns, r.fetchall())
     assert got == want
+    spark_types = {f.name: DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert spark_types == {c: str(t) for c, t in zip(r.columns, r.types)}
 
 
 def test_entry_is_flagship(spark):

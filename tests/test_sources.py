@@ -69,3 +69,11 @@ def test_database_and_select_into(spark, prepared):
         assert browse(back, 5).count() == 5
     finally:
         spark.catalog.setCurrentDatabase("default")
+
+
+def test_web_tables_checked(golden):
+    from dataclasses import replace
+
+    assert golden.checked().pageviews.columns == golden.pageviews.columns
+    with pytest.raises(SchemaError):
+        replace(golden, orders=golden.orders.drop("website_session_id")).checked()

@@ -37,6 +37,7 @@ class Prepared:
     """Cleaned sessions and the derived table, built lazily from raw :class:`WebTables`."""
 
     def __init__(self, raw: WebTables):
+        self.raw = raw
         self.ws = clean_sessions(raw.sessions)
         self.wp = raw.pageviews
         self.o = raw.orders
@@ -50,6 +51,11 @@ class Prepared:
 Plan = Callable[[Prepared], DataFrame]
 
 CATALOG: dict[str, Plan] = {
+    # D3: browsing the base tables (whole tables, raw: the text 'NULL' markers are still there).
+    "d3_website_sessions": lambda t: t.raw.sessions,
+    "d3_website_pageviews": lambda t: t.raw.pageviews,
+    "d3_orders": lambda t: t.raw.orders,
+    "d3_order_items": lambda t: t.raw.order_items,
     "t12_clean_sessions": lambda t: t.ws,
     "t3_session_pageviews": lambda t: t.sp,
     "jn6_next_event": lambda t: next_later_time(t.wp).select(

@@ -38,7 +38,8 @@ def test_query_matches_oracle(spark, con, name):
     r = con.sql(ORACLE[name])
     want = canon(r.columns, r.fetchall())
     assert got == want
-    spark_types = {f.name: DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    spark_types = {f.name: DUCK.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
+                   for f in df.schema.fields}
     assert spark_types == {c: str(t) for c, t in zip(r.columns, r.types)}
 
 

@@ -59,11 +59,11 @@ def test_cluster_conf_scales_with_input():
 
 
 def test_database_and_select_into(spark, prepared):
-    use_database(spark, "digital_analysis_test")
+    use_database(spark, "clickmetrics_test")
     try:
         path = os.path.join(_scratch(spark), "session_and_pageview")
         save_table(prepared.sp, path=path, name="session_and_pageview")
-        back = spark.table("digital_analysis_test.session_and_pageview")
+        back = spark.table("clickmetrics_test.session_and_pageview")
         assert back.count() == 23
         assert back.columns == prepared.sp.columns
         assert browse(back, 5).count() == 5

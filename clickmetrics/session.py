@@ -35,10 +35,25 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     return spark
 
 
+def _context(spark: SparkSession):
+    """The classic SparkContext, or None for a session without one (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions raise here
+        return None
+
+
+def application_id(spark: SparkSession) -> str:
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "connect")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -46,13 +61,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     system, and that folder is used.  Only when neither is set (local tests)
     is a scratch folder created and registered.
     """
-    sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = sc.getCheckpointDir()
+    sc = _context(spark)
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if sc is not None:
+        d = sc.getConf().get("spark.checkpoint.dir", None) or d or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="clickmetrics-ckpt-")
-    if sc.getCheckpointDir() is None:
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
@@ -83,14 +98,20 @@ def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20, broadcast_b
 
 
 def _fs_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    sc = _context(spark)
+    if sc is None:
+        return None, None
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists on its file system (local, HDFS, object store)."""
     p, fs = _fs_path(spark, path)
+    if fs is None:
+        import os
+
+        return os.path.exists(path)
     return bool(fs.exists(p))
 
 
@@ -98,9 +119,20 @@ def input_signature(spark: SparkSession, path: str) -> tuple:
     """Names, sizes and modification times of the files under ``path``, listed
     through the Hadoop file system of the path (works for cluster storage)."""
     p, fs = _fs_path(spark, path)
+    out = []
+    if fs is None:
+        import os
+
+        for root, _, files in os.walk(path):
+            for f in files:
+                st = os.stat(os.path.join(root, f))
+                out.append((os.path.join(root, f), st.st_size, st.st_mtime_ns))
+        if os.path.isfile(path):
+            st = os.stat(path)
+            out.append((path, st.st_size, st.st_mtime_ns))
+        return tuple(sorted(out))
     if not fs.exists(p):
         return ()
-    out = []
     it = fs.listFiles(p, True)
     while it.hasNext():
         st = it.next()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickmetrics.operators.sessionize import gap_sessions, sessions_of
-from clickmetrics.session import checkpoint_dir, input_signature
+from clickmetrics.session import application_id, checkpoint_dir, input_signature
 from clickmetrics.sources.tables import WebTables
 
 # Fixed adapter parameters and labels (our own test-data rules).
@@ -129,7 +129,7 @@ def web_tables_for(spark: SparkSession, sf_dir: str) -> WebTables:
     """Materialized web tables for ``<sf_dir>/events.parquet``, derived once per
     Spark application and input version, then reused by every metric."""
     events_path = f"{sf_dir.rstrip('/')}/events.parquet"
-    key = (spark.sparkContext.applicationId, checkpoint_dir(spark), events_path,
+    key = (application_id(spark), checkpoint_dir(spark), events_path,
            input_signature(spark, events_path))
     if key not in _materialized:
         label = hashlib.sha1(repr(key).encode()).hexdigest()[:16]

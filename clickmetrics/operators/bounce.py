@@ -22,6 +22,7 @@ from clickmetrics.functions.compat import ntz, pct, pct_scaled_first, round_half
 from clickmetrics.operators.prepare import DIRECT_SEARCH
 from clickmetrics.operators.sessions import SESSION, TS, URL, hits_per_session
 
+
 def paid(label: str = DIRECT_SEARCH) -> Column:
     """Hits or sessions of paid traffic: ``utm_content <> label`` (NULL content is neither)."""
     return F.col("utm_content") != F.lit(label)

@@ -30,7 +30,12 @@ def hits_per_session(hits: DataFrame, count_col: str | None = None, name: str =
 
 
 def with_session_hits(hits: DataFrame, name: str = "page_count") -> DataFrame:
-    """Hits plus ``COUNT(*) OVER (PARTITION BY session)`` as an aggregate joined back."""
+    """Hits plus ``COUNT(*) OVER (PARTITION BY session)`` as an aggregate joined back.
+
+    This joins *raw* hits on the session key, so a hot session relies on
+    AQE's skew split; the metrics reduce hits first instead.  Kept for users
+    who need the per-hit column (and for the skew report's comparison).
+    """
     counts = hits.groupBy(SESSION).agg(F.count(F.lit(1)).alias(name))
     return hits.join(counts, SESSION, "inner")
 

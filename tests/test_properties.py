@@ -57,3 +57,48 @@ def test_sessionization_matches_lag_window(spark, evs, gap):
     ours = gap_sessions(ev, gap)
     ref = lag_sessions(ev, gap)
     assert sorted((r.event_id, r.session_id) for r in ours.collect()) == sorted((r.event_id, r.sid) for r in ref.collect())
+
+
+_T0 = dt.datetime(2024, 1, 1, 9, 59, 59)
+# Offsets (microseconds) that straddle second, hour and day boundaries; repeats make ties.
+_OFFSETS = [0, 1, 999_999, 1_000_000, 1_000_001, 3_599_999_999, 3_600_000_000, 3_600_000_001,
+            7_200_000_000, 86_400_000_000, 90_000_000_000]
+_hits = st.lists(
+    st.tuples(st.sampled_from([1, 2, 3, None]),                      # session (NULL too)
+              st.one_of(st.none(), st.sampled_from(_OFFSETS)),       # time (NULL too)
+              st.sampled_from(["/a", "/b", None])),                  # url
+    min_size=1, max_size=20)
+
+
+def _hits_df(spark, hs):
+    rows = [(i, None if off is None else _T0 + dt.timedelta(microseconds=off), s, u) for i, (s, off, u) in enumerate(hs)]
+    return spark.createDataFrame(rows, "website_pageview_id long, created_at timestamp_ntz, "
+                                       "website_session_id long, pageview_url string")
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(_hits)
+def test_next_time_matches_self_join(spark, hs):
+    from clickmetrics.operators.sessions import next_later_time
+    from test_equivalence import literal_next
+
+    hits = _hits_df(spark, hs)
+    ours = sorted(tuple(r) for r in next_later_time(hits).select("website_pageview_id", "next_ts").collect())
+    ref = sorted(tuple(r) for r in literal_next(spark, hits).collect())
+    assert ours == ref
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(_hits)
+def test_entry_hits_match_dense_rank(spark, hs):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from clickmetrics.operators.sessions import entry_hits
+
+    hits = _hits_df(spark, hs)
+    ours = sorted(r[0] for r in entry_hits(hits).select("website_pageview_id").collect())
+    w = Window.partitionBy("website_session_id").orderBy(F.col("created_at").asc_nulls_first())
+    ref = sorted(r[0] for r in hits.withColumn("dr", F.dense_rank().over(w)).filter("dr = 1")
+                 .select("website_pageview_id").collect())
+    assert ours == ref

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickmetrics.functions.compat import boundary_diff, int_avg, round_half_away
-from clickmetrics.operators.sessions import SESSION, TS, URL, entry_hits, hits_at_time, next_times
+from clickmetrics.operators.sessions import SESSION, TS, URL, entry_hits, hits_at_time, timed_hits
 
 
 def avg_session_minutes(wp: DataFrame, ws: DataFrame) -> DataFrame:
@@ -31,16 +31,18 @@ def pages_per_session(wp: DataFrame) -> DataFrame:
 def time_on_page(wp: DataFrame) -> DataFrame:
     """Seconds from each hit to the session's next strictly later hit
     (boundary seconds), summed per url, / 60.0, divided by *all* hits of the
-    url (exits included), rounded to 1.  A url with only exits gives NULL.
+    url (exits and hits without session or time included), rounded to 1.  A
+    url with only exits gives NULL.
 
-    Hits are counted per (session, time, url) first; the next time is joined
-    to those counts, so copies of one hit never pile up in one task.
+    The seconds come from :func:`timed_hits` (hits counted per (session,
+    time, url), so copies collapse); the per-url hit counts are a separate
+    map-side-combined aggregate; the two meet as one row per url.
     """
-    h = hits_at_time(wp, URL).join(next_times(wp), [SESSION, TS], "left")
+    t = timed_hits(wp, URL)
     secs = boundary_diff("SECOND", TS, "next_ts")
-    named = F.when(F.col(URL).isNotNull(), F.col("_c")).otherwise(F.lit(0))
-    per_url = h.groupBy(URL).agg((F.sum(secs * F.col("_c")).cast("double") / F.lit(60.0)).alias("_mins"),
-                                 F.sum(named).alias("_n"))
+    sums = t.groupBy(URL).agg((F.sum(secs * F.col("_c")).cast("double") / F.lit(60.0)).alias("_mins"))
+    counts = wp.groupBy(URL).agg(F.count(URL).alias("_n"))
+    per_url = counts.join(sums, URL, "left")
     return per_url.select(URL, round_half_away(F.try_divide(F.col("_mins"), F.col("_n").cast("double")), 1)
                           .alias("time_on_page_min"))
 

@@ -71,37 +71,64 @@ def first_of_user(df: DataFrame, user: str = USER, order: str = SESSION) -> Data
 _NEXT_LEVELS_US = (1_000_000, 3_600_000_000)
 
 
-def next_times(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str = "next_ts") -> DataFrame:
-    """``(key, ts, name)``, one row per distinct non-NULL ``(key, ts)``: the earliest
-    time of the same key that is *strictly later* (NULL for the last one).
-
-    Plan: distinct ``(key, ts)`` (map-side combined, so copies collapse), then
-    ``lead`` inside one-second buckets; the last time of a second takes the
-    first time of the next non-empty second of the same hour, else the first
-    time of the next non-empty hour.  Every window group is bounded by its
-    bucket: 1e6 distinct microsecond times, 3,600 seconds, or the key's
-    non-empty hours.
-    """
+def time_buckets(ts: str = TS) -> tuple:
+    """``(_b2, _b1)``: the hour and second bucket columns :func:`timed_hits` partitions by."""
     l1, l2 = _NEXT_LEVELS_US
-    d = (hits.select(key, ts).where(F.col(key).isNotNull() & F.col(ts).isNotNull())
-         .distinct()
-         .withColumn("_us", epoch_micros(ts)))
-    d = d.withColumn("_b1", F.floor(F.col("_us") / F.lit(l1)).cast("long")) \
-         .withColumn("_b2", F.floor(F.col("_us") / F.lit(l2)).cast("long"))
-
-    # Each level aggregates the output of the level below, which is already
-    # partitioned by a superset of its keys, so only the windows shuffle.
-    n0 = d.withColumn("_n0", F.lead(ts).over(Window.partitionBy(key, "_b2", "_b1").orderBy("_us")))
-
-    m1 = n0.groupBy(key, "_b2", "_b1").agg(F.min(ts).alias("_m1"))
+    us = epoch_micros(ts)
+    return (F.floor(us / F.lit(l2)).cast("long").alias("_b2"), F.floor(us / F.lit(l1)).cast("long").alias("_b1"))
+
+
+def timed_hits(hits: DataFrame, *cols: str, key: str = SESSION, ts: str = TS, name: str = "next_ts") -> DataFrame:
+    """Hits with a non-NULL key and time, counted per ``(key, ts, *cols)`` (``_c``),
+    each with ``name``: the earliest time of the same key that is *strictly
+    later* (NULL for the last one).  Also returns the bucket columns ``_b2``
+    (hour) and ``_b1`` (second); the result is hash-partitioned by
+    ``(key, _b2, _b1)``.
+
+    Plan, with two shuffles of hit-sized data:
+
+    1. count per ``(key, ts, *cols)``, combined map-side, so identical copies
+       become one row before anything moves;
+    2. one hash repartition by ``(key, hour, second)``.  Then, with no further
+       shuffle of these rows: the next strictly later time inside the same
+       second (a growing-frame window, tie-correct), and, joined back on
+       ``(key, hour, second)``, the first time of the next non-empty second
+       of the hour, else of the next non-empty hour.  Those come from small
+       tables (one row per non-empty second / hour) aggregated from the hits
+       with map-side combining.
+
+    Every window group is bounded by its bucket: the rows of one second, the
+    non-empty seconds of one hour, or the key's non-empty hours.
+    """
+    valid = hits.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    c = (valid.groupBy(key, ts, *cols).agg(F.count(F.lit(1)).alias("_c"))
+         .withColumn("_us", epoch_micros(ts))
+         .select("*", *time_buckets(ts))
+         .repartition(key, "_b2", "_b1"))
+
+    # Strictly later inside the second: descending order, frame ends one microsecond before the row.
+    later = Window.partitionBy(key, "_b2", "_b1").orderBy(F.col("_us").desc()) \
+                  .rangeBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_n0", F.min(ts).over(later))
+
+    # First time of every non-empty second, aggregated from the hits themselves (map-side
+    # combined): a small shuffle, not a second pass over the repartitioned rows.
+    m1 = valid.select(key, ts, *time_buckets(ts)).groupBy(key, "_b2", "_b1").agg(F.min(ts).alias("_m1"))
     n1 = m1.withColumn("_n1", F.lead("_m1").over(Window.partitionBy(key, "_b2").orderBy("_b1")))
-
     m2 = n1.groupBy(key, "_b2").agg(F.min("_m1").alias("_m2"))
     n2 = m2.withColumn("_n2", F.lead("_m2").over(Window.partitionBy(key).orderBy("_b2"))).select(key, "_b2", "_n2")
+    after = (n1.join(n2, [key, "_b2"], "left")
+               .select(key, "_b2", "_b1", F.coalesce("_n1", "_n2").alias("_after")))
+
+    return (c.join(after, [key, "_b2", "_b1"], "left")
+             .withColumn(name, F.coalesce("_n0", "_after"))
+             .drop("_n0", "_after", "_us"))
+
 
-    return (n0.join(n1.select(key, "_b2", "_b1", "_n1"), [key, "_b2", "_b1"], "left")
-              .join(n2, [key, "_b2"], "left")
-              .select(key, ts, F.coalesce("_n0", "_n1", "_n2").alias(name)))
+def next_times(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str = "next_ts") -> DataFrame:
+    """``(key, ts, name)``, one row per distinct non-NULL ``(key, ts)``: the earliest
+    time of the same key that is *strictly later* (NULL for the last one)."""
+    return timed_hits(hits, key=key, ts=ts, name=name).select(key, ts, name)
 
 
 def next_later_time(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str = "next_ts") -> DataFrame:

@@ -47,16 +47,19 @@ def bounce_by_page(wp: DataFrame, ws: DataFrame) -> DataFrame:
     known sessions), times 100, rounded to 2.  Urls without any bounce are
     absent (inner join), as in the reference.
 
-    Hits are first counted per (session, url), map-side combined, so every
-    later join is between aggregates.
+    Hits are counted per (session, url), map-side combined; each row meets
+    its session's total once, and one aggregate per url gives both counts.
+    A NULL url has no bounced hits, so ``bounced > 0`` drops it too.
     """
     su = (wp.groupBy(SESSION, URL).agg(F.count(F.lit(1)).alias("_h"))
           .join(ws.select(SESSION), SESSION, "left_semi"))
-    single = su.groupBy(SESSION).agg(F.sum("_h").alias("_n")).filter(F.col("_n") == 1).select(SESSION)
-    named = su.where(F.col(URL).isNotNull())
-    bounced = named.join(single, SESSION, "left_semi").groupBy(URL).agg(F.sum("_h").alias("_b"))
-    totals = named.groupBy(URL).agg(F.sum("_h").alias("_t"))
-    return totals.join(bounced, URL, "inner").select(
+    per_session = su.groupBy(SESSION).agg(F.sum("_h").alias("_n"))
+    named = F.col(URL).isNotNull()
+    per_url = su.join(per_session, SESSION, "inner").groupBy(URL).agg(
+        F.sum(F.when(named, F.col("_h")).otherwise(F.lit(0))).alias("_t"),
+        F.sum(F.when(named & (F.col("_n") == 1), F.col("_h")).otherwise(F.lit(0))).alias("_b"),
+    )
+    return per_url.where(F.col("_b") > 0).select(
         URL, round_half_away(pct(F.col("_b"), F.col("_t")), 2).alias("bounce_rate"))
 
 

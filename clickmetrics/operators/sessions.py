@@ -58,12 +58,6 @@ def entry_hits(hits: DataFrame) -> DataFrame:
     return at_first.drop("_fs", "_first_ts").unionByName(hits.where(F.col(TS).isNull()))
 
 
-def first_of_user(df: DataFrame, user: str = USER, order: str = SESSION) -> DataFrame:
-    """``(user, first)``: each user's smallest ``order`` value, i.e. the rows with
-    ``DENSE_RANK() OVER (PARTITION BY user ORDER BY order) = 1``.  NULL users form one group."""
-    return df.groupBy(user).agg(F.min(order).alias("_first"))
-
-
 # Bucket widths of the next-event search: seconds, then hours.  A group never
 # holds more than the distinct timestamps of one second (1e6 at microsecond
 # precision) or the non-empty seconds of one hour (3,600); the top level holds

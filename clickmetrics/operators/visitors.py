@@ -2,10 +2,9 @@
 
 "Rank" in the reference is ``DENSE_RANK() OVER (PARTITION BY user_id ORDER BY
 website_session_id)`` and is only ever tested for ``= 1`` or ``> 1``, i.e.
-"is this the user's smallest session id".  That is a per-user ``min``
-(combined map-side); rows are matched to it by an equi-join on
-``(user, session)``, so a user owning a large share of sessions is spread
-over tasks by session instead of landing in one window partition.
+"is this the user's smallest session id".  That is a per-user ``min`` /
+``min_by`` (combined map-side), so a user owning a large share of sessions
+never lands in one window partition.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickmetrics.functions.compat import round_half_away, soundex_difference
-from clickmetrics.operators.sessions import SESSION, USER, first_of_user
+from clickmetrics.operators.sessions import SESSION, USER
 
 
 def revenue_by_visit_rank(ws: DataFrame, o: DataFrame, oi: DataFrame, which: str = "new") -> DataFrame:
@@ -24,21 +23,23 @@ def revenue_by_visit_rank(ws: DataFrame, o: DataFrame, oi: DataFrame, which: str
     Rank is taken after joining orders and items (so "first" means the first
     session with an ordered item), over distinct (user, session, item, price)
     rows; the sum is cast to double and rounded to 2.  Revenue is summed per
-    session before sessions meet users, so no raw row is shuffled by user.
-    ``website_session_id`` is the sessions key (one user per session).
+    session, then per user ``min_by(revenue, session)`` is the first
+    session's share: one aggregation chain, combined map-side at every step,
+    with no join on the user.  ``website_session_id`` is the sessions key
+    (one user per session).
     """
     if which not in ("new", "repeat"):
         raise ValueError("which must be 'new' or 'repeat'")
     items = (o.select("order_id", SESSION)
              .join(oi.select("order_id", "order_item_id", "price_usd"), "order_id", "inner")
              .select(SESSION, "order_item_id", "price_usd").distinct())
-    per_session = items.groupBy(SESSION).agg(F.sum("price_usd").alias("_rev"))
-    per_session = per_session.join(ws.select(SESSION, USER), SESSION, "inner")
-    firsts = first_of_user(per_session).select(F.col(USER).alias("_fu"), "_first")
-    on_first = per_session[USER].eqNullSafe(firsts["_fu"]) & (per_session[SESSION] == firsts["_first"])
-    keep = per_session.join(firsts, on_first, "left_semi" if which == "new" else "left_anti")
+    per_session = (items.groupBy(SESSION).agg(F.sum("price_usd").alias("_rev"))
+                   .join(ws.select(SESSION, USER), SESSION, "inner"))
+    per_user = per_session.groupBy(USER).agg(F.min_by("_rev", SESSION).alias("_first"),
+                                             F.sum("_rev").alias("_all"))
+    part = F.col("_first") if which == "new" else F.col("_all") - F.col("_first")
     name = "revenue_new_sessions" if which == "new" else "revenue_repeat_sessions"
-    return keep.agg(round_half_away(F.sum("_rev").cast("double"), 2).alias(name))
+    return per_user.agg(round_half_away(F.sum(part).cast("double"), 2).alias(name))
 
 
 def new_vs_repeat(ws: DataFrame) -> DataFrame:

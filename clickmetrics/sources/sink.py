@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from clickmetrics.session import checkpoint_dir
 
 
-def use_database(spark: SparkSession, name: str) -> None:
-    """``CREATE DATABASE`` (if missing) and ``USE`` it for later catalog tables."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+def use_database(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """``CREATE DATABASE`` (if missing, at ``location`` if given) and ``USE`` it."""
+    where = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`{where}")
     spark.catalog.setCurrentDatabase(name)
 
 

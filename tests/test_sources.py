@@ -59,7 +59,7 @@ def test_cluster_conf_scales_with_input():
 
 
 def test_database_and_select_into(spark, prepared):
-    use_database(spark, "clickmetrics_test")
+    use_database(spark, "clickmetrics_test", location=os.path.join(_scratch(spark), "db"))
     try:
         path = os.path.join(_scratch(spark), "session_and_pageview")
         save_table(prepared.sp, path=path, name="session_and_pageview")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +103,7 @@ def load_from_events(spark: SparkSession, sf_dir: str) -> WebTables:
 
 
 _materialized: dict[tuple, WebTables] = {}
+_materialize_lock = threading.Lock()
 
 
 def materialize_events(spark: SparkSession, events: DataFrame, label: str,
@@ -133,9 +135,10 @@ def web_tables_for(spark: SparkSession, sf_dir: str) -> WebTables:
     events_path = f"{sf_dir.rstrip('/')}/events.parquet"
     key = (application_id(spark), checkpoint_dir(spark), events_path,
            input_signature(spark, events_path))
-    if key not in _materialized:
-        label = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
-        _materialized[key] = materialize_events(spark, read_events(spark, sf_dir), label)
+    with _materialize_lock:  # one derivation per input even with concurrent callers
+        if key not in _materialized:
+            label = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
+            _materialized[key] = materialize_events(spark, read_events(spark, sf_dir), label)
     return _materialized[key]
 
 

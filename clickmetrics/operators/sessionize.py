@@ -32,7 +32,7 @@ from clickmetrics.functions.compat import epoch_micros
 
 
 def gap_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts: str = "ts",
-                 tiebreak: str = "event_id") -> DataFrame:
+                 tiebreak: str = "event_id", salt: int = 1) -> DataFrame:
     """Assign sessions to events.
 
     Returns the input columns plus ``session_id`` (smallest ``tiebreak`` value
@@ -43,6 +43,12 @@ def gap_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts:
 
     All aggregates hold fixed-width longs (``min`` / ``max``), so Spark plans
     hash aggregation with map-side combining.
+
+    ``salt > 1`` spreads every (user, bucket) key of the final join over
+    ``salt`` sub-keys: events take ``hash(tiebreak) mod salt``, and the mapping
+    (one row per key) is replicated per sub-key.  A single user-bucket holding
+    a large share of all events then lands in ``salt`` tasks without relying
+    on AQE's skew split.
     """
     gap_us = int(gap_seconds) * 1_000_000
     ev = events.withColumn("_us", epoch_micros(ts)).withColumn("_bucket", F.floor(F.col("_us") / F.lit(gap_us)).cast("long"))
@@ -70,13 +76,15 @@ def gap_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts:
         F.min("_min_id").over(w_sess).alias("session_id"),
         F.min("_first_us").over(w_sess).alias("_start_us"),
     )
-    joined = ev.join(
-        mapping,
-        (ev[user].eqNullSafe(mapping["_m_user"])) & (ev["_bucket"] == mapping["_m_bucket"]),
-        "inner",
-    )
+    cond = (ev[user].eqNullSafe(mapping["_m_user"])) & (ev["_bucket"] == mapping["_m_bucket"])
+    if salt > 1:
+        ev = ev.withColumn("_salt", F.pmod(F.xxhash64(F.col(tiebreak)), F.lit(salt)).cast("int"))
+        mapping = mapping.withColumn("_m_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        cond = (ev[user].eqNullSafe(mapping["_m_user"])) & (ev["_bucket"] == mapping["_m_bucket"]) \
+            & (ev["_salt"] == mapping["_m_salt"])
+    joined = ev.join(mapping, cond, "inner")
     return (joined.withColumn("at_session_start", F.col("_us") == F.col("_start_us"))
-            .drop("_m_user", "_m_bucket", "_us", "_bucket", "_start_us"))
+            .drop("_m_user", "_m_bucket", "_m_salt", "_salt", "_us", "_bucket", "_start_us"))
 
 
 def sessions_of(sessionized: DataFrame, user: str = "user_id", ts: str = "ts", tiebreak: str = "event_id",

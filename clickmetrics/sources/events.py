@@ -23,6 +23,9 @@ from clickmetrics.sources.tables import WebTables
 
 # Fixed adapter parameters and labels (our own test-data rules).
 SESSION_GAP_SECONDS = 12 * 3600
+# Sub-keys per (user, bucket) in the event -> session join (see gap_sessions):
+# replicates the small mapping 8 times so one hot user-bucket spreads over 8 tasks.
+SESSION_JOIN_SALT = 8
 MARKER = "NULL"
 REFERER = "https://search.example"
 
@@ -40,10 +43,11 @@ def _url(event_type: F.Column, k: F.Column) -> F.Column:
             .when(event_type == "purchase", F.lit("/thank-you-for-your-order")))
 
 
-def sessionize_events(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
+def sessionize_events(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS,
+                      salt: int = SESSION_JOIN_SALT) -> DataFrame:
     """Events with ``k`` and their session (:func:`gap_sessions` columns)."""
     ev = events.select("event_id", "ts", "user_id", "event_type", "value", event_k(F.col("props")).alias("k"))
-    return gap_sessions(ev, gap_seconds, user="user_id", ts="ts", tiebreak="event_id")
+    return gap_sessions(ev, gap_seconds, user="user_id", ts="ts", tiebreak="event_id", salt=salt)
 
 
 def web_tables_from_sessionized(hits: DataFrame, session_rows: DataFrame | None = None) -> WebTables:

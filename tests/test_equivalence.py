@@ -112,3 +112,10 @@ def test_ab_test_equals_union_all(spark, prepared):
     literal = [tuple(r) for r in spark.sql(sql).collect()]
     ours = [tuple(r) for r in bounce.page_ab_test(prepared.wp, prepared.ws).collect()]
     assert ours == literal
+
+
+def test_salted_sessionization_is_identical(spark):
+    ev = read_events(spark, SF0001)
+    plain = sorted(tuple(r) for r in gap_sessions(ev, 12 * 3600).select("event_id", "session_id", "session_seq").collect())
+    salted = sorted(tuple(r) for r in gap_sessions(ev, 12 * 3600, salt=7).select("event_id", "session_id", "session_seq").collect())
+    assert plain == salted

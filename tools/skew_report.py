@@ -82,6 +82,16 @@ def main():
     sc.setJobGroup("bucketed", "bucketed gap sessions")
     gap_sessions(hot, 12 * 3600).write.format("noop").mode("overwrite").save()
 
+    # One hot (user, 12h bucket): a third of the events onto one user inside one 12-hour window.
+    burst = hot.withColumn("ts", F.when(F.col("event_id") % 3 == 0,
+                                        F.timestamp_add("SECOND", F.col("event_id") % 40000,
+                                                        F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")))
+                           .otherwise(F.col("ts")))
+    sc.setJobGroup("burst_plain", "hot user-bucket, no salt")
+    gap_sessions(burst, 12 * 3600).write.format("noop").mode("overwrite").save()
+    sc.setJobGroup("burst_salted", "hot user-bucket, salt 8")
+    gap_sessions(burst, 12 * 3600, salt=8).write.format("noop").mode("overwrite").save()
+
     # Next hit on the resulting pageviews (the hot user's events form giant sessions).
     sc.setJobGroup("setup", "derive tables")
     raw = web_tables_from_events(hot)
@@ -111,6 +121,8 @@ def main():
         "hot_user_share": 1 / 3,
         "largest_task_share_lag_window": round(stage_shares(log_dir, "lag_window"), 4),
         "largest_task_share_bucketed": round(stage_shares(log_dir, "bucketed"), 4),
+        "hot_bucket_largest_task_share_plain": round(stage_shares(log_dir, "burst_plain"), 4),
+        "hot_bucket_largest_task_share_salt8": round(stage_shares(log_dir, "burst_salted"), 4),
         "largest_session_share_of_hits": round(biggest / total, 4),
         "next_hit_largest_task_share_session_window": round(stage_shares(log_dir, "lead_window"), 4),
         "next_hit_largest_task_share_bucketed": round(stage_shares(log_dir, "bucketed_next"), 4),

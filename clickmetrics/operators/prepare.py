@@ -12,6 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 
 from clickmetrics.functions.compat import label_marker
+from clickmetrics.operators.joins import DEFAULT_SALT, salted_join
 from clickmetrics.sources.schema import SESSION_PAGEVIEW_COLUMNS
 from clickmetrics.sources.tables import WebTables
 
@@ -33,9 +34,15 @@ def clean_sessions(ws: DataFrame) -> DataFrame:
     return label_missing(ws, "utm_content", MISSING_MARKER, DIRECT_SEARCH)
 
 
-def session_pageviews(wp: DataFrame, ws: DataFrame) -> DataFrame:
-    """Pageviews inner-joined to their session, the 11 reference columns in order."""
-    return wp.join(ws.drop("created_at"), "website_session_id", "inner").select(*SESSION_PAGEVIEW_COLUMNS)
+def session_pageviews(wp: DataFrame, ws: DataFrame, salt: int = DEFAULT_SALT) -> DataFrame:
+    """Pageviews inner-joined to their session, the 11 reference columns in order.
+
+    The result has one row per hit, so the hits must move to their session;
+    the join is salted by pageview id so one large session spreads over
+    ``salt`` tasks (the sessions side, one row per session, is replicated).
+    """
+    return salted_join(wp, ws.drop("created_at"), ["website_session_id"], "inner", salt,
+                       spread_by=["website_pageview_id"]).select(*SESSION_PAGEVIEW_COLUMNS)
 
 
 def prepare(tables: WebTables) -> WebTables:

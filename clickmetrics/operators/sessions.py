@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickmetrics.functions.compat import epoch_micros
+from clickmetrics.operators.joins import DEFAULT_SALT, salted_join
 
 SESSION = "website_session_id"
 USER = "user_id"
@@ -125,7 +126,8 @@ def next_times(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str = "n
     return timed_hits(hits, key=key, ts=ts, name=name).select(key, ts, name)
 
 
-def next_later_time(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str = "next_ts") -> DataFrame:
+def next_later_time(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str = "next_ts",
+                    salt: int = DEFAULT_SALT, spread_by: tuple[str, ...] | None = None) -> DataFrame:
     """Add ``name`` to every hit: the earliest ``ts`` of the same ``key`` that is
     *strictly later*.
 
@@ -135,8 +137,10 @@ def next_later_time(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str
     get NULL, as the join gives them no partner.  Metrics that only need
     per-page sums should join :func:`next_times` to hits already counted per
     ``(key, ts, page)`` instead, so identical copies never meet the join.
+    The join back to every hit is salted (by ``spread_by``, default all hit
+    columns), so many hits sharing one (key, time) spread over tasks.
     """
-    return hits.join(next_times(hits, key, ts, name), [key, ts], "left")
+    return salted_join(hits, next_times(hits, key, ts, name), [key, ts], "left", salt, spread_by)
 
 
 def hits_at_time(hits: DataFrame, *cols: str) -> DataFrame:

@@ -58,7 +58,7 @@ CATALOG: dict[str, Plan] = {
     "d3_order_items": lambda t: t.raw.order_items,
     "t12_clean_sessions": lambda t: t.ws,
     "t3_session_pageviews": lambda t: t.sp,
-    "jn6_next_event": lambda t: next_later_time(t.wp).select(
+    "jn6_next_event": lambda t: next_later_time(t.wp, spread_by=("website_pageview_id",)).select(
         "website_pageview_id", "website_session_id", "created_at", "next_ts"),
     "m01_total_visits": lambda t: traffic.total_visits(t.ws),
     "m02_unique_visitors": lambda t: traffic.unique_visitors(t.ws),

@@ -119,3 +119,15 @@ def test_salted_sessionization_is_identical(spark):
     plain = sorted(tuple(r) for r in gap_sessions(ev, 12 * 3600).select("event_id", "session_id", "session_seq").collect())
     salted = sorted(tuple(r) for r in gap_sessions(ev, 12 * 3600, salt=7).select("event_id", "session_id", "session_seq").collect())
     assert plain == salted
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_equals_plain_join(spark, how):
+    from clickmetrics.operators.joins import salted_join
+
+    big = spark.createDataFrame([(i, i % 3 if i % 7 else None, f"v{i}") for i in range(60)], "id long, k long, v string")
+    small = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (None, "n"), (5, "z")], "k long, w string")
+    plain = sorted(tuple(r) for r in big.join(small, ["k"], how).select("id", "k", "v", "w").collect())
+    salted = sorted(tuple(r) for r in salted_join(big, small, ["k"], how, salt=5, spread_by=["id"])
+                    .select("id", "k", "v", "w").collect())
+    assert salted == plain

@@ -18,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickmetrics.constants import (CAMPAIGN_NAME, CAMPAIGN_SOURCE, DIRECT_SEARCH, HOME_LABEL, HOME_PAGE,
+                                    LANDER_LABEL, LANDER_PAGE, TREND_END, TREND_START)
 from clickmetrics.functions.compat import ntz, pct, pct_scaled_first, round_half_away, week_start
-from clickmetrics.operators.prepare import DIRECT_SEARCH
 from clickmetrics.operators.sessions import SESSION, TS, URL, hits_per_session
 
 
@@ -81,7 +82,7 @@ def _arm_counts(per_session: DataFrame, arms: dict[str, str]) -> DataFrame:
     return rows.withColumn("bounce_rate", pct(F.col("bounced_sessions"), F.col("total_sessions")))
 
 
-def page_bounce(wp: DataFrame, page: str = "/home", label: str = "Home") -> DataFrame:
+def page_bounce(wp: DataFrame, page: str = HOME_PAGE, label: str = HOME_LABEL) -> DataFrame:
     """Sessions with a hit on ``page``, how many of them are one-hit sessions, and the rate."""
     per_session = wp.where(F.col(SESSION).isNotNull()).groupBy(SESSION).agg(
         F.count("website_pageview_id").alias("_n"),
@@ -91,14 +92,14 @@ def page_bounce(wp: DataFrame, page: str = "/home", label: str = "Home") -> Data
 
 
 def page_ab_test(wp: DataFrame, ws: DataFrame, pages: dict[str, str] | None = None,
-                 source: str = "gsearch", campaign: str = "nonbrand") -> DataFrame:
+                 source: str = CAMPAIGN_SOURCE, campaign: str = CAMPAIGN_NAME) -> DataFrame:
     """Landing-page test, one row per arm: campaign sessions having the arm's
     page, those with a single hit (counted over *all* their hits), and the rate.
 
     Hits are reduced to one row of flags per session before the campaign
     filter (a semi-join of two session-keyed aggregates).
     """
-    pages = pages or {"Home": "/home", "Lander-1": "/lander-1"}
+    pages = pages or {HOME_LABEL: HOME_PAGE, LANDER_LABEL: LANDER_PAGE}
     campaign_sessions = ws.filter((F.col("utm_source") == source) & (F.col("utm_campaign") == campaign)).select(SESSION)
     flags = [F.max((F.col(URL) == F.lit(url)).cast("int")).alias(f"_f{i}") for i, url in enumerate(pages.values())]
     per_session = (wp.groupBy(SESSION).agg(F.count("website_pageview_id").alias("_n"), *flags)
@@ -107,9 +108,9 @@ def page_ab_test(wp: DataFrame, ws: DataFrame, pages: dict[str, str] | None = No
     return _arm_counts(per_session, pages)
 
 
-def weekly_page_trend(wp: DataFrame, ws: DataFrame, pages: tuple[str, ...] = ("/home", "/lander-1"),
-                      source: str = "gsearch", campaign: str = "nonbrand",
-                      start: str = "2012-06-01", end: str = "2012-08-31") -> DataFrame:
+def weekly_page_trend(wp: DataFrame, ws: DataFrame, pages: tuple[str, ...] = (HOME_PAGE, LANDER_PAGE),
+                      source: str = CAMPAIGN_SOURCE, campaign: str = CAMPAIGN_NAME,
+                      start: str = TREND_START, end: str = TREND_END) -> DataFrame:
     """Weekly campaign traffic per page with bounce rate.
 
     Hits are filtered to ``start <= created_at <= end`` (inclusive; text dates

@@ -7,22 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickmetrics.constants import (BILLING_PAGES, CAMPAIGN_NAME, CAMPAIGN_SOURCE, FUNNEL_END, FUNNEL_START,
+                                    FUNNEL_STEPS)
 from clickmetrics.functions.compat import ntz, pct, round_half_away, safe_ratio
 from clickmetrics.operators.sessions import SESSION, TS, URL
 
-# The reference's funnel, as (step name, url, rate-column prefix).
-REFERENCE_FUNNEL = (
-    ("lander", "/lander-1", "lander"),
-    ("product", "/products", "products"),
-    ("fuzzy", "/the-original-mr-fuzzy", "fuzzy"),
-    ("cart", "/cart", "cart"),
-    ("shipping", "/shipping", "shipping"),
-    ("billing", "/billing", "billing"),
-    ("thankyou", "/thank-you-for-your-order", "thankyou"),
-)
+REFERENCE_FUNNEL = FUNNEL_STEPS
 
 
-def page_order_rate(wp: DataFrame, o: DataFrame, pages: Sequence[str] = ("/billing", "/billing-2"),
+def page_order_rate(wp: DataFrame, o: DataFrame, pages: Sequence[str] = BILLING_PAGES,
                     before: str | None = None) -> DataFrame:
     """M29 / M30 (``before`` = strict time cut-off on the hit): per page, its hits,
     its (order, hit) pairs joined by session, and pairs / hits (0 when no hits).
@@ -47,8 +40,8 @@ def page_order_rate(wp: DataFrame, o: DataFrame, pages: Sequence[str] = ("/billi
 
 
 def funnel(wp: DataFrame, ws: DataFrame, steps: Sequence[tuple[str, str, str]] = REFERENCE_FUNNEL,
-           source: str = "gsearch", campaign: str = "nonbrand",
-           start: str = "2012-08-05", end: str = "2012-09-05", rates_only: bool = False) -> DataFrame:
+           source: str = CAMPAIGN_SOURCE, campaign: str = CAMPAIGN_NAME,
+           start: str = FUNNEL_START, end: str = FUNNEL_END, rates_only: bool = False) -> DataFrame:
     """M31 / M32 (``rates_only``): set-membership funnel over the derived table.
 
     Per session (campaign sessions, hits with ``start <= created_at <= end``)

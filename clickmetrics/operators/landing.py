@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickmetrics.constants import DIRECT_SEARCH, GOAL_PAGE
 from clickmetrics.functions.compat import boundary_diff, pct, round_half_away
-from clickmetrics.operators.prepare import DIRECT_SEARCH
 from clickmetrics.operators.sessions import SESSION, TS, URL, time_buckets, timed_hits
 
-GOAL_PAGE = "/thank-you-for-your-order"
 
 
 def landing_time(wp: DataFrame, ws: DataFrame, by: str | None = None, label: str = DIRECT_SEARCH) -> DataFrame:

@@ -11,15 +11,12 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
+from clickmetrics.constants import DIRECT_SEARCH, DIRECT_SOURCE, MISSING_MARKER
 from clickmetrics.functions.compat import label_marker
 from clickmetrics.operators.joins import DEFAULT_SALT, salted_join
 from clickmetrics.sources.schema import SESSION_PAGEVIEW_COLUMNS
 from clickmetrics.sources.tables import WebTables
 
-# The text marker and the labels that replace it.
-MISSING_MARKER = "NULL"
-DIRECT_SOURCE = "Direct_Source"
-DIRECT_SEARCH = "Direct_Search"
 
 
 def label_missing(df: DataFrame, col: str = "utm_source", marker: str = MISSING_MARKER,

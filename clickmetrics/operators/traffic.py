@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickmetrics.constants import DIRECT_SEARCH
 from clickmetrics.functions.compat import round_half_away
-from clickmetrics.operators.prepare import DIRECT_SEARCH
 
 SESSION = "website_session_id"
 

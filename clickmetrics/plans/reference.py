@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clickmetrics.constants import BILLING_CUTOFF
 from clickmetrics.operators import bounce, conversion
 from clickmetrics.plans.catalog import CATALOG, Plan, Prepared
 from clickmetrics.sources.tables import load_web_tables
 
-# The reference's cut-off for the billing-page test before the change.
-REFERENCE_ORDER_CUTOFF = "2012-10-10"
+REFERENCE_ORDER_CUTOFF = BILLING_CUTOFF
 
 REFERENCE_PLANS: dict[str, Plan] = dict(CATALOG)
 REFERENCE_PLANS.update({

@@ -5,7 +5,10 @@ import sys
 from decimal import Decimal
 from pathlib import Path
 
+import os
+
 import pytest
+from hypothesis import HealthCheck, settings
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
@@ -14,6 +17,12 @@ from clickmetrics.session import checkpoint_dir, get_spark  # noqa: E402
 from clickmetrics.sources.schema import ORDER_ITEMS, ORDERS, WEBSITE_PAGEVIEWS, WEBSITE_SESSIONS  # noqa: E402
 from clickmetrics.sources.tables import WebTables  # noqa: E402
 
+# Property tests: deterministic examples by default (stable runs); HYPOTHESIS_PROFILE=deep explores more.
+_HYP = dict(deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+settings.register_profile("ci", max_examples=12, derandomize=True, **_HYP)
+settings.register_profile("deep", max_examples=150, **_HYP)
+settings.load_profile(os.environ.get("HYPOTHESIS_PROFILE", "ci"))
+
 SF0001 = "/root/testdata/sf0.001"
 SF001 = "/root/testdata/sf0.01"
 

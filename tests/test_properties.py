@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import given
 from hypothesis import strategies as st
 
 from clickmetrics.operators import bounce, conversion, engagement, visitors
@@ -48,7 +48,6 @@ _events = st.lists(
     min_size=1, max_size=25)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(_events, st.sampled_from([1800, 3600, 12 * 3600]))
 def test_sessionization_matches_lag_window(spark, evs, gap):
     t0 = dt.datetime(2024, 1, 1)
@@ -76,7 +75,6 @@ def _hits_df(spark, hs):
                                        "website_session_id long, pageview_url string")
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(_hits)
 def test_next_time_matches_self_join(spark, hs):
     from clickmetrics.operators.sessions import next_later_time
@@ -88,7 +86,6 @@ def test_next_time_matches_self_join(spark, hs):
     assert ours == ref
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(_hits)
 def test_entry_hits_match_dense_rank(spark, hs):
     from pyspark.sql import Window

@@ -26,6 +26,8 @@ SESSION_GAP_SECONDS = 12 * 3600
 # Sub-keys per (user, bucket) in the event -> session join (see gap_sessions):
 # replicates the small mapping 8 times so one hot user-bucket spreads over 8 tasks.
 SESSION_JOIN_SALT = 8
+# Parquet row-group size of the written sessionized events (see materialize_events).
+ROW_GROUP_BYTES = 16 * 1024 * 1024
 MARKER = "NULL"
 REFERER = "https://search.example"
 
@@ -125,9 +127,11 @@ def materialize_events(spark: SparkSession, events: DataFrame, label: str,
     """
     root = os.path.join(checkpoint_dir(spark), "web_tables", label)
     hits_path, sess_path = os.path.join(root, "sessionized_events"), os.path.join(root, "session_rows")
-    # Sorting each partition by time (local, no shuffle) gives every Parquet row
-    # group a narrow time range, so pushed-down date filters skip row groups.
-    sessionize_events(events, gap_seconds).sortWithinPartitions("ts").write.mode("overwrite").parquet(hits_path)
+    # Each partition is sorted by time (local, no shuffle) and written in 16 MB row
+    # groups, so a ~256 MB file holds ~16 row groups that each cover a slice of its
+    # time span; a pushed-down date filter skips the row groups outside its range.
+    (sessionize_events(events, gap_seconds).sortWithinPartitions("ts")
+     .write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(hits_path))
     hits = spark.read.parquet(hits_path)
     sessions_of(hits, carry=("k",)).write.mode("overwrite").parquet(sess_path)
     return web_tables_from_sessionized(hits, spark.read.parquet(sess_path))

@@ -113,7 +113,7 @@ _materialize_lock = threading.Lock()
 
 
 def materialize_events(spark: SparkSession, events: DataFrame, label: str,
-                       gap_seconds: int = SESSION_GAP_SECONDS) -> WebTables:
+                       gap_seconds: int = SESSION_GAP_SECONDS, row_group_bytes: int = ROW_GROUP_BYTES) -> WebTables:
     """Sessionize ``events`` once, write the result under the shared checkpoint
     folder, and return the web tables as projections of the written files.
 
@@ -131,7 +131,7 @@ def materialize_events(spark: SparkSession, events: DataFrame, label: str,
     # groups, so a ~256 MB file holds ~16 row groups that each cover a slice of its
     # time span; a pushed-down date filter skips the row groups outside its range.
     (sessionize_events(events, gap_seconds).sortWithinPartitions("ts")
-     .write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(hits_path))
+     .write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(hits_path))
     hits = spark.read.parquet(hits_path)
     sessions_of(hits, carry=("k",)).write.mode("overwrite").parquet(sess_path)
     return web_tables_from_sessionized(hits, spark.read.parquet(sess_path))

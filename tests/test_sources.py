@@ -77,3 +77,27 @@ def test_web_tables_checked(golden):
     assert golden.checked().pageviews.columns == golden.pageviews.columns
     with pytest.raises(SchemaError):
         replace(golden, orders=golden.orders.drop("website_session_id")).checked()
+
+
+def test_sessionized_events_row_groups_are_time_ordered(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from clickmetrics.sources.events import materialize_events, read_events
+    from conftest import SF001
+
+    label = "rowgroups-" + os.path.basename(_scratch(spark))
+    t = materialize_events(spark, read_events(spark, SF001), label, row_group_bytes=32 * 1024)
+    files = glob.glob(os.path.join(checkpoint_dir(spark), "web_tables", label, "sessionized_events", "*.parquet"))
+    groups = 0
+    for f in files:
+        md = pq.ParquetFile(f).metadata
+        ts = [md.schema.column(i).name for i in range(md.num_columns)].index("ts")
+        spans = [(md.row_group(g).column(ts).statistics.min, md.row_group(g).column(ts).statistics.max)
+                 for g in range(md.num_row_groups)]
+        groups += len(spans)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))  # increasing, non-overlapping
+    assert groups > len(files)  # several row groups per file to skip between
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in \
+        t.pageviews.filter("created_at >= TIMESTAMP_NTZ'2024-01-10 00:00:00'")._jdf.queryExecution().executedPlan().toString()

@@ -101,3 +101,23 @@ def test_sessionized_events_row_groups_are_time_ordered(spark):
     assert groups > len(files)  # several row groups per file to skip between
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in \
         t.pageviews.filter("created_at >= TIMESTAMP_NTZ'2024-01-10 00:00:00'")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_derived_tables_follow_input_changes(spark):
+    from pyspark.sql import functions as F
+
+    from clickmetrics.sources.events import read_events, web_tables_for
+    from conftest import SF0001
+
+    root = _scratch(spark)
+    events = read_events(spark, SF0001)
+    events.write.parquet(os.path.join(root, "events.parquet"))
+    first = web_tables_for(spark, root)
+    assert web_tables_for(spark, root) is first  # same input: derived once
+    n = first.pageviews.count()
+    # New events for a new user arrive as another file of the same table.
+    extra = events.limit(5).withColumn("user_id", F.lit(10_000_000)).withColumn("event_id", F.col("event_id") + 10_000_000)
+    extra.write.mode("append").parquet(os.path.join(root, "events.parquet"))
+    second = web_tables_for(spark, root)
+    assert second is not first
+    assert second.pageviews.count() == n + 5

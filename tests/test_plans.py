@@ -40,3 +40,30 @@ def test_next_event_has_no_range_self_join(spark):
     for line in p.splitlines():
         if "Join" in line:
             assert "<" not in line.split("Join", 1)[1] or "<=>" in line
+
+
+@pytest.mark.parametrize("name", ["m09_time_on_page", "m16_landing_time", "m17_landing_time_by_page"])
+def test_hits_are_shuffled_once_per_step_at_cluster_shape(spark, name):
+    """With no broadcast (cluster sizes), the final plan moves hit-sized data in exactly two
+    exchanges: the per-(session, time, page) count and one repartition by (session, hour, second)."""
+    import re
+
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        df = QUERIES[name](spark, SF0001)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        lines = [l for l in final.splitlines() if "ReusedExchange" not in l]
+        counted = [l for l in lines if re.search(r"Exchange hashpartitioning\(website_session_id#\d+L?, created_at#\d+, pageview_url", l)]
+        repart = [l for l in lines if "REPARTITION_BY_COL" in l]
+        assert len(counted) == 1 and len(repart) == 1
+        assert "SortMergeJoin" in final and "BroadcastHashJoin" not in final
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

@@ -1,4 +1,17 @@
-"""Salted equi-join for a large side whose keys may be very unevenly shared."""
+"""Equi-joins whose large side may concentrate on a few keys.
+
+A key holding a large share of the large side would put all its rows into
+one reduce task.  :func:`skew_join` splits only such *hot* keys: each gets a
+fan-out ``ceil(rows / threshold)`` (at most ``max_salt``); its rows on the
+large side are spread over that many sub-keys by a hash of their identity,
+and its rows on the small side are replicated once per sub-key.  Cold keys
+join exactly as before, so ordinary data pays nothing.
+
+The hot-key table is broadcast.  Its size is bounded by construction: a key
+is hot only with more than ``threshold`` rows, so there are at most
+``rows / threshold`` of them (1e12 rows and the default 2e6 give at most
+500,000 small rows).
+"""
 
 from __future__ import annotations
 
@@ -7,24 +20,37 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Sub-keys per join key used by the registered plans that join raw hits.
-DEFAULT_SALT = 8
+# Rows per key above which a key is split, and the largest fan-out.
+HOT_KEY_ROWS = 2_000_000
+MAX_SALT = 64
+
+
+def hot_keys(counts: DataFrame, keys: Sequence[str], count_col: str,
+             threshold: int = HOT_KEY_ROWS, max_salt: int = MAX_SALT) -> DataFrame:
+    """``(*keys, _fan)`` for the keys of ``counts`` with more than ``threshold`` rows."""
+    fan = F.least(F.lit(max_salt), F.ceil(F.col(count_col) / F.lit(threshold))).cast("int")
+    return counts.where(F.col(count_col) > threshold).select(*keys, fan.alias("_fan"))
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
-                salt: int = DEFAULT_SALT, spread_by: Sequence[str] | None = None) -> DataFrame:
-    """``big.join(small, keys, how)`` with each key split ``salt`` ways.
+def skew_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
+              hot: DataFrame | None = None, spread_by: Sequence[str] | None = None,
+              threshold: int = HOT_KEY_ROWS, max_salt: int = MAX_SALT) -> DataFrame:
+    """``big.join(small, keys, how)`` (``inner`` or ``left``) with hot keys split.
 
-    Rows of ``big`` take ``hash(spread_by) mod salt`` (``spread_by`` should
-    identify a row, e.g. a pageview id); ``small`` is replicated once per
-    sub-key.  Every ``big`` row still meets exactly the ``small`` rows of its
-    key, so the result is the plain join's, but a key holding a large share
-    of ``big`` lands in ``salt`` tasks instead of one.  Meant for ``inner``
-    and ``left`` joins where ``small`` is much smaller than ``big``.
+    ``hot`` is the ``(*keys, _fan)`` table of hot keys when the caller already
+    has per-key counts (see :func:`hot_keys`); otherwise it is computed from
+    ``big`` with one map-side-combined count.  ``spread_by`` names columns
+    that identify a row of ``big`` (default: all of them).
     """
-    if salt <= 1:
-        return big.join(small, list(keys), how)
+    keys = list(keys)
+    if hot is None:
+        hot = hot_keys(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows", threshold, max_salt)
+    hot = F.broadcast(hot)  # at most rows / threshold keys (module docstring)
     cols = list(spread_by) if spread_by else big.columns
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salt)).cast("int"))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return b.join(s, list(keys) + ["_salt"], how).drop("_salt")
+    salt = F.when(F.col("_fan").isNull(), F.lit(0)).otherwise(
+        F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.col("_fan")).cast("int"))
+    b = big.join(hot, keys, "left").withColumn("_salt", salt).drop("_fan")
+    s = (small.join(hot, keys, "left")
+         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_fan"), F.lit(1)) - 1)))
+         .drop("_fan"))
+    return b.join(s, keys + ["_salt"], how).drop("_salt")

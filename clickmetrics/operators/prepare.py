@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from clickmetrics.constants import DIRECT_SEARCH, DIRECT_SOURCE, MISSING_MARKER
 from clickmetrics.functions.compat import label_marker
-from clickmetrics.operators.joins import DEFAULT_SALT, salted_join
+from clickmetrics.operators.joins import HOT_KEY_ROWS, skew_join
 from clickmetrics.sources.schema import SESSION_PAGEVIEW_COLUMNS
 from clickmetrics.sources.tables import WebTables
 
@@ -31,15 +31,15 @@ def clean_sessions(ws: DataFrame) -> DataFrame:
     return label_missing(ws, "utm_content", MISSING_MARKER, DIRECT_SEARCH)
 
 
-def session_pageviews(wp: DataFrame, ws: DataFrame, salt: int = DEFAULT_SALT) -> DataFrame:
+def session_pageviews(wp: DataFrame, ws: DataFrame, hot_threshold: int = HOT_KEY_ROWS) -> DataFrame:
     """Pageviews inner-joined to their session, the 11 reference columns in order.
 
     The result has one row per hit, so the hits must move to their session;
-    the join is salted by pageview id so one large session spreads over
-    ``salt`` tasks (the sessions side, one row per session, is replicated).
+    a session with more than ``hot_threshold`` hits is spread over several
+    tasks by pageview id (:func:`~clickmetrics.operators.joins.skew_join`).
     """
-    return salted_join(wp, ws.drop("created_at"), ["website_session_id"], "inner", salt,
-                       spread_by=["website_pageview_id"]).select(*SESSION_PAGEVIEW_COLUMNS)
+    return skew_join(wp, ws.drop("created_at"), ["website_session_id"], "inner",
+                     spread_by=["website_pageview_id"], threshold=hot_threshold).select(*SESSION_PAGEVIEW_COLUMNS)
 
 
 def prepare(tables: WebTables) -> WebTables:

@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickmetrics.functions.compat import epoch_micros
+from clickmetrics.operators.joins import HOT_KEY_ROWS, hot_keys, skew_join
 
 
 def gap_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts: str = "ts",
-                 tiebreak: str = "event_id", salt: int = 1) -> DataFrame:
+                 tiebreak: str = "event_id", hot_threshold: int = HOT_KEY_ROWS) -> DataFrame:
     """Assign sessions to events.
 
     Returns the input columns plus ``session_id`` (smallest ``tiebreak`` value
@@ -44,11 +45,9 @@ def gap_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts:
     All aggregates hold fixed-width longs (``min`` / ``max``), so Spark plans
     hash aggregation with map-side combining.
 
-    ``salt > 1`` spreads every (user, bucket) key of the final join over
-    ``salt`` sub-keys: events take ``hash(tiebreak) mod salt``, and the mapping
-    (one row per key) is replicated per sub-key.  A single user-bucket holding
-    a large share of all events then lands in ``salt`` tasks without relying
-    on AQE's skew split.
+    The final event -> session join is a :func:`~clickmetrics.operators.joins.skew_join`:
+    a (user, bucket) with more than ``hot_threshold`` events (known from the
+    bucket aggregate, no extra pass) is spread over several tasks.
     """
     gap_us = int(gap_seconds) * 1_000_000
     ev = events.withColumn("_us", epoch_micros(ts)).withColumn("_bucket", F.floor(F.col("_us") / F.lit(gap_us)).cast("long"))
@@ -57,6 +56,7 @@ def gap_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts:
         F.min("_us").alias("_first_us"),
         F.max("_us").alias("_last_us"),
         F.min(tiebreak).alias("_min_id"),
+        F.count(F.lit(1)).alias("_n"),
     )
 
     w_user = Window.partitionBy(user).orderBy("_bucket")
@@ -76,15 +76,18 @@ def gap_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts:
         F.min("_min_id").over(w_sess).alias("session_id"),
         F.min("_first_us").over(w_sess).alias("_start_us"),
     )
-    cond = (ev[user].eqNullSafe(mapping["_m_user"])) & (ev["_bucket"] == mapping["_m_bucket"])
-    if salt > 1:
-        ev = ev.withColumn("_salt", F.pmod(F.xxhash64(F.col(tiebreak)), F.lit(salt)).cast("int"))
-        mapping = mapping.withColumn("_m_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        cond = (ev[user].eqNullSafe(mapping["_m_user"])) & (ev["_bucket"] == mapping["_m_bucket"]) \
-            & (ev["_salt"] == mapping["_m_salt"])
-    joined = ev.join(mapping, cond, "inner")
+    # Null-safe join keys: a NULL user is one group, as in the window formulation.
+    def keyed(df: DataFrame, u: str, b: str) -> DataFrame:
+        return (df.withColumn("_k1", F.coalesce(F.col(u), F.lit(0)).cast("long"))
+                  .withColumn("_k2", F.col(u).isNull())
+                  .withColumn("_k3", F.col(b)))
+
+    keys = ["_k1", "_k2", "_k3"]
+    hot = hot_keys(keyed(buckets, user, "_bucket"), keys, "_n", hot_threshold)
+    joined = skew_join(keyed(ev, user, "_bucket"), keyed(mapping, "_m_user", "_m_bucket").drop("_m_user", "_m_bucket"),
+                       keys, "inner", hot=hot, spread_by=[tiebreak], threshold=hot_threshold)
     return (joined.withColumn("at_session_start", F.col("_us") == F.col("_start_us"))
-            .drop("_m_user", "_m_bucket", "_m_salt", "_salt", "_us", "_bucket", "_start_us"))
+            .drop(*keys, "_us", "_bucket", "_start_us"))
 
 
 def sessions_of(sessionized: DataFrame, user: str = "user_id", ts: str = "ts", tiebreak: str = "event_id",

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickmetrics.functions.compat import epoch_micros
-from clickmetrics.operators.joins import DEFAULT_SALT, salted_join
+from clickmetrics.operators.joins import HOT_KEY_ROWS, hot_keys, skew_join
 
 SESSION = "website_session_id"
 USER = "user_id"
@@ -73,6 +73,14 @@ def time_buckets(ts: str = TS) -> tuple:
     return (F.floor(us / F.lit(l2)).cast("long").alias("_b2"), F.floor(us / F.lit(l1)).cast("long").alias("_b1"))
 
 
+def _valid(hits: DataFrame, key: str, ts: str) -> DataFrame:
+    return hits.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+
+
+def _time_counts(valid: DataFrame, key: str, ts: str, *cols: str) -> DataFrame:
+    return valid.groupBy(key, ts, *cols).agg(F.count(F.lit(1)).alias("_c"))
+
+
 def timed_hits(hits: DataFrame, *cols: str, key: str = SESSION, ts: str = TS, name: str = "next_ts") -> DataFrame:
     """Hits with a non-NULL key and time, counted per ``(key, ts, *cols)`` (``_c``),
     each with ``name``: the earliest time of the same key that is *strictly
@@ -95,8 +103,8 @@ def timed_hits(hits: DataFrame, *cols: str, key: str = SESSION, ts: str = TS, na
     Every window group is bounded by its bucket: the rows of one second, the
     non-empty seconds of one hour, or the key's non-empty hours.
     """
-    valid = hits.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
-    c = (valid.groupBy(key, ts, *cols).agg(F.count(F.lit(1)).alias("_c"))
+    valid = _valid(hits, key, ts)
+    c = (_time_counts(valid, key, ts, *cols)
          .withColumn("_us", epoch_micros(ts))
          .select("*", *time_buckets(ts))
          .repartition(key, "_b2", "_b1"))
@@ -127,7 +135,7 @@ def next_times(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str = "n
 
 
 def next_later_time(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str = "next_ts",
-                    salt: int = DEFAULT_SALT, spread_by: tuple[str, ...] | None = None) -> DataFrame:
+                    spread_by: tuple[str, ...] | None = None, hot_threshold: int = HOT_KEY_ROWS) -> DataFrame:
     """Add ``name`` to every hit: the earliest ``ts`` of the same ``key`` that is
     *strictly later*.
 
@@ -137,10 +145,13 @@ def next_later_time(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str
     get NULL, as the join gives them no partner.  Metrics that only need
     per-page sums should join :func:`next_times` to hits already counted per
     ``(key, ts, page)`` instead, so identical copies never meet the join.
-    The join back to every hit is salted (by ``spread_by``, default all hit
-    columns), so many hits sharing one (key, time) spread over tasks.
+    The join back to every hit is a skew join: a (key, time) shared by more
+    than ``hot_threshold`` hits (known from the count the next-time search
+    starts with) is spread over several tasks by ``spread_by``.
     """
-    return salted_join(hits, next_times(hits, key, ts, name), [key, ts], "left", salt, spread_by)
+    hot = hot_keys(_time_counts(_valid(hits, key, ts), key, ts), [key, ts], "_c", hot_threshold)
+    return skew_join(hits, next_times(hits, key, ts, name), [key, ts], "left", hot=hot, spread_by=spread_by,
+                     threshold=hot_threshold)
 
 
 def hits_at_time(hits: DataFrame, *cols: str) -> DataFrame:

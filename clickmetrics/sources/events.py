@@ -17,15 +17,13 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickmetrics.operators.joins import HOT_KEY_ROWS
 from clickmetrics.operators.sessionize import gap_sessions, sessions_of
 from clickmetrics.session import application_id, checkpoint_dir, input_signature
 from clickmetrics.sources.tables import WebTables
 
 # Fixed adapter parameters and labels (our own test-data rules).
 SESSION_GAP_SECONDS = 12 * 3600
-# Sub-keys per (user, bucket) in the event -> session join (see gap_sessions):
-# replicates the small mapping 8 times so one hot user-bucket spreads over 8 tasks.
-SESSION_JOIN_SALT = 8
 # Parquet row-group size of the written sessionized events (see materialize_events).
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 MARKER = "NULL"
@@ -46,10 +44,10 @@ def _url(event_type: F.Column, k: F.Column) -> F.Column:
 
 
 def sessionize_events(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS,
-                      salt: int = SESSION_JOIN_SALT) -> DataFrame:
+                      hot_threshold: int = HOT_KEY_ROWS) -> DataFrame:
     """Events with ``k`` and their session (:func:`gap_sessions` columns)."""
     ev = events.select("event_id", "ts", "user_id", "event_type", "value", event_k(F.col("props")).alias("k"))
-    return gap_sessions(ev, gap_seconds, user="user_id", ts="ts", tiebreak="event_id", salt=salt)
+    return gap_sessions(ev, gap_seconds, user="user_id", ts="ts", tiebreak="event_id", hot_threshold=hot_threshold)
 
 
 def web_tables_from_sessionized(hits: DataFrame, session_rows: DataFrame | None = None) -> WebTables:

@@ -114,20 +114,35 @@ def test_ab_test_equals_union_all(spark, prepared):
     assert ours == literal
 
 
-def test_salted_sessionization_is_identical(spark):
+def test_skew_split_sessionization_is_identical(spark):
     ev = read_events(spark, SF0001)
-    plain = sorted(tuple(r) for r in gap_sessions(ev, 12 * 3600).select("event_id", "session_id", "session_seq").collect())
-    salted = sorted(tuple(r) for r in gap_sessions(ev, 12 * 3600, salt=7).select("event_id", "session_id", "session_seq").collect())
-    assert plain == salted
+    cols = ("event_id", "session_id", "session_seq")
+    plain = sorted(tuple(r) for r in gap_sessions(ev, 12 * 3600).select(*cols).collect())
+    # threshold 2: most (user, bucket) keys are "hot" and get split
+    split = sorted(tuple(r) for r in gap_sessions(ev, 12 * 3600, hot_threshold=2).select(*cols).collect())
+    assert plain == split
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_equals_plain_join(spark, how):
-    from clickmetrics.operators.joins import salted_join
+def test_skew_join_equals_plain_join(spark, how):
+    from clickmetrics.operators.joins import skew_join
 
     big = spark.createDataFrame([(i, i % 3 if i % 7 else None, f"v{i}") for i in range(60)], "id long, k long, v string")
     small = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (None, "n"), (5, "z")], "k long, w string")
     plain = sorted(tuple(r) for r in big.join(small, ["k"], how).select("id", "k", "v", "w").collect())
-    salted = sorted(tuple(r) for r in salted_join(big, small, ["k"], how, salt=5, spread_by=["id"])
-                    .select("id", "k", "v", "w").collect())
-    assert salted == plain
+    split = sorted(tuple(r) for r in skew_join(big, small, ["k"], how, spread_by=["id"], threshold=3)
+                   .select("id", "k", "v", "w").collect())
+    assert split == plain
+
+
+def test_skew_split_row_level_outputs_are_identical(spark, golden):
+    from clickmetrics.operators.prepare import session_pageviews
+
+    hits = golden.pageviews
+    a = sorted(tuple(r) for r in next_later_time(hits).select("website_pageview_id", "next_ts").collect())
+    b = sorted(tuple(r) for r in next_later_time(hits, spread_by=("website_pageview_id",), hot_threshold=1)
+               .select("website_pageview_id", "next_ts").collect())
+    assert a == b
+    p1 = sorted(tuple(r) for r in session_pageviews(hits, golden.sessions).collect())
+    p2 = sorted(tuple(r) for r in session_pageviews(hits, golden.sessions, hot_threshold=1).collect())
+    assert p1 == p2 and len(p1) == 23

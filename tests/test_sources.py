@@ -116,7 +116,7 @@ def test_derived_tables_follow_input_changes(spark):
     assert web_tables_for(spark, root) is first  # same input: derived once
     n = first.pageviews.count()
     # New events for a new user arrive as another file of the same table.
-    extra = events.limit(5).withColumn("user_id", F.lit(10_000_000)).withColumn("event_id", F.col("event_id") + 10_000_000)
+    extra = events.limit(5).withColumn("user_id", F.lit(10_000_000).cast("long")).withColumn("event_id", F.col("event_id") + 10_000_000)
     extra.write.mode("append").parquet(os.path.join(root, "events.parquet"))
     second = web_tables_for(spark, root)
     assert second is not first

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickmetrics.functions.compat import epoch_micros
 from clickmetrics.operators.joins import HOT_KEY_ROWS, hot_keys, skew_join
@@ -78,7 +79,9 @@ def gap_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts:
     )
     # Null-safe join keys: a NULL user is one group, as in the window formulation.
     def keyed(df: DataFrame, u: str, b: str) -> DataFrame:
-        return (df.withColumn("_k1", F.coalesce(F.col(u), F.lit(0)).cast("long"))
+        dtype = df.schema[u].dataType
+        placeholder = F.lit("") if isinstance(dtype, T.StringType) else F.lit(0).cast(dtype)
+        return (df.withColumn("_k1", F.coalesce(F.col(u), placeholder))
                   .withColumn("_k2", F.col(u).isNull())
                   .withColumn("_k3", F.col(b)))
 

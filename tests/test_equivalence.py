@@ -146,3 +146,11 @@ def test_skew_split_row_level_outputs_are_identical(spark, golden):
     p1 = sorted(tuple(r) for r in session_pageviews(hits, golden.sessions).collect())
     p2 = sorted(tuple(r) for r in session_pageviews(hits, golden.sessions, hot_threshold=1).collect())
     assert p1 == p2 and len(p1) == 23
+
+
+def test_sessionization_with_string_users(spark):
+    ev = read_events(spark, SF0001)
+    as_text = ev.withColumn("user_id", F.when(F.col("user_id") % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))))
+    ours = sorted((r.event_id, r.session_id, r.session_seq) for r in gap_sessions(as_text, 3600).collect())
+    ref = sorted((r.event_id, r.sid, r.seq) for r in lag_sessions(as_text, 3600).collect())
+    assert ours == ref

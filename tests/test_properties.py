@@ -99,3 +99,18 @@ def test_entry_hits_match_dense_rank(spark, hs):
     ref = sorted(r[0] for r in hits.withColumn("dr", F.dense_rank().over(w)).filter("dr = 1")
                  .select("website_pageview_id").collect())
     assert ours == ref
+
+
+_pairs = st.lists(st.tuples(st.sampled_from([0, 1, 2, None]), st.integers(0, 5)), min_size=0, max_size=30)
+
+
+@given(_pairs, _pairs, st.sampled_from([1, 2, 5]), st.sampled_from(["inner", "left"]))
+def test_skew_join_matches_plain_join(spark, big_rows, small_rows, threshold, how):
+    from clickmetrics.operators.joins import skew_join
+
+    big = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(big_rows)], "id long, k long, v long")
+    small = spark.createDataFrame(small_rows, "k long, w long")
+    plain = sorted(map(repr, (tuple(r) for r in big.join(small, ["k"], how).select("id", "k", "v", "w").collect())))
+    split = sorted(map(repr, (tuple(r) for r in skew_join(big, small, ["k"], how, spread_by=["id"], threshold=threshold,
+                                                          max_salt=3).select("id", "k", "v", "w").collect())))
+    assert split == plain

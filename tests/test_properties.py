@@ -48,12 +48,12 @@ _events = st.lists(
     min_size=1, max_size=25)
 
 
-@given(_events, st.sampled_from([1800, 3600, 12 * 3600]))
-def test_sessionization_matches_lag_window(spark, evs, gap):
+@given(_events, st.sampled_from([1800, 3600, 12 * 3600]), st.sampled_from([1, 3, 2_000_000]))
+def test_sessionization_matches_lag_window(spark, evs, gap, hot):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(i, t0 + dt.timedelta(seconds=s), u) for i, (u, s) in enumerate(evs)]
     ev = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long")
-    ours = gap_sessions(ev, gap)
+    ours = gap_sessions(ev, gap, hot_threshold=hot)
     ref = lag_sessions(ev, gap)
     assert sorted((r.event_id, r.session_id) for r in ours.collect()) == sorted((r.event_id, r.sid) for r in ref.collect())
 

@@ -53,7 +53,9 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet")
     if fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt == "csv":
-        reader = spark.read.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+        # Spark's default timestamp_ntz parsing accepts both "2012-06-02 23:00:30" and the
+        # ISO "2012-06-02T23:00:30.5" form; a fixed pattern would turn the other form into NULL.
+        reader = spark.read.option("header", True)
         if schema is not None:
             reader = reader.schema(schema)
         df = reader.csv(path)

@@ -30,6 +30,9 @@ def test_csv_keeps_text_marker_and_real_null(spark, golden):
     assert got[8] == (None, None)      # empty field is a real NULL
     assert one(traffic.organic_sessions(clean_sessions(t.sessions))) == (1,)
     assert t.order_items.schema["price_usd"].dataType.simpleString() == "decimal(10,2)"
+    # Timestamps written by Spark (ISO form) come back whole, not NULL.
+    assert sorted(tuple(r) for r in t.pageviews.select("website_pageview_id", "created_at").collect()) == \
+        sorted(tuple(r) for r in golden.pageviews.select("website_pageview_id", "created_at").collect())
 
 
 def test_parquet_round_trip_and_save_table(spark, golden):

@@ -31,8 +31,9 @@ REFERER = "https://search.example"
 
 
 def event_k(props: F.Column) -> F.Column:
-    """The integer ``k`` from ``props`` text such as ``{"k": 17}``."""
-    return F.regexp_extract(props, r"[0-9]+", 0).cast("int")
+    """The integer ``k`` from ``props`` text such as ``{"k": 17}``; NULL when there is none
+    (``try_cast``: under ANSI mode a plain cast of the empty match would fail the job)."""
+    return F.regexp_extract(props, r"[0-9]+", 0).try_cast("int")
 
 
 def _url(event_type: F.Column, k: F.Column) -> F.Column:
@@ -155,7 +156,7 @@ def web_tables_for(spark: SparkSession, sf_dir: str) -> WebTables:
 ORACLE_ADAPTER_SQL = """
 ev AS (
   SELECT event_id, ts, user_id, event_type, value,
-         CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS k
+         TRY_CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS k
   FROM events
 ),
 ev_b AS (

@@ -89,7 +89,7 @@ def web_tables_from_sessionized(hits: DataFrame, session_rows: DataFrame | None
              .select("event_id", "value", F.explode(F.sequence(F.lit(1), F.lit(1) + F.col("k") % 2)).alias("n"))
              .select((F.col("event_id") * 10 + F.col("n")).alias("order_item_id"),
                      F.col("event_id").alias("order_id"),
-                     F.col("value").cast("decimal(10,2)").alias("price_usd")))
+                     F.col("value").try_cast("decimal(10,2)").alias("price_usd")))  # out of range -> NULL
     return WebTables(sessions=sessions, pageviews=pageviews, orders=orders, order_items=items)
 
 
@@ -202,7 +202,7 @@ web_orders AS (
   FROM ev_x WHERE event_type = 'purchase'
 ),
 order_items AS (
-  SELECT event_id * 10 + n AS order_item_id, event_id AS order_id, CAST(value AS DECIMAL(10,2)) AS price_usd
+  SELECT event_id * 10 + n AS order_item_id, event_id AS order_id, TRY_CAST(value AS DECIMAL(10,2)) AS price_usd
   FROM (SELECT event_id, value, unnest(generate_series(1, 1 + k % 2)) AS n
         FROM ev WHERE event_type = 'purchase')
 ),

@@ -53,12 +53,12 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet")
     if fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt == "csv":
-        # Spark's default timestamp_ntz parsing accepts both "2012-06-02 23:00:30" and the
-        # ISO "2012-06-02T23:00:30.5" form; a fixed pattern would turn the other form into NULL.
-        reader = spark.read.option("header", True)
-        if schema is not None:
-            reader = reader.schema(schema)
-        df = reader.csv(path)
+        # Columns are taken by their header names, as text, then cast to the declared
+        # types (check_columns); an explicit schema would be applied by position and
+        # silently misassign columns of a file in another order.  Empty fields are
+        # NULL; the text 'NULL' stays text.  Spark's timestamp_ntz cast accepts both
+        # "2012-06-02 23:00:30" and the ISO "2012-06-02T23:00:30.5" form.
+        df = spark.read.option("header", True).csv(path)
     else:
         df = spark.read.format(fmt).load(path)
     return check_columns(df, schema, name) if schema is not None else df

@@ -124,3 +124,14 @@ def test_derived_tables_follow_input_changes(spark):
     second = web_tables_for(spark, root)
     assert second is not first
     assert second.pageviews.count() == n + 5
+
+
+def test_csv_columns_are_taken_by_name(spark, golden):
+    root = _scratch(spark)
+    shuffled = golden.pageviews.select("pageview_url", "website_session_id", "created_at", "website_pageview_id")
+    shuffled.write.option("header", True).csv(os.path.join(root, "website_pageviews.csv"))
+    back = read_table(spark, os.path.join(root, "website_pageviews.csv"), "website_pageviews", "csv")
+    cols = ["website_pageview_id", "created_at", "website_session_id", "pageview_url"]
+    assert sorted(tuple(r) for r in back.select(*cols).collect()) == \
+        sorted(tuple(r) for r in golden.pageviews.select(*cols).collect())
+    assert back.schema["website_pageview_id"].dataType.simpleString() == "bigint"

@@ -45,9 +45,10 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet")
     """Scan one base table with its declared schema.
 
     Parquet keeps its own (columnar, predicate-pushdown) schema and is checked
-    against the declared one.  CSV is read with the explicit schema and a
-    header; the text ``'NULL'`` is *not* turned into SQL NULL (the reference
-    treats it as an ordinary string and cleans it later).
+    against the declared one.  CSV columns are taken by header name as text
+    and cast to the declared types; the text ``'NULL'`` is *not* turned into
+    SQL NULL (the reference treats it as an ordinary string and cleans it
+    later), while empty fields are NULL.
     """
     schema = SCHEMAS.get(name)
     if fmt == "parquet":

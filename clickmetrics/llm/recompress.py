@@ -211,6 +211,8 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("rid"), F.first("bare").alias("bare"), F.first("anchors").alias("anchors")), "classes")
     found = classes.select("rid", "d1", "d2", F.explode("anchors").alias("anchor"))
     shared = found.groupBy("anchor").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo < hi").select("anchor")
+    # Written, so that the join is between two plain shuffles, whose skew Spark can split.
+    shared = written(spark, shared, "shared-anchors")
     lists = found.join(shared, "anchor", "left_semi").groupBy("rid", "d1", "d2").agg(F.collect_list("anchor").alias("shared"))
     bare = classes.filter("bare").select("rid", "d1", "d2", F.lit(None).cast("array<long>").alias("shared"))
     wanted = lists.union(bare).groupBy("rid", "d1", "d2").agg(F.first("shared", ignorenulls=True).alias("shared"))
@@ -220,6 +222,7 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     windows = written(spark, texts.mapInArrow(_windows_task, "h1 long, h2 int, rid long, d1 long, start int"), "windows")
     firsts = (windows.groupBy("h1", "h2").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo < hi")
               .select("h1", "h2", "lo"))
+    firsts = written(spark, firsts, "firsts")
     later = windows.join(firsts, ["h1", "h2"]).filter(F.col("rid") > F.col("lo"))
     starts = later.groupBy("rid", "d1").agg(F.collect_set("start").alias("starts")).select(
         F.col("rid").alias("r_"), F.col("d1").alias("x_"), "starts")

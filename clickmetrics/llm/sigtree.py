@@ -310,6 +310,8 @@ def link_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     members = written(spark, reps.select("rid", "d1", F.explode(F.concat(*[F.transform(f"keys{i}", lambda k, i=i: F.struct(
         F.lit(i).alias("round"), k.alias("key"))) for i in range(len(ROUNDS))])).alias("k")).select("rid", "d1", "k.round", "k.key"), "members")
     shared = members.groupBy("round", "key").agg(F.count("*").alias("n")).filter("n > 1").select("round", "key")
+    # Written, so that the join below is between two plain shuffles, whose skew Spark can split.
+    shared = written(spark, shared, "shared-keys")
     members = written(spark, members.join(shared, ["round", "key"], "left_semi"), "shared-members")
     wanted = members.select("rid").distinct()
     have = rows.join(wanted, rows["doc_id"] == wanted["rid"]).select("rid", "text")

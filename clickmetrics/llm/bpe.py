@@ -10,7 +10,7 @@ compatible is the one that merging by rank gives, so results equal the plain mer
 
 Texts are split by the pattern of the rank file.  A unit (a space and what follows up to the next
 space) is split on its own and its ids are kept in a bounded memo; texts with other white space
-runs are split whole.  The memo holds work already done; emptying it when full changes no result.
+runs are split whole.  The memo holds work already done; once full it takes no more, which changes no result.
 
 Decoding looks up the bytes of every id.
 
@@ -122,9 +122,7 @@ class Encoder:
         """Little-endian 32-bit ids of a unit, split by the pattern on its own."""
         ids = [i for piece in self.split(unit) for i in self.encode_piece(piece.encode())]
         out = np.array(ids, "<u4").tobytes()
-        if len(unit) <= LONGEST_MEMO:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
+        if len(unit) <= LONGEST_MEMO and len(self.memo) < MEMO:
             self.memo[unit] = out
         return out
 

@@ -21,6 +21,7 @@ are ordered by text (null first).  Empty table: empty result.  Extra columns are
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -36,8 +37,11 @@ BLOCK = 256
 SEGMENT = 1 << 17
 PERCENTILE = 90
 END_ID = 2
-MEMO = 600_000
+MEMO = 800_000
 LONGEST_MEMO = 64
+# Latin letters and one mark after them: two pieces for the pre-tokenizer, and A-Z is lower-cased by
+# the normalizer, so the ids follow from the lower-case letters' and the mark's.
+_SIMPLE = re.compile("([A-Za-z][a-z\u00e0-\u00f6\u00f8-\u00ff]*|[\u00e0-\u00f6\u00f8-\u00ff][a-z\u00e0-\u00f6\u00f8-\u00ff]*)([.,;:!?]?)")
 _HEAD = struct.Struct("<4sIIII")
 _MAGIC = b"PFR1"
 
@@ -143,8 +147,33 @@ class WordEncoder:
         bar = self.tok.encode("|", add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
 
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that the memo lacks; simple ones are put together from their parts."""
+        memo, split, plain = self.memo, {}, set()
+        for w in words:
+            m = _SIMPLE.fullmatch(w)
+            if m is None:
+                plain.add(w)
+                continue
+            core, mark = m.groups()
+            core = core.lower() if core[0] < "a" else core
+            if core == w:
+                plain.add(w)
+                continue
+            split[w] = (core, mark)
+            if core not in memo:
+                plain.add(core)
+            if mark not in memo:
+                plain.add(mark)
+        out = self._learn(sorted(plain))
+        for w, (core, mark) in split.items():
+            a, b = out.get(core), out.get(mark)
+            out[w] = (memo[core] if a is None else a) + (memo[mark] if b is None else b)
+        return out
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Encode new words, many in one call with a bar between them; the memo keeps short ones."""
+        """Encode words, many in one call with a bar between them; the memo keeps short ones while it
+        has room."""
         out: dict[str, bytes] = {}
         plain = [w for w in words if "|" not in w] if self.bar is not None else []
         for a in range(0, len(plain), 1000):
@@ -157,22 +186,21 @@ class WordEncoder:
         rest = [w for w in words if w not in out]
         for w, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
             out[w] = np.array(e.ids, "<u4").tobytes()
-        if len(self.memo) + len(out) > MEMO:
-            self.memo = {"": b""}
-        self.memo.update((w, x) for w, x in out.items() if len(w) <= LONGEST_MEMO)
+        room = max(0, MEMO - len(self.memo))
+        self.memo.update([(w, x) for w, x in out.items() if len(w) <= LONGEST_MEMO][:room])
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         memo = self.memo
-        new = list({w for words in split for w in words if w not in memo})
-        extra = self._learn(new) if new else {}
+        new = {w for words in split for w in words if w not in memo}
+        extra = self._new(new) if new else {}
         get, more = memo.get, extra.get
         out = []
         for words in split:
             parts = list(map(get, words))
-            if None in parts:
+            if None in parts:  # words that the memo doesn't keep
                 parts = [more(w) if p is None else p for w, p in zip(words, parts, strict=True)]
             out.append(b"".join(parts))
         return out

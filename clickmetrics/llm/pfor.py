@@ -169,11 +169,16 @@ class WordEncoder:
         for w, (core, mark) in split.items():
             a, b = out.get(core), out.get(mark)
             out[w] = (memo[core] if a is None else a) + (memo[mark] if b is None else b)
+        self._keep([(w, out[w]) for w in split])
         return out
 
+    def _keep(self, pairs: list[tuple[str, bytes]]) -> None:
+        """The memo takes short words while it has room."""
+        room = max(0, MEMO - len(self.memo))
+        self.memo.update([(w, x) for w, x in pairs if len(w) <= LONGEST_MEMO][:room])
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Encode words, many in one call with a bar between them; the memo keeps short ones while it
-        has room."""
+        """Encode words, many in one call with a bar between them."""
         out: dict[str, bytes] = {}
         plain = [w for w in words if "|" not in w] if self.bar is not None else []
         for a in range(0, len(plain), 1000):
@@ -186,24 +191,19 @@ class WordEncoder:
         rest = [w for w in words if w not in out]
         for w, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
             out[w] = np.array(e.ids, "<u4").tobytes()
-        room = max(0, MEMO - len(self.memo))
-        self.memo.update([(w, x) for w, x in out.items() if len(w) <= LONGEST_MEMO][:room])
+        self._keep(list(out.items()))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         memo = self.memo
-        new = {w for words in split for w in words if w not in memo}
-        extra = self._new(new) if new else {}
-        get, more = memo.get, extra.get
-        out = []
-        for words in split:
-            parts = list(map(get, words))
-            if None in parts:  # words that the memo doesn't keep
-                parts = [more(w) if p is None else p for w, p in zip(words, parts, strict=True)]
-            out.append(b"".join(parts))
-        return out
+        every = set().union(*split)
+        ids = self._new(every.difference(memo))
+        for w in every.difference(ids):
+            ids[w] = memo[w]
+        get = ids.__getitem__  # the ids of this block's words
+        return [b"".join(map(get, words)) for words in split]
 
 
 _encoders: dict[bytes, WordEncoder] = {}

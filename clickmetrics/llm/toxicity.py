@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickmetrics.llm import words as W
-from clickmetrics.llm.common import ship, text_blocks, unit_interval
+from clickmetrics.llm.common import ship, text_blocks, unit_interval, written
 
 FEATURE_BITS = 17
 GRAMS = (4, 5)
-SAMPLE = 6000
+SAMPLE = 4000
 LEAST_RATIO = 1.0
 LEAST_DOCS = 4
 RIDGE = 1e-4
@@ -115,17 +115,19 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     ship(spark)
     known = (labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out())
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
-    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    # Only ids meet the labels here; texts are read for the drawn ids alone.
+    present = written(spark, docs.select("doc_id").join(known, "doc_id"), "labelled")
+    counts = {r["toxic"]: r["count"] for r in present.groupBy("toxic").count().collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
     if not n0 or not n1:
         return Model(np.zeros(1 << FEATURE_BITS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     take1 = min(n1, max(sample // 2, sample - n0))
     take0 = min(n0, sample - take1)
-    draw = unit_interval(F.lit(21), "doc_id", "text")
+    draw = unit_interval(F.lit(21), "doc_id")
     rate = F.when(F.col("toxic") == 1, min(1.0, 1.2 * take1 / n1)).otherwise(min(1.0, 1.2 * take0 / n0))
-    picked = rows.withColumn("draw", draw).filter(F.col("draw") < rate).select("toxic", "draw", "text")
+    drawn = present.distinct().withColumn("draw", draw).filter(F.col("draw") < rate)  # about 1.2 * sample ids: broadcast
+    picked = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "draw", "text")
     got = picked.mapInArrow(_features_task, f"toxic {dict(picked.dtypes)['toxic']}, draw double, slots binary").collect()
     got.sort(key=lambda r: (r["draw"], len(r["slots"]), bytes(r["slots"][:64])))
     left = {0: take0, 1: take1}

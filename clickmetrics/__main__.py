@@ -4,7 +4,7 @@
     python -m clickmetrics run m26_landing_ab_test --tables /data/web [--format csv] [--show 50]
     python -m clickmetrics run m27_weekly_trend --events /data/sf1 [--out /data/out/m27]
 
-``--tables`` reads the four web tables and uses the reference's parameters;
+``--tables`` and ``--database`` read the four web tables and use the reference's parameters;
 ``--events`` derives them from ``events.parquet`` and uses the catalog's.
 ``--out`` writes the whole result as Parquet; otherwise ``--show`` rows are
 printed.
@@ -15,9 +15,10 @@ from __future__ import annotations
 import argparse
 import sys
 
-from clickmetrics.plans.catalog import CATALOG, run
+from clickmetrics.plans.catalog import CATALOG, Prepared, run
 from clickmetrics.plans.reference import REFERENCE_PLANS, run_on_tables
 from clickmetrics.session import get_spark
+from clickmetrics.sources.tables import load_database
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -28,6 +29,7 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("name")
     src = r.add_mutually_exclusive_group(required=True)
     src.add_argument("--tables", help="folder with website_sessions/website_pageviews/orders/order_items")
+    src.add_argument("--database", help="catalog database with those tables")
     src.add_argument("--events", help="folder with events.parquet")
     r.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     r.add_argument("--out", help="write the result here as Parquet")
@@ -40,16 +42,22 @@ def main(argv: list[str] | None = None) -> int:
             print(name)
         return 0
 
-    known = REFERENCE_PLANS if args.tables else CATALOG
+    known = CATALOG if args.events else REFERENCE_PLANS
     if args.name not in known:
         print(f"unknown analysis {args.name!r}; see `python -m clickmetrics list`", file=sys.stderr)
         return 2
     spark = get_spark(args.master)
-    df = run_on_tables(args.name, spark, args.tables, args.format) if args.tables else run(args.name, spark, args.events)
+    if args.database:
+        df = REFERENCE_PLANS[args.name](Prepared(load_database(spark, args.database)))
+    elif args.tables:
+        df = run_on_tables(args.name, spark, args.tables, args.format)
+    else:
+        df = run(args.name, spark, args.events)
     if args.out:
         df.write.mode("overwrite").parquet(args.out)
     else:
         df.show(args.show, truncate=False)
+        print(f"(at most {args.show} rows shown; --out writes the whole result)")
     return 0
 
 

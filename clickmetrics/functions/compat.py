@@ -51,7 +51,7 @@ def epoch_micros(ts: ColumnOrName) -> Column:
 
 def time_bucket(ts: ColumnOrName, unit_micros: int) -> Column:
     """Integer bucket number of width ``unit_micros`` for a ``timestamp_ntz``."""
-    return F.floor(epoch_micros(ts) / F.lit(unit_micros)).cast("long")
+    return floor_div(epoch_micros(ts), unit_micros)
 
 
 def boundary_diff(unit: str, start: ColumnOrName, end: ColumnOrName) -> Column:
@@ -141,3 +141,8 @@ def soundex_difference(a: ColumnOrName, b: ColumnOrName) -> Column:
     ca, cb = code(a), code(b)
     agree = [(F.substring(ca, i, 1) == F.substring(cb, i, 1)).cast("int") for i in range(1, 5)]
     return (agree[0] + agree[1] + agree[2] + agree[3]).alias("difference")
+
+
+def floor_div(x: Column, by: int) -> Column:
+    """Floor of ``x / by`` for longs, in integer arithmetic (no double in between)."""
+    return F.call_function("div", x - F.pmod(x, F.lit(by)), F.lit(by)).cast("long")

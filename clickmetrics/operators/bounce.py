@@ -15,7 +15,7 @@ its shuffle, so a hot session or page never lands whole in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickmetrics.constants import (CAMPAIGN_NAME, CAMPAIGN_SOURCE, DIRECT_SEARCH, HOME_LABEL, HOME_PAGE,
@@ -116,16 +116,15 @@ def weekly_page_trend(wp: DataFrame, ws: DataFrame, pages: tuple[str, ...] = (HO
     Hits are filtered to ``start <= created_at <= end`` (inclusive; text dates
     mean midnight) *before* counting hits per session, so a session crossing
     the range edge counts only its hits inside.  Weeks start on Monday,
-    Sundays belonging to the next week.  Hits become (session) counts and
-    distinct (week, page, session) rows before any join, so a large session
-    adds a handful of rows, not its hits.
+    Sundays belonging to the next week.  Hits become one counted row per
+    (session, page, week) before any window or join, from one scan.
     """
     campaign_sessions = ws.filter((F.col("utm_campaign") == campaign) & (F.col("utm_source") == source)).select(SESSION)
-    h = wp.filter(F.col(TS).between(ntz(start), ntz(end))).select(SESSION, TS, URL)
-    counts = hits_per_session(h, name="_page_count").join(campaign_sessions, SESSION, "left_semi")
-    on_pages = (h.filter(F.col(URL).isin(list(pages)))
-                .select(SESSION, URL, week_start(TS).alias("week_start_date")).distinct())
-    per = on_pages.join(counts, SESSION, "inner")
+    h = wp.filter(F.col(TS).between(ntz(start), ntz(end)))
+    rows = h.groupBy(SESSION, URL, week_start(TS).alias("week_start_date")).agg(F.count(F.lit(1)).alias("_h"))
+    # The window runs over reduced rows: one per page and week of a session.
+    counted = rows.withColumn("_page_count", F.sum("_h").over(Window.partitionBy(SESSION)))
+    per = counted.filter(F.col(URL).isin(list(pages))).join(campaign_sessions, SESSION, "left_semi")
     out = per.groupBy("week_start_date", URL).agg(
         F.count(SESSION).alias("total_sessions"),
         F.count(F.when(F.col("_page_count") == 1, F.col(SESSION))).alias("bounced_sessions"),

@@ -28,15 +28,13 @@ def page_order_rate(wp: DataFrame, o: DataFrame, pages: Sequence[str] = BILLING_
     h = wp.filter(F.col(URL).isin(list(pages)))
     if before is not None:
         h = h.filter(F.col(TS) < ntz(before))
-    views = h.groupBy(URL).agg(F.count(F.lit(1)).alias("total_page_views"))
     hits_by_session = h.groupBy(SESSION, URL).agg(F.count(F.lit(1)).alias("_h"))
     orders_by_session = o.groupBy(SESSION).agg(F.count(F.lit(1)).alias("_o"))
-    pairs = (hits_by_session.join(orders_by_session, SESSION, "inner")
-             .groupBy(URL).agg(F.sum(F.col("_h") * F.col("_o")).alias("_pairs")))
-    orders = F.coalesce(F.col("_pairs"), F.lit(0)).cast("long")
-    return views.join(pairs, URL, "left").select(
-        URL, "total_page_views", orders.alias("total_orders"),
-        safe_ratio(orders, F.col("total_page_views")).alias("conversion_rate"))
+    per_page = (hits_by_session.join(orders_by_session, SESSION, "left")
+                .groupBy(URL).agg(F.sum("_h").alias("total_page_views"),
+                                  F.sum(F.col("_h") * F.coalesce(F.col("_o"), F.lit(0))).alias("total_orders")))
+    return per_page.select(URL, "total_page_views", "total_orders",
+                           safe_ratio(F.col("total_orders"), F.col("total_page_views")).alias("conversion_rate"))
 
 
 def funnel(wp: DataFrame, ws: DataFrame, steps: Sequence[tuple[str, str, str]] = REFERENCE_FUNNEL,

@@ -2,15 +2,14 @@
 
 A key holding a large share of the large side would put all its rows into
 one reduce task.  :func:`skew_join` splits only such *hot* keys: each gets a
-fan-out ``ceil(rows / threshold)`` (at most ``max_salt``); its rows on the
-large side are spread over that many sub-keys by a hash of their identity,
+fan-out ``ceil(rows / threshold)``, without a cap; its rows on the large side are spread over that many sub-keys by a hash of their identity,
 and its rows on the small side are replicated once per sub-key.  Cold keys
 join exactly as before, so ordinary data pays nothing.
 
-The hot-key table is broadcast.  Its size is bounded by construction: a key
-is hot only with more than ``threshold`` rows, so there are at most
-``rows / threshold`` of them (1e12 rows and the default 2e6 give at most
-500,000 small rows).
+The hot-key table holds at most ``rows / threshold`` keys, which grows with the
+data, so no broadcast is forced: Spark broadcasts it where it measures it as
+small and joins it by a shuffle otherwise.  ``threshold`` is a plan parameter
+(rows that one task may hold of a key); results don't depend on it.
 """
 
 from __future__ import annotations
@@ -20,21 +19,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows per key above which a key is split, and the largest fan-out.
+# Rows per key above which a key is split.
 HOT_KEY_ROWS = 2_000_000
-MAX_SALT = 64
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], count_col: str,
-             threshold: int = HOT_KEY_ROWS, max_salt: int = MAX_SALT) -> DataFrame:
+             threshold: int = HOT_KEY_ROWS) -> DataFrame:
     """``(*keys, _fan)`` for the keys of ``counts`` with more than ``threshold`` rows."""
-    fan = F.least(F.lit(max_salt), F.ceil(F.col(count_col) / F.lit(threshold))).cast("int")
+    fan = F.expr(f"cast(({count_col} + {int(threshold) - 1}) div {int(threshold)} as int)")
     return counts.where(F.col(count_col) > threshold).select(*keys, fan.alias("_fan"))
 
 
 def skew_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
               hot: DataFrame | None = None, spread_by: Sequence[str] | None = None,
-              threshold: int = HOT_KEY_ROWS, max_salt: int = MAX_SALT) -> DataFrame:
+              threshold: int = HOT_KEY_ROWS) -> DataFrame:
     """``big.join(small, keys, how)`` (``inner`` or ``left``) with hot keys split.
 
     ``hot`` is the ``(*keys, _fan)`` table of hot keys when the caller already
@@ -44,8 +42,7 @@ def skew_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     """
     keys = list(keys)
     if hot is None:
-        hot = hot_keys(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows", threshold, max_salt)
-    hot = F.broadcast(hot)  # at most rows / threshold keys (module docstring)
+        hot = hot_keys(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows", threshold)
     cols = list(spread_by) if spread_by else big.columns
     salt = F.when(F.col("_fan").isNull(), F.lit(0)).otherwise(
         F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.col("_fan")).cast("int"))

@@ -7,15 +7,12 @@ immutable column transform, applied before the derived table is built
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 
 from clickmetrics.constants import DIRECT_SEARCH, DIRECT_SOURCE, MISSING_MARKER
 from clickmetrics.functions.compat import label_marker
 from clickmetrics.operators.joins import HOT_KEY_ROWS, skew_join
 from clickmetrics.sources.schema import SESSION_PAGEVIEW_COLUMNS
-from clickmetrics.sources.tables import WebTables
 
 
 
@@ -41,7 +38,3 @@ def session_pageviews(wp: DataFrame, ws: DataFrame, hot_threshold: int = HOT_KEY
     return skew_join(wp, ws.drop("created_at"), ["website_session_id"], "inner",
                      spread_by=["website_pageview_id"], threshold=hot_threshold).select(*SESSION_PAGEVIEW_COLUMNS)
 
-
-def prepare(tables: WebTables) -> WebTables:
-    """Clean the sessions table of a :class:`WebTables`."""
-    return replace(tables, sessions=clean_sessions(tables.sessions))

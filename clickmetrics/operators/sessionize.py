@@ -18,9 +18,8 @@ single huge task.  This operator avoids any window over raw events:
 * The ordered scan (lag, running count of session starts) runs over those
   aggregates, one row per non-empty bucket of a user: at most
   ``time span / gap`` rows per user, independent of the event count.
-* Events get their session through an equi-join on ``(user, bucket)``;
-  AQE broadcasts the mapping when it measures it small and otherwise
-  splits skewed join partitions.
+* Events get their session through an equi-join on ``(user, bucket)``, a
+  skew join that splits hot keys by their counted rows.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickmetrics.functions.compat import epoch_micros
+from clickmetrics.functions.compat import epoch_micros, floor_div
 from clickmetrics.operators.joins import HOT_KEY_ROWS, hot_keys, skew_join
 
 
@@ -51,7 +50,7 @@ def gap_sessions(events: DataFrame, gap_seconds: int, user: str = "user_id", ts:
     bucket aggregate, no extra pass) is spread over several tasks.
     """
     gap_us = int(gap_seconds) * 1_000_000
-    ev = events.withColumn("_us", epoch_micros(ts)).withColumn("_bucket", F.floor(F.col("_us") / F.lit(gap_us)).cast("long"))
+    ev = events.withColumn("_us", epoch_micros(ts)).withColumn("_bucket", floor_div(F.col("_us"), gap_us))
 
     buckets = ev.groupBy(user, "_bucket").agg(
         F.min("_us").alias("_first_us"),

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickmetrics.functions.compat import epoch_micros
+from clickmetrics.functions.compat import epoch_micros, floor_div
 from clickmetrics.operators.joins import HOT_KEY_ROWS, hot_keys, skew_join
 
 SESSION = "website_session_id"
@@ -70,7 +70,7 @@ def time_buckets(ts: str = TS) -> tuple:
     """``(_b2, _b1)``: the hour and second bucket columns :func:`timed_hits` partitions by."""
     l1, l2 = _NEXT_LEVELS_US
     us = epoch_micros(ts)
-    return (F.floor(us / F.lit(l2)).cast("long").alias("_b2"), F.floor(us / F.lit(l1)).cast("long").alias("_b1"))
+    return (floor_div(us, l2).alias("_b2"), floor_div(us, l1).alias("_b1"))
 
 
 def _valid(hits: DataFrame, key: str, ts: str) -> DataFrame:

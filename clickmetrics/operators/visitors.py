@@ -36,8 +36,12 @@ def revenue_by_visit_rank(ws: DataFrame, o: DataFrame, oi: DataFrame, which: str
     per_session = (items.groupBy(SESSION).agg(F.sum("price_usd").alias("_rev"))
                    .join(ws.select(SESSION, USER), SESSION, "inner"))
     per_user = per_session.groupBy(USER).agg(F.min_by("_rev", SESSION).alias("_first"),
-                                             F.sum("_rev").alias("_all"))
-    part = F.col("_first") if which == "new" else F.col("_all") - F.col("_first")
+                                             F.sum("_rev").alias("_all"), F.count("_rev").alias("_priced"))
+    if which == "new":
+        part = F.col("_first")
+    else:  # NULL for a user without a priced later session, as a SUM over no values
+        later = F.col("_priced") - F.col("_first").isNotNull().cast("int")
+        part = F.when(later > 0, F.col("_all") - F.coalesce(F.col("_first"), F.lit(0)))
     name = "revenue_new_sessions" if which == "new" else "revenue_repeat_sessions"
     return per_user.agg(round_half_away(F.sum(part).cast("double"), 2).alias(name))
 

@@ -49,44 +49,43 @@ def _context(spark: SparkSession):
         return None
 
 
-def application_id(spark: SparkSession) -> str:
-    sc = _context(spark)
-    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "connect")
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster sets it (or calls ``setCheckpointDir``) to a shared file
-    system, and that folder is used.  Only when neither is set (local tests)
-    is a scratch folder created and registered.
+    system, and that folder is used.  Only on a ``local`` master (tests) is a
+    scratch folder created where neither is set; elsewhere executors would not
+    share it, so a missing setting is an error.
     """
     sc = _context(spark)
     d = spark.conf.get("spark.checkpoint.dir", None)
     if sc is not None:
         d = sc.getConf().get("spark.checkpoint.dir", None) or d or sc.getCheckpointDir()
     if not d:
+        if sc is None or not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="clickmetrics-ckpt-")
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
 
-def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20, broadcast_bytes: int = 64 << 20) -> dict:
-    """Shuffle and scan sizing for an input of ``input_bytes`` (e.g. 100 TB of events).
+def cluster_conf(input_bytes: int, cores: int = 4000, partition_bytes: int = 256 << 20,
+                 broadcast_bytes: int = 64 << 20) -> dict:
+    """Shuffle and scan sizing for ``input_bytes`` of events on ``cores`` executor cores.
 
-    * one shuffle partition per ``partition_bytes`` of input (AQE then merges
-      partitions that turn out small, towards the same advisory size), so a
-      reduce task holds a bounded slice whatever the scale;
     * scans split files into ``partition_bytes`` pieces;
+    * shuffles start with a few partitions per core (at least as many as keep a
+      partition of a whole-input shuffle at 32 x ``partition_bytes``), so that
+      map x reduce blocks stay countable; AQE then merges towards the advisory
+      size and splits skewed ones;
     * runtime broadcast only for join sides *measured* below
-      ``broadcast_bytes``; anything larger stays a shuffle join;
-    * skewed join partitions (5x the median and above the advisory size) are
-      split by AQE.
+      ``broadcast_bytes``; anything larger stays a shuffle join.
     """
-    parts = max(200, -(-int(input_bytes) // int(partition_bytes)))
+    parts = max(200, 3 * int(cores), -(-int(input_bytes) // (32 * int(partition_bytes))))
     return {
         "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.autoBroadcastJoinThreshold": str(broadcast_bytes),
@@ -116,25 +115,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def input_signature(spark: SparkSession, path: str) -> tuple:
-    """Names, sizes and modification times of the files under ``path``, listed
-    through the Hadoop file system of the path (works for cluster storage)."""
+    """Total size, file count and latest change of ``path`` and the folder entries below it, in two
+    calls to the file system of the path (no listing of files in Python)."""
     p, fs = _fs_path(spark, path)
-    out = []
     if fs is None:
         import os
 
-        for root, _, files in os.walk(path):
-            for f in files:
-                st = os.stat(os.path.join(root, f))
-                out.append((os.path.join(root, f), st.st_size, st.st_mtime_ns))
-        if os.path.isfile(path):
-            st = os.stat(path)
-            out.append((path, st.st_size, st.st_mtime_ns))
-        return tuple(sorted(out))
+        st = os.stat(path)
+        return (path, st.st_size, st.st_mtime_ns)
     if not fs.exists(p):
         return ()
-    it = fs.listFiles(p, True)
-    while it.hasNext():
-        st = it.next()
-        out.append((st.getPath().toString(), int(st.getLen()), int(st.getModificationTime())))
-    return tuple(sorted(out))
+    summary, status = fs.getContentSummary(p), fs.getFileStatus(p)
+    return (path, int(summary.getLength()), int(summary.getFileCount()), int(status.getModificationTime()))

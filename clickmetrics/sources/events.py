@@ -19,14 +19,18 @@ from pyspark.sql import functions as F
 
 from clickmetrics.operators.joins import HOT_KEY_ROWS
 from clickmetrics.operators.sessionize import gap_sessions, sessions_of
-from clickmetrics.session import application_id, checkpoint_dir, input_signature
+from clickmetrics.session import checkpoint_dir, input_signature, path_exists
 from clickmetrics.sources.tables import WebTables
 
 # Fixed adapter parameters and labels (our own test-data rules).
 SESSION_GAP_SECONDS = 12 * 3600
+ADAPTER_VERSION = 2  # part of the label of derived tables
 # Parquet row-group size of the written sessionized events (see materialize_events).
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 MARKER = "NULL"
+# An event without a usable k (none, or beyond int): its session is direct traffic on a desktop
+# (as k = 4), its order has one item.
+NO_K = 4
 REFERER = "https://search.example"
 
 
@@ -36,10 +40,17 @@ def event_k(props: F.Column) -> F.Column:
     return F.regexp_extract(props, r"[0-9]+", 0).try_cast("int")
 
 
+def price(value: F.Column) -> F.Column:
+    """``decimal(18,2)``; a value that doesn't fit fails the job (a NULL would leave the revenue unseen)."""
+    out = value.try_cast("decimal(18,2)")
+    return F.when(value.isNotNull() & out.isNull(),
+                  F.raise_error(F.concat(F.lit("price out of range: "), value.cast("string"))).cast("decimal(18,2)")).otherwise(out)
+
+
 def _url(event_type: F.Column, k: F.Column) -> F.Column:
     return (F.when(event_type == "view", F.when(k % 2 == 0, F.lit("/home")).otherwise(F.lit("/lander-1")))
-            .when(event_type == "click", F.lit("/products"))
-            .when(event_type == "signup", F.lit("/cart"))
+            .when(event_type == "click", F.when(k % 3 == 0, F.lit("/the-original-mr-fuzzy")).otherwise(F.lit("/products")))
+            .when(event_type == "signup", F.when(k % 2 == 0, F.lit("/shipping")).otherwise(F.lit("/cart")))
             .when(event_type == "error", F.when(k % 3 == 0, F.lit("/billing-2")).otherwise(F.lit("/billing")))
             .when(event_type == "purchase", F.lit("/thank-you-for-your-order")))
 
@@ -58,7 +69,7 @@ def web_tables_from_sessionized(hits: DataFrame, session_rows: DataFrame | None
     from disk); by default it is computed from ``hits``.
     """
     sess = sessions_of(hits, carry=("k",)) if session_rows is None else session_rows
-    k0 = F.col("first_k")
+    k0 = F.coalesce(F.col("first_k"), F.lit(NO_K))
     m5 = k0 % 5
     sessions = sess.select(
         F.col("session_id").alias("website_session_id"),
@@ -86,10 +97,10 @@ def web_tables_from_sessionized(hits: DataFrame, session_rows: DataFrame | None
         F.col("ts").alias("created_at"),
     )
     items = (purchases
-             .select("event_id", "value", F.explode(F.sequence(F.lit(1), F.lit(1) + F.col("k") % 2)).alias("n"))
+             .select("event_id", "value", F.explode(F.sequence(F.lit(1), F.lit(1) + F.coalesce(F.col("k"), F.lit(NO_K)) % 2)).alias("n"))
              .select((F.col("event_id") * 10 + F.col("n")).alias("order_item_id"),
                      F.col("event_id").alias("order_id"),
-                     F.col("value").try_cast("decimal(10,2)").alias("price_usd")))  # out of range -> NULL
+                     price(F.col("value")).alias("price_usd")))
     return WebTables(sessions=sessions, pageviews=pageviews, orders=orders, order_items=items)
 
 
@@ -107,6 +118,15 @@ def load_from_events(spark: SparkSession, sf_dir: str) -> WebTables:
     return web_tables_from_events(read_events(spark, sf_dir))
 
 
+def written_events(spark: SparkSession, label: str) -> WebTables | None:
+    """The web tables of an earlier derivation, if both writes were completed."""
+    root = os.path.join(checkpoint_dir(spark), "web_tables", label)
+    paths = [os.path.join(root, t) for t in ("sessionized_events", "session_rows")]
+    if not all(path_exists(spark, os.path.join(p, "_SUCCESS")) for p in paths):
+        return None
+    return web_tables_from_sessionized(*[spark.read.parquet(p) for p in paths])
+
+
 _materialized: dict[tuple, WebTables] = {}
 _materialize_lock = threading.Lock()
 
@@ -137,15 +157,15 @@ def materialize_events(spark: SparkSession, events: DataFrame, label: str,
 
 
 def web_tables_for(spark: SparkSession, sf_dir: str) -> WebTables:
-    """Materialized web tables for ``<sf_dir>/events.parquet``, derived once per
-    Spark application and input version, then reused by every metric."""
+    """Materialized web tables for ``<sf_dir>/events.parquet``, derived once per input version
+    and shared by all applications with the same checkpoint folder."""
     events_path = f"{sf_dir.rstrip('/')}/events.parquet"
-    key = (application_id(spark), checkpoint_dir(spark), events_path,
-           input_signature(spark, events_path))
+    key = (checkpoint_dir(spark), ADAPTER_VERSION, events_path, input_signature(spark, events_path))
     with _materialize_lock:  # one derivation per input even with concurrent callers
         if key not in _materialized:
             label = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
-            _materialized[key] = materialize_events(spark, read_events(spark, sf_dir), label)
+            _materialized[key] = (written_events(spark, label)
+                                  or materialize_events(spark, read_events(spark, sf_dir), label))
     return _materialized[key]
 
 
@@ -171,8 +191,8 @@ ev_s AS (
 ),
 ev_x AS (
   SELECT *, MIN(event_id) OVER (PARTITION BY user_id, seq) AS sid,
-         FIRST_VALUE(k) OVER (PARTITION BY user_id, seq ORDER BY ts, event_id
-                              ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS k0
+         COALESCE(FIRST_VALUE(k) OVER (PARTITION BY user_id, seq ORDER BY ts, event_id
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 4) AS k0
   FROM ev_s
 ),
 website_sessions AS (
@@ -190,7 +210,9 @@ website_pageviews AS (
   SELECT event_id AS website_pageview_id, ts AS created_at, sid AS website_session_id,
          CASE WHEN event_type = 'view' AND k % 2 = 0 THEN '/home'
               WHEN event_type = 'view' THEN '/lander-1'
+              WHEN event_type = 'click' AND k % 3 = 0 THEN '/the-original-mr-fuzzy'
               WHEN event_type = 'click' THEN '/products'
+              WHEN event_type = 'signup' AND k % 2 = 0 THEN '/shipping'
               WHEN event_type = 'signup' THEN '/cart'
               WHEN event_type = 'error' AND k % 3 = 0 THEN '/billing-2'
               WHEN event_type = 'error' THEN '/billing'
@@ -202,8 +224,8 @@ web_orders AS (
   FROM ev_x WHERE event_type = 'purchase'
 ),
 order_items AS (
-  SELECT event_id * 10 + n AS order_item_id, event_id AS order_id, TRY_CAST(value AS DECIMAL(10,2)) AS price_usd
-  FROM (SELECT event_id, value, unnest(generate_series(1, 1 + k % 2)) AS n
+  SELECT event_id * 10 + n AS order_item_id, event_id AS order_id, CAST(value AS DECIMAL(18,2)) AS price_usd
+  FROM (SELECT event_id, value, unnest(generate_series(1, 1 + coalesce(k, 4) % 2)) AS n
         FROM ev WHERE event_type = 'purchase')
 ),
 ws AS (

@@ -65,6 +65,23 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet")
     return check_columns(df, schema, name) if schema is not None else df
 
 
+def load_database(spark: SparkSession, database: str | None = None) -> WebTables:
+    """The web tables of a catalog database (default: the current one), by table name."""
+    def named(n: str) -> str:
+        return f"`{database}`.`{n}`" if database else n
+
+    def table(n: str) -> DataFrame:
+        df = spark.table(named(n))
+        return check_columns(df, SCHEMAS[n], n) if n in SCHEMAS else df
+
+    def optional(n: str) -> DataFrame | None:
+        return table(n) if spark.catalog.tableExists(named(n)) else None
+
+    return WebTables(sessions=table("website_sessions"), pageviews=table("website_pageviews"), orders=table("orders"),
+                     order_items=table("order_items"), products=optional("products"),
+                     order_item_refunds=optional("order_item_refunds"))
+
+
 def load_web_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> WebTables:
     """Load ``website_sessions``, ``website_pageviews``, ``orders``, ``order_items``
     (and, if present, ``products`` / ``order_item_refunds``) from ``root/<name>.<fmt>``."""

@@ -33,8 +33,8 @@ def test_table_probes(spark):
     assert [r[:3] for r in rows(spark, "m26_landing_ab_test")] == [("Home", 325, 34), ("Lander-1", 334, 43)]
     assert len(rows(spark, "m27_weekly_trend")) == 8
     assert sorted(r[:3] for r in rows(spark, "m29_billing_test")) == [("/billing", 1339, 1094), ("/billing-2", 675, 504)]
-    # 1,307 sessions; 334 reach the lander step (not an output column), then 170, 103, 48, 36.
-    assert rows(spark, "m31_funnel")[0][:5] == (1307, 170, 103, 48, 36)
+    # 1,307 sessions; then the sessions that reach steps 2 to 7.
+    assert rows(spark, "m31_funnel")[0][:7] == (1307, 127, 22, 11, 3, 1, 1)
     assert Q["t12_clean_sessions"](spark, SF001).count() == 3292
     assert Q["d3_website_pageviews"](spark, SF001).count() == 10000
     assert Q["d3_orders"](spark, SF001).count() == 1981

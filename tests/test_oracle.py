@@ -8,11 +8,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from clickmetrics.plans.catalog import CATALOG
 from conftest import SF0001
 from tools.check_oracle import canon
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = {name: q for name, q in E.queries().items() if name in CATALOG}
+ORACLE = {name: sql for name, sql in E.oracle_sql().items() if name in CATALOG}
+# Soundex DIFFERENCE has no SQL form in DuckDB; test_compat.py and the golden fixture check its values.
+ROWS_ONLY = {"m13_literal_difference"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +26,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) == set(ORACLE) | ROWS_ONLY
 
 
 # Spark result type -> DuckDB result type name.

@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 
 from clickmetrics.operators import bounce, conversion, engagement, visitors
 from clickmetrics.operators.sessionize import gap_sessions
-from clickmetrics.plans.catalog import TEST_FUNNEL, Prepared
+from clickmetrics.constants import FUNNEL_STEPS
+from clickmetrics.plans.catalog import Prepared
 from clickmetrics.sources.events import load_from_events
 from conftest import SF0001, one
 from test_equivalence import lag_sessions
@@ -23,8 +24,8 @@ def test_new_plus_repeat_is_all_pairs(spark):
 
 def test_funnel_counts_never_increase(spark):
     t = Prepared(load_from_events(spark, SF0001))
-    r = one(conversion.funnel(t.wp, t.ws, TEST_FUNNEL, start="2024-01-01", end="2024-01-31"))
-    counts = list(r[1:len(TEST_FUNNEL)])
+    r = one(conversion.funnel(t.wp, t.ws, FUNNEL_STEPS, start="2024-01-01", end="2024-01-31"))
+    counts = list(r[1:len(FUNNEL_STEPS)])
     assert all(a >= b for a, b in zip(counts, counts[1:]))
     assert r[0] >= counts[0]
 
@@ -112,5 +113,5 @@ def test_skew_join_matches_plain_join(spark, big_rows, small_rows, threshold, ho
     small = spark.createDataFrame(small_rows, "k long, w long")
     plain = sorted(map(repr, (tuple(r) for r in big.join(small, ["k"], how).select("id", "k", "v", "w").collect())))
     split = sorted(map(repr, (tuple(r) for r in skew_join(big, small, ["k"], how, spread_by=["id"], threshold=threshold,
-                                                          max_salt=3).select("id", "k", "v", "w").collect())))
+                                                          ).select("id", "k", "v", "w").collect())))
     assert split == plain

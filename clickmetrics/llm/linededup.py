@@ -60,6 +60,8 @@ def keep_bitmaps(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS,
     in_doc = Window.partitionBy("h", "doc_id").orderBy("text_hash", "pos")
     firsts = stream.withColumn("nth", F.row_number().over(in_doc)).filter("nth = 1")
     frequent = firsts.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h")
+    # Written, so that the join below is between two plain shuffles, whose skew Spark can split.
+    frequent = written(spark, frequent, "frequent-lines")
     words = (lines.join(frequent, "h", "left_semi")
              .groupBy("doc_id", "text_hash", F.expr("cast(pos div 64 as int)").alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits")))

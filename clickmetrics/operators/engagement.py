@@ -34,8 +34,7 @@ def time_on_page(wp: DataFrame) -> DataFrame:
     url (exits and hits without session or time included), rounded to 1.  A
     url with only exits gives NULL.
 
-    The seconds come from :func:`timed_hits` (hits counted per (session,
-    time, url), so copies collapse); the per-url hit counts are a separate
+    The seconds come from :func:`timed_hits`; the per-url hit counts are a separate
     map-side-combined aggregate; the two meet as one row per url.
     """
     t = timed_hits(wp, URL)

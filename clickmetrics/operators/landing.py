@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from clickmetrics.constants import DIRECT_SEARCH, GOAL_PAGE
 from clickmetrics.functions.compat import boundary_diff, pct, round_half_away
-from clickmetrics.operators.sessions import SESSION, TS, URL, time_buckets, timed_hits
-
-
+from clickmetrics.operators.sessions import SESSION, TS, URL, timed_hits
 
 def landing_time(wp: DataFrame, ws: DataFrame, by: str | None = None, label: str = DIRECT_SEARCH) -> DataFrame:
     """M16 (``by=None``) / M17 (``by='pageview_url'``): average seconds from a paid
@@ -18,25 +16,12 @@ def landing_time(wp: DataFrame, ws: DataFrame, by: str | None = None, label: str
     are left out (so are sessions with a NULL-time hit: those hits rank
     first and have no next hit).
 
-    Hits come from :func:`timed_hits`, partitioned by (session, hour,
-    second).  Each session's first time is a map-side-combined aggregate of
-    the hits; it is matched to the timed rows on the same (session, hour,
-    second) keys, so the timed rows are not shuffled again, and only the
-    entry rows, a few per session, meet the paid sessions.
+    Entry hits and next times come from :func:`timed_hits`; only the entry
+    rows, a few per session, meet the paid sessions.
     """
-    t = timed_hits(wp, URL)
     paid = ws.filter(F.col("utm_content") != F.lit(label)).select(SESSION)
-    # One row per paid session: its first time and that time's (hour, second) bucket.
-    firsts = (wp.groupBy(SESSION).agg(F.min(TS).alias("_first"),
-                                      F.max(F.col(TS).isNull().cast("int")).alias("_has_null"))
-              .where((F.col("_has_null") == 0) & F.col(SESSION).isNotNull())
-              .join(paid, SESSION, "left_semi")
-              .select(SESSION, "_first", *time_buckets("_first")))
-    # `ts <= _first` equals `ts = _first` (the first time is the minimum); written as an
-    # inequality it stays a join filter instead of a fourth join key, which keeps the
-    # join on the (session, hour, second) partitioning of the timed rows.
-    entries = t.join(firsts, [SESSION, "_b2", "_b1"], "inner").where(F.col(TS) <= F.col("_first"))
-    e = (entries.where(F.col("next_ts").isNotNull())
+    entries = timed_hits(wp, URL).where(F.col("_entry") & F.col("next_ts").isNotNull())
+    e = (entries.join(paid, SESSION, "left_semi")
          .select(URL, "_c", boundary_diff("SECOND", TS, "next_ts").alias("_secs")))
     avg = F.expr("sum(`_secs` * `_c`) div nullif(sum(`_c`), 0)")  # integer AVG over hits
     value = round_half_away(avg.cast("double") / F.lit(60.0), 2).alias("avg_landing_min")

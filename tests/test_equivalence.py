@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clickmetrics.operators import bounce
 from clickmetrics.operators.sessionize import gap_sessions, sessions_of
-from clickmetrics.operators.sessions import next_later_time
+from clickmetrics.operators.sessions import timed_hits, next_later_time
 from clickmetrics.sources.events import read_events
 from conftest import SF0001
 
@@ -146,3 +146,11 @@ def test_sessionization_with_string_users(spark):
     ours = sorted((r.event_id, r.session_id, r.session_seq) for r in gap_sessions(as_text, 3600).collect())
     ref = sorted((r.event_id, r.sid, r.seq) for r in lag_sessions(as_text, 3600).collect())
     assert ours == ref
+
+
+def test_timed_hits_of_hot_sessions_equal_those_of_ordinary_ones(golden):
+    hits = golden.pageviews
+    cols = ["website_session_id", "created_at", "pageview_url", "_c", "next_ts", "_entry"]
+    plain = sorted(map(repr, (tuple(r) for r in timed_hits(hits, "pageview_url").select(*cols).collect())))
+    hot = sorted(map(repr, (tuple(r) for r in timed_hits(hits, "pageview_url", hot_threshold=1).select(*cols).collect())))
+    assert plain and hot == plain

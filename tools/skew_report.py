@@ -22,7 +22,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from clickmetrics.functions.compat import epoch_micros  # noqa: E402
 from clickmetrics.operators.sessionize import gap_sessions  # noqa: E402
-from clickmetrics.operators.sessions import next_later_time, with_session_hits  # noqa: E402
+from clickmetrics.operators.sessions import hits_per_session, next_later_time  # noqa: E402
 from clickmetrics.plans.catalog import CATALOG, Prepared  # noqa: E402
 from clickmetrics.sources.events import materialize_events, web_tables_from_events  # noqa: E402
 from clickmetrics.sources.sink import materialize  # noqa: E402
@@ -109,7 +109,7 @@ def main():
     wp.withColumn("page_count", F.count(F.lit(1)).over(Window.partitionBy("website_session_id"))) \
         .write.format("noop").mode("overwrite").save()
     sc.setJobGroup("count_join", "aggregate joined back")
-    with_session_hits(wp).write.format("noop").mode("overwrite").save()
+    wp.join(hits_per_session(wp), "website_session_id").write.format("noop").mode("overwrite").save()
     total = wp.count()
 
     # Every registered plan on the skewed tables (written once).

@@ -50,7 +50,8 @@ def source_targets(spark: SparkSession, sizes: DataFrame, weights=WEIGHTS, share
     order, and only one count per partition reaches the driver."""
     per = sizes.groupBy("source").agg(
         F.sum("size").alias("source_size"),
-        (F.sum(F.col("size") * F.pow(F.col("size").cast("double"), F.lit(TILT))) / F.sum("size")).alias("mean_tilt"))
+        # null where a source has no words
+        F.try_divide(F.sum(F.col("size") * F.pow(F.col("size").cast("double"), F.lit(TILT))), F.sum("size")).alias("mean_tilt"))
     per = per.withColumn("none", F.col("source").isNull())
     per = per.repartitionByRange("none", "source").sortWithinPartitions("none", "source").withColumn(
         "at", F.monotonically_increasing_id())
@@ -98,7 +99,8 @@ def copies(spark: SparkSession, docs: DataFrame, seed: int = SEED) -> DataFrame:
     j = j.withColumn("whole", F.floor(rate).cast("int")).withColumn("part", rate - F.floor(rate))
     # What is wanted of a source is a number of the source, the same on all its rows.
     j = j.withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
-    p = F.least(F.col("part") * F.pow(F.col("size").cast("double"), F.lit(TILT)) / F.col("mean_tilt"), F.lit(1.0))
+    p = F.try_divide(F.col("part") * F.pow(F.col("size").cast("double"), F.lit(TILT)), F.col("mean_tilt"))
+    p = F.least(F.coalesce(p, F.lit(0.0)), F.lit(1.0))
     u = unit_interval(F.lit(seed), F.col("doc_id"))
     odds = (u / (1 - u)) * (1 - p) / p
     rank = F.when(p > 0, odds / (1 + odds)).otherwise(F.lit(1.0))  # in [0, 1], same order as the odds ratio

@@ -80,6 +80,21 @@ def test_mix(spark, docs, rows):
         assert abs(size[s] - target[s]) <= largest[s] / 2 + 1e-6, s
 
 
+def test_mix_sources_without_words(spark):
+    schema = "doc_id long, text string, source string, n_chars long"
+    rows = [(1, None, "a", None), (2, "", "a", 0), (3, " \t\n", "a", 3), (None, None, "a", None), (4, "", None, 0)]
+    bare = spark.createDataFrame(rows, schema)
+    assert got(paretomix.op4(spark, bare)) == Counter((r[0], 0, 0, 0.0, 0) for r in rows)
+    assert paretomix.mix_documents(spark, bare).count() == 0
+    texts = [(10 + i, "word " * 10, "b", 50) for i in range(20)]
+    both = spark.createDataFrame(rows + texts, schema)
+    out = paretomix.op4(spark, both).collect()
+    assert {tuple(r)[1:] for r in out if (r["doc_id"] or 0) < 10} == {(0, 0, 0.0, 0)}
+    assert sum(r["taken"] for r in out) == pytest.approx(300, abs=5) and len(out) == 25
+    mixed = paretomix.mix_documents(spark, both).collect()
+    assert len(mixed) == 30 and {r["source"] for r in mixed} == {"b"}
+
+
 def test_jaccard_join(spark, docs, rows):
     sets = {}
     for d, t, *_ in rows:

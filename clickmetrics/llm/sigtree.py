@@ -23,7 +23,8 @@ GROUP sets are cut into blocks and joined block by block, so a task holds two bl
 
 Components grow between rounds by min-label propagation with pointer jumping over written tables.
 
-Edge cases: null and empty texts have an empty set, which links with nothing (component = own id).
+Edge cases: null and empty texts have an empty set, which links with nothing (component = own id, or
+that of the id's other texts).
 A text of 1 to 4 words has one shingle, its whole word sequence.  Rows with a null id link with
 nothing and have a null component.  A repeated id is one node that has the links of
 all its texts; a component's id is its smallest id.  Empty table: empty result.  Extra columns pass through :func:`one_per_group`.
@@ -296,6 +297,25 @@ def grow(spark: SparkSession, comp: DataFrame, edges: DataFrame) -> DataFrame:
     return written(spark, old.union(new), "components")
 
 
+def tie_repeated(spark: SparkSession, sketch: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The components that repeated ids make of the classes of their texts, before any link, and the ids
+    that have different sets (``repeated``; None if there are none)."""
+    none = spark.createDataFrame([], "node long, comp long")
+    what = ["n_shingles", "d1", "d2"]
+    differ = F.lit(False)
+    for c in what:
+        differ = differ | (F.col(f"lo_{c}") != F.col(f"hi_{c}"))
+    ends = [f(c).alias(f"{name}_{c}") for c in what for name, f in (("lo", F.min), ("hi", F.max))]
+    ids = sketch.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("repeated")).agg(*ends)
+    ids = written(spark, ids.filter(differ).select("repeated"), "repeated-ids")
+    if ids.isEmpty():
+        return none, None
+    mine = sketch.join(ids, F.col("doc_id") == F.col("repeated"), "left_semi").filter("n_shingles > 0")
+    mine = written(spark, mine.select("doc_id", *what).distinct(), "repeated-sets")
+    edges = mine.join(reps.select("rid", *what), what).select(F.col("doc_id").alias("a"), F.col("rid").alias("b"))
+    return grow(spark, none, written(spark, edges, "repeated-links")), ids
+
+
 def link_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, d1, d2, component_id`` for every row of ``docs`` (``doc_id`` long, ``text``)."""
     ship(spark)
@@ -307,6 +327,7 @@ def link_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     reps = written(spark, full.groupBy("n_shingles", "d1", "d2").agg(
         F.min("doc_id").alias("rid"), *[F.first(f"keys{i}").alias(f"keys{i}") for i in range(len(ROUNDS))]), "classes")
     # A repeated id may stand for several sets: the id is the node, its sets are joined one by one.
+    comp, tied = tie_repeated(spark, sketch, reps)
     members = written(spark, reps.select("rid", "d1", F.explode(F.concat(*[F.transform(f"keys{i}", lambda k, i=i: F.struct(
         F.lit(i).alias("round"), k.alias("key"))) for i in range(len(ROUNDS))])).alias("k")).select("rid", "d1", "k.round", "k.key"), "members")
     shared = members.groupBy("round", "key").agg(F.count("*").alias("n")).filter("n > 1").select("round", "key")
@@ -317,7 +338,6 @@ def link_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     have = rows.join(wanted, rows["doc_id"] == wanted["rid"]).select("rid", "text")
     # Whole sets, only for sets that share a key.
     sets = written(spark, have.mapInArrow(_sets_task, "rid long, shingles binary").distinct(), "sets")
-    comp = spark.createDataFrame([], "node long, comp long")
     for i in range(len(ROUNDS)):
         mine = members.filter(F.col("round") == i).select("rid", "key").distinct()
         c = comp.select(F.col("node").alias("n_"), F.col("comp").alias("c_"))
@@ -340,10 +360,16 @@ def link_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ids = reps.select(F.col("n_shingles").alias("n_"), F.col("d1").alias("x1"), F.col("d2").alias("x2"), "rid")
     ids = ids.join(comp, F.col("rid") == F.col("node"), "left").select(
         "n_", "x1", "x2", F.coalesce("comp", "rid").alias("component"))
+    out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(
+        ids, (F.col("n_shingles") == F.col("n_")) & (F.col("d1") == F.col("x1")) & (F.col("d2") == F.col("x2")), "left")
+    if tied is not None:
+        # An empty text has no class: it takes the component of its id.
+        nodes = tied.join(comp, F.col("repeated") == F.col("node")).select("repeated", F.col("comp").alias("of_id"))
+        out = out.join(written(spark, nodes, "repeated-components"),
+                       (F.col("doc_id") == F.col("repeated")) & (F.col("n_shingles") == 0), "left")
+        out = out.withColumn("component", F.coalesce("component", "of_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return sketch.select("doc_id", "n_shingles", "d1", "d2").join(
-        ids, (F.col("n_shingles") == F.col("n_")) & (F.col("d1") == F.col("x1")) & (F.col("d2") == F.col("x2")), "left").select(
-        "doc_id", "n_shingles", "d1", "d2", own.alias("component_id"))
+    return out.select("doc_id", "n_shingles", "d1", "d2", own.alias("component_id"))
 
 
 def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:

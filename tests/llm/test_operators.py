@@ -113,6 +113,21 @@ def test_jaccard_join(spark, docs, rows):
     assert sigtree.one_per_group(spark, docs).count() == len(set(comp.values())) + 1
 
 
+def test_repeated_id_links_all_its_texts(spark):
+    from conftest import prose
+
+    t1, t2, t3 = prose(201, 100), prose(202, 100), prose(203, 60)
+    near = t2.split(" ")
+    near[30] = "changed"
+    rows = [(3, t1), (5, t1), (5, t2), (9, " ".join(near)), (5, ""), (5, None), (6, ""), (20, t3), (21, t3), (21, "x y z"),
+            (None, t1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {(r["doc_id"], r["component_id"]) for r in sigtree.op5(spark, df).collect()}
+    assert out == {(3, 3), (5, 3), (9, 3), (6, 6), (20, 20), (21, 20), (None, None)}
+    left = Counter((r["doc_id"], r["text"]) for r in sigtree.one_per_group(spark, df).collect())
+    assert left == Counter([(3, t1), (6, ""), (20, t3), (None, t1)])
+
+
 def test_signature_tree_finds_every_component():
     rng = np.random.default_rng(3)
     base = [rng.integers(0, 1 << 62, n, dtype=np.uint64) for n in (60, 80, 400)]

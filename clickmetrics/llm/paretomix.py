@@ -147,15 +147,14 @@ def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def mix_documents(spark: SparkSession, docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it (rows taken 0 times go)."""
     row = fresh(docs, "mix_row")
-    # Rows are matched back by id, source and text, so that repeated ids with different texts keep their own copies.
+    # Rows are numbered and written, so that every row, also one of several equal ones, gets its own copies back.
     digest = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-    marked = copies(spark, docs.select("doc_id", "source", "text", digest.alias("row_no")), seed)
-    m_id, m_src, m_row, n = (fresh(docs, f"mix_{x}") for x in ("id", "source", "digest", "copies"))
-    marked = marked.groupBy(F.col("doc_id").alias(m_id), F.col("source").alias(m_src), F.col("row_no").alias(m_row)).agg(
-        F.max("copies").alias(n))
-    left = docs.withColumn(row, digest)
-    joined = left.join(marked, left["doc_id"].eqNullSafe(marked[m_id]) & left["source"].eqNullSafe(marked[m_src])
-                       & (left[row] == marked[m_row]))
+    number = F.struct(digest.alias("digest"), F.monotonically_increasing_id().alias("at"))
+    left = written(spark, docs.withColumn(row, number), "mix-rows")
+    marked = copies(spark, left.select("doc_id", "source", "text", F.col(row).alias("row_no")), seed)
+    m_row, n = (fresh(docs, f"mix_{x}") for x in ("at", "copies"))
+    marked = marked.filter("copies > 0").select(F.col("row_no.at").alias(m_row), F.col("copies").alias(n))
+    joined = left.join(marked, left[row]["at"] == marked[m_row])
     copy = fresh(docs, "mix_copy")
-    return (joined.filter(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+    return (joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
             .select(*docs.columns))

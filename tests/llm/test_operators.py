@@ -95,6 +95,18 @@ def test_mix_sources_without_words(spark):
     assert len(mixed) == 30 and {r["source"] for r in mixed} == {"b"}
 
 
+def test_mix_counts_equal_rows_once_each(spark):
+    text = "word " * 10
+    rows = [(None, text, "a", i) for i in range(60)] + [(i, text, "a", 100 + i) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    taken = sum(r["taken"] for r in paretomix.op4(spark, df).collect())
+    out = paretomix.mix_documents(spark, df)
+    per = Counter(r["n_chars"] for r in out.collect())
+    assert out.columns == df.columns
+    assert 10 * sum(per.values()) == taken == 1200
+    assert set(per) == {r[3] for r in rows} and set(per.values()) == {1, 2}
+
+
 def test_jaccard_join(spark, docs, rows):
     sets = {}
     for d, t, *_ in rows:

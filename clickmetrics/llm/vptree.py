@@ -6,7 +6,8 @@ shard's tree (vantage point, median distance, two halves; leaves of LEAF vectors
 queries through it together.  The distance is the chord between unit vectors, a metric that falls
 with growing cosine.  A child is skipped when its triangle-inequality bound, times FACTOR, is no
 better than the query's k-th nearest so far.  FACTOR 1 is exact; larger factors skip more.  Queries
-first walk to their own leaf, so that the bound is tight early.
+first walk to their own leaf, so that the bound is tight early; that path is never skipped, so the vectors
+that set the bound are always found.
 
 Scores are cosines of the original vectors in double precision, worked out pair by pair in a fixed
 order, so equal vectors get equal scores and ties go to the smaller id.  Equal vectors of a shard
@@ -88,7 +89,7 @@ class Tree:
         # The second walk sees every vector once; the first one only gave starting bounds.
         self.best[:] = -2.0
         self.floor, self.found = bounds, []
-        self._walk(self.root, everyone, np.zeros(len(queries)))
+        self._walk(self.root, everyone, np.zeros(len(queries)), np.ones(len(queries), bool))
         if not self.found:
             z = np.zeros(0, np.int64)
             return z, z
@@ -124,9 +125,10 @@ class Tree:
         self._descend(near, active[inside])
         self._descend(far, active[~inside])
 
-    def _walk(self, node, active, bound):
-        alive = bound * self.factor <= self._limit(active) + MARGIN
-        active, bound = active[alive], bound[alive]
+    def _walk(self, node, active, bound, home):
+        """``home``: whether the node is on the query's own path, which the first walk took."""
+        alive = home | (bound * self.factor <= self._limit(active) + MARGIN)
+        active, bound, home = active[alive], bound[alive], home[alive]
         if not len(active):
             return
         if node[0] is None:
@@ -138,10 +140,11 @@ class Tree:
         d = self._chord(self.q[active] @ self.units[point])
         to_near, to_far = np.maximum(bound, d - inner), np.maximum(bound, outer - d)
         first = d <= (inner + outer) / 2
-        self._walk(near, active[first], to_near[first])
-        self._walk(far, active[~first], to_far[~first])
-        self._walk(far, active[first], to_far[first])
-        self._walk(near, active[~first], to_near[~first])
+        self._walk(near, active[first], to_near[first], home[first])
+        self._walk(far, active[~first], to_far[~first], home[~first])
+        away = np.zeros(len(active), bool)
+        self._walk(far, active[first], to_far[first], away[first])
+        self._walk(near, active[~first], to_near[~first], away[~first])
 
 
 def usable(vector: Column) -> Column:

@@ -294,6 +294,31 @@ def test_nearest_neighbours(spark):
     assert len(near & {(q, i) for q, _, i in want}) >= 0.9 * len(want)
 
 
+def test_search_finds_k_in_a_shard_without_the_query():
+    # Two clusters and queries half way between them: both halves of the tree have a large bound.
+    rng = np.random.default_rng(4)
+    angle = np.concatenate([rng.uniform(0, 0.05, 500), rng.uniform(np.pi / 2 - 0.05, np.pi / 2, 500)])
+    middle = rng.uniform(np.pi / 4 - 0.02, np.pi / 4 + 0.02, 50)
+    units, queries = (np.stack([np.cos(x), np.sin(x)], axis=1) for x in (angle, middle))
+    q, r = vptree.Tree(units, leaf=16).search(queries, 3, vptree.FACTOR)
+    assert np.bincount(q, minlength=50).min() >= 3
+    assert len(set(zip(q.tolist(), r.tolist(), strict=True))) == len(q)
+
+
+def test_recall_with_many_shards():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 16))
+    units = vptree.unit(centres[rng.integers(0, 60, 6000)] + 0.3 * rng.normal(size=(6000, 16)))
+    queries, k, best = units[:100], 6, [[] for _ in range(100)]
+    for shard in range(20):
+        rows = np.arange(shard, 6000, 20)
+        for i, j in zip(*vptree.Tree(units[rows], leaf=32).search(queries, k, vptree.FACTOR), strict=True):
+            best[i].append((-float(units[rows[j]] @ queries[i]), int(rows[j])))
+    want = np.argsort(-(queries @ units.T), axis=1)[:, :k]
+    hits = sum(len({j for _, j in sorted(b)[:k]} & set(w.tolist())) for b, w in zip(best, want, strict=True))
+    assert hits >= 0.9 * want.size
+
+
 @pytest.fixture(scope="module")
 def learnable(spark):
     texts = [("the and that with for this was %d the of" % i, "en", 0) for i in range(120)]

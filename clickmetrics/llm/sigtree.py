@@ -379,11 +379,13 @@ def op5(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def one_per_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with one row per component: the one of the smallest id.  Rows that link with nothing
     stay, and so do rows with a null id."""
-    keep = link_components(spark, docs).filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    keep = link_components(spark, docs).filter(F.col("doc_id") == F.col("component_id"))
     own = fresh(docs, "near_id")
     keep = keep.select(F.col("doc_id").alias(own)).distinct()
-    left = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep[own]), "left_semi")
+    left = docs.join(keep, docs["doc_id"].cast("long") == keep[own], "left_semi")
     # Repeated rows of one id are copies of each other: the first in order of text stays.
     nth = fresh(docs, "near_nth")
     w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return left.withColumn(nth, F.row_number().over(w)).filter(F.col("doc_id").isNull() | (F.col(nth) == 1)).drop(nth)
+    first = left.withColumn(nth, F.row_number().over(w)).filter(F.col(nth) == 1).drop(nth)
+    # Rows with a null id aren't numbered, or they would all be one group of the window.
+    return first.union(docs.filter(F.col("doc_id").isNull()))

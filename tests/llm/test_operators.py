@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from clickmetrics.llm import bpe, langid, linededup, paretomix, pfor, quality, recompress, sigtree, toxicity, vptree
 
@@ -140,6 +141,16 @@ def test_repeated_id_links_all_its_texts(spark):
     assert left == Counter([(3, t1), (6, ""), (20, t3), (None, t1)])
 
 
+def test_null_ids_are_not_one_group(spark):
+    rows = [(None, f"some text {i}") for i in range(80)] + [(1, "a b c"), (1, "a b c"), (2, "a b c"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = sigtree.one_per_group(spark, df).withColumn("at", F.spark_partition_id()).collect()
+    assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == [1, 3]
+    null = [r for r in out if r["doc_id"] is None]
+    assert len(null) == len({r["text"] for r in null}) == 80
+    assert max(Counter(r["at"] for r in null).values()) <= 40
+
+
 def test_signature_tree_finds_every_component():
     rng = np.random.default_rng(3)
     base = [rng.integers(0, 1 << 62, n, dtype=np.uint64) for n in (60, 80, 400)]

@@ -127,7 +127,7 @@ def test_jaccard_join(spark, docs, rows):
 
 
 def test_repeated_id_links_all_its_texts(spark):
-    from conftest import prose
+    from .conftest import prose
 
     t1, t2, t3 = prose(201, 100), prose(202, 100), prose(203, 60)
     near = t2.split(" ")

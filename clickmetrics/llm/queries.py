@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from clickmetrics.llm import (bpe, langid, linededup, oracles, paretomix, pfor, quality, recompress, sigtree, toxicity,
-                              vptree)
+from clickmetrics.llm import (align, bpe, fim, langid, linededup, oracles, paretomix, pfor, qda, quality, recompress, sigtree,
+                              toxicity, vptree)
 from clickmetrics.llm.common import read_table
 
 
@@ -26,6 +26,9 @@ QUERIES = {
     "op8_toxicity": _over("documents", toxicity.op8, "labels"),
     "op9_substring_dedup": _over("documents", recompress.op9),
     "op10_token_files": _over("documents", pfor.op10),
+    "op11_token_alignment": _over("documents", align.op11),
+    "op12_quality_classifier": _over("documents", qda.op12, "labels"),
+    "op13_fill_in_middle": _over("documents", fim.op13),
 }
 
 ORACLE = {
@@ -33,4 +36,5 @@ ORACLE = {
     "op5_ngram_jaccard_join": oracles.JACCARD,
     "op6_quality_rules": oracles.QUALITY,
     "op9_substring_dedup": oracles.SUBSTRINGS,
+    "op13_fill_in_middle": fim.ORACLE,
 }

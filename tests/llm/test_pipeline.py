@@ -15,7 +15,7 @@ def test_registered():
 
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
     assert set(queries.ORACLE) <= set(E.oracle_sql())
-    assert [int(n[2:n.index("_")]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:n.index("_")]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def test_stages(spark, docs):

@@ -12,7 +12,7 @@ under the shared folder: a lost task is written again and never half visible.  P
 are in document order.  Starts over the whole corpus need one number per part (not per document).
 
 Encoding uses the tokenizers library on words between ASCII spaces and line ends, which its
-pre-tokenizer always separates; words seen before come from a bounded memo.
+pre-tokenizer always separates; words seen before come from a bounded table.
 
 Edge cases: null text counts as empty (only the end id).  Null ids come first.  Rows with equal ids
 are ordered by text (null first).  Empty table: empty result.  Extra columns are ignored.
@@ -20,7 +20,9 @@ are ordered by text (null first).  Empty table: empty result.  Extra columns are
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import re
 import struct
 import zlib
@@ -31,17 +33,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickmetrics.llm import words as W
 from clickmetrics.llm.common import ship, text_blocks, written
+from clickmetrics.llm.ragged import Growing, offsets_of, slices, take
 
 BLOCK = 256
 SEGMENT = 1 << 17
 PERCENTILE = 90
 END_ID = 2
-MEMO = 800_000
-LONGEST_MEMO = 64
+TABLE_BYTES = 160 << 20
+_BREAK = np.zeros(256, bool)  # bytes between words here
+_BREAK[[0x20, 0x0A]] = True
 # Latin letters and one mark after them: two pieces for the pre-tokenizer, and A-Z is lower-cased by
 # the normalizer, so the ids follow from the lower-case letters' and the mark's.
 _SIMPLE = re.compile("([A-Za-z][a-z\u00e0-\u00f6\u00f8-\u00ff]*|[\u00e0-\u00f6\u00f8-\u00ff][a-z\u00e0-\u00f6\u00f8-\u00ff]*)([.,;:!?]?)")
+_LETTERS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+")
+# Byte-level vocabularies write a byte from 0xA1 on (but for 0xAD) as its Latin-1 character, the others as U+0100 on.
+_BYTE_LEVEL = {c: "".join(chr(b if b > 0xA0 and b != 0xAD else 0x143 if b == 0xAD else b + 0xA2 if b > 0x7E else b)
+                          for b in chr(c).encode()) for c in range(0xE0, 0x100)}
 _HEAD = struct.Struct("<4sIIII")
 _MAGIC = b"PFR1"
 
@@ -137,73 +146,112 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 # ---- encoding ---------------------------------------------------------------------------------
 
 class WordEncoder:
-    """Ids of texts by the tokenizers library, through a memo of words."""
+    """Ids of texts by the tokenizers library, through a table of the words met so far.
+
+    A block's words are told apart by Arrow's dictionary encoding; only words that the table lacks are
+    looked at one by one, and all ids of a block are taken from the table in one step.  A table above
+    TABLE_BYTES is emptied, which changes no result."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
-        self.memo: dict[str, bytes] = {"": b""}
         bar = self.tok.encode("|", add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
-
-    def _new(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that the memo lacks; simple ones are put together from their parts."""
-        memo, split, plain = self.memo, {}, set()
+        # Lower-case Latin letters pass this normalizer and pre-tokenizer unchanged, as one piece in the
+        # byte-level alphabet, so the library's model can be asked for their ids at once.
+        parts = json.loads(spec)
+        kinds = [[x["type"] for x in (parts[k] or {}).get(v, [])] for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.model = self.tok.model if kinds == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and parts["post_processor"] is None else None
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ids, self.ends = Growing(np.uint32), Growing(np.int64)
+        self.letters = 0
+        self.ends.append(np.zeros(1, np.int64))
+        self._store([""], [0], [])
+
+    def _store(self, words: list[str], lens, ids) -> None:
+        """Put words into the table: the number of ids of each, and all ids one after another."""
+        first = self.ends.size - 1
+        self.rows.update(zip(words, range(first, first + len(words)), strict=True))
+        self.letters += sum(map(len, words))
+        self.ends.append(self.ids.size + np.cumsum(lens))
+        self.ids.append(np.asarray(ids, np.uint32))
+
+    def _learn(self, words: list[str]) -> None:
+        """Put words that the table lacks into it; simple ones are put together from their parts."""
+        rows, split, plain = self.rows, {}, set()
         for w in words:
             m = _SIMPLE.fullmatch(w)
             if m is None:
                 plain.add(w)
                 continue
             core, mark = m.groups()
-            core = core.lower() if core[0] < "a" else core
+            if core[0] < "a":
+                core = core.lower()
             if core == w:
                 plain.add(w)
                 continue
             split[w] = (core, mark)
-            if core not in memo:
+            if core not in rows:
                 plain.add(core)
-            if mark not in memo:
+            if mark not in rows:
                 plain.add(mark)
-        out = self._learn(sorted(plain))
-        for w, (core, mark) in split.items():
-            a, b = out.get(core), out.get(mark)
-            out[w] = (memo[core] if a is None else a) + (memo[mark] if b is None else b)
-        self._keep([(w, out[w]) for w in split])
-        return out
-
-    def _keep(self, pairs: list[tuple[str, bytes]]) -> None:
-        """The memo takes short words while it has room."""
-        room = max(0, MEMO - len(self.memo))
-        self.memo.update([(w, x) for w, x in pairs if len(w) <= LONGEST_MEMO][:room])
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        self._encode(sorted(plain))
+        if split:
+            parts = np.array([rows[x] for pair in split.values() for x in pair], np.int64)
+            ids, ends = take(self.ids.values, self.ends.values, parts)
+            self._store(list(split), np.diff(ends[::2]), ids)
+
+    def _encode(self, words: list[str]) -> None:
         """Encode words, many in one call with a bar between them."""
-        out: dict[str, bytes] = {}
-        plain = [w for w in words if "|" not in w] if self.bar is not None else []
+        if self.model is not None:
+            ask, lens, ids, letters, others = self.model.tokenize, [], [], [], []
+            for w in words:
+                if _LETTERS.fullmatch(w):
+                    found = [t.id for t in ask(w if w.isascii() else w.translate(_BYTE_LEVEL))]
+                    letters.append(w)
+                    lens.append(len(found))
+                    ids += found
+                else:
+                    others.append(w)
+            if letters:
+                self._store(letters, lens, ids)
+            words = others
+        alone = [w for w in words if self.bar is None or "|" in w]
+        plain = [w for w in words if self.bar is not None and "|" not in w]
         for a in range(0, len(plain), 1000):
             part = plain[a:a + 1000]
-            ids = np.array(self.tok.encode(" | ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tok.encode(" | ".join(part), add_special_tokens=False).ids, np.uint32)
             cut = np.flatnonzero(ids == self.bar)
             if len(cut) == len(part) - 1:
-                for w, x in zip(part, np.split(ids, cut), strict=True):
-                    out[w] = x.tobytes() if w is part[0] else x[1:].tobytes()
-        rest = [w for w in words if w not in out]
-        for w, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
-            out[w] = np.array(e.ids, "<u4").tobytes()
-        self._keep(list(out.items()))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of every text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        every = set().union(*split)
-        ids = self._new(every.difference(memo))
-        for w in every.difference(ids):
-            ids[w] = memo[w]
-        get = ids.__getitem__  # the ids of this block's words
-        return [b"".join(map(get, words)) for words in split]
+                self._store(part, np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1, np.delete(ids, cut))
+            else:
+                alone += part
+        if alone:
+            found = [e.ids for e in self.tok.encode_batch(alone, add_special_tokens=False)]
+            self._store(alone, [len(x) for x in found], [i for x in found for i in x])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and the texts' offsets into them."""
+        if 4 * self.ids.size + 4 * self.letters + 100 * len(self.rows) > TABLE_BYTES:
+            self.clear()
+        starts, ends, bounds = W.word_spans(data, offsets, _BREAK)
+        lens = offsets_of(ends - starts)
+        coded = slices(data[~_BREAK[data]], lens).cast(pa.large_string()).dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+        get = self.rows.get
+        rows = list(map(get, known))
+        new = [w for w, r in zip(known, rows, strict=True) if r is None]
+        if new:
+            self._learn(new)
+            rows = list(map(get, known))
+        rows = np.array(rows, np.int64)
+        at = rows[coded.indices.to_numpy()] if len(known) else np.zeros(0, np.int64)
+        ids, ends = take(self.ids.values, self.ends.values, at)
+        return ids, ends[bounds]
 
 
 _encoders: dict[bytes, WordEncoder] = {}
@@ -220,25 +268,26 @@ def encoder_for(spec: str) -> WordEncoder:
 
 def _write_task(shared, kind):
     def run(batches):
+        gc.disable()  # no cycles here, and looking for them means walking the whole table
         enc = encoder_for(shared.value)
         part = TaskContext.get().partitionId()
         seg, start, total, held, ids, counts = 0, 0, 0, [], [], []
+        end = np.array([END_ID], np.uint32)
 
         def flush():
-            flat = np.frombuffer(b"".join(ids), "<u4")
+            flat = np.concatenate(ids)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([start], pa.int64()),
                  pa.array([held], pa.list_(kind)), pa.array([len(flat)], pa.int64()),
                  pa.array([pack(flat, np.array(counts, np.uint32))], pa.binary())],
                 ["part", "seg", "part_start", "doc_ids", "n_ids", "payload"])
 
-        end = struct.pack("<I", END_ID)
         for block in text_blocks(batches):
-            texts = [t or "" for t in block.column("text").to_pylist()]
-            for doc, raw in zip(block.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
+            flat, bounds = enc.encode(*W.text_bytes(block.column("text")))
+            for doc, a, b in zip(block.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 held.append(doc)
-                ids.append(raw + end)
-                counts.append(len(raw) // 4 + 1)
+                ids += [flat[a:b], end]
+                counts.append(b - a + 1)
                 total += counts[-1]
                 if total >= SEGMENT:
                     yield flush()

@@ -91,7 +91,7 @@ def text_stats(col) -> list[np.ndarray]:
 
 def _stats_task(names):
     def run(batches):
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, most=W.BLOCK):
             stats = text_stats(block.column("text"))
             cols = [block.column(c) for c in names] + [pa.array(s.astype(np.int64)) for s in stats]
             yield pa.RecordBatch.from_arrays(cols, names + [c.split()[0] for c in STATS.split(", ")])

@@ -134,7 +134,7 @@ def anchors(words: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _scan_task(batches):
     """First pass: digests, the hash of the whole text's words, and the anchors of every text."""
-    for block in text_blocks(batches):
+    for block in text_blocks(batches, most=W.BLOCK):
         data, offsets = W.text_bytes(block.column("text"))
         starts, ends, off = W.word_spans(data, offsets)
         words = W.span_hashes(data, starts, ends)
@@ -156,7 +156,7 @@ def _scan_task(batches):
 
 def _windows_task(batches):
     """Second pass: the windows whose anchor is shared, or that have none."""
-    for block in text_blocks(batches):
+    for block in text_blocks(batches, most=W.BLOCK):
         data, offsets = W.text_bytes(block.column("text"))
         starts, ends, off = W.word_spans(data, offsets)
         words = W.span_hashes(data, starts, ends)
@@ -185,7 +185,7 @@ def _windows_task(batches):
 
 def _cut_task(batches):
     """Texts without the words of their removed windows."""
-    for block in text_blocks(batches):
+    for block in text_blocks(batches, most=W.BLOCK):
         removed, sha = [], []
         for text, starts in zip(block.column("text").to_pylist(), block.column("starts").to_pylist(), strict=True):
             words = text.encode().split()

@@ -97,7 +97,7 @@ def keys_of(s: np.ndarray) -> list[list[int]]:
 
 
 def _sketch_task(batches):
-    for block in text_blocks(batches):
+    for block in text_blocks(batches, most=W.BLOCK):
         sizes, d1, d2 = [], [], []
         keys = [[] for _ in ROUNDS]
         for s in shingle_sets(block.column("text")):
@@ -113,7 +113,7 @@ def _sketch_task(batches):
 
 
 def _sets_task(batches):
-    for block in text_blocks(batches):
+    for block in text_blocks(batches, most=W.BLOCK):
         sets = [s.tobytes() for s in shingle_sets(block.column("text"))]
         yield pa.RecordBatch.from_arrays([block.column("rid"), pa.array(sets, pa.binary())], ["rid", "shingles"])
 

@@ -3,6 +3,10 @@
 A word is ``[^\\x20\\x09-\\x0D]+``.  All separators are single bytes, so words are found on bytes.
 Word hashes are 64-bit polynomial hashes of random byte values, finished by a mixer that also
 takes the length; sequences of words are hashed from word hashes.
+
+Sums run over stretches of CHUNK entries, so the tables of powers have a fixed size and work arrays
+don't grow with the text.  What grows with a text is its bytes, its words' places (16 bytes a word)
+and their hashes (8 bytes each).
 """
 
 from __future__ import annotations
@@ -25,17 +29,20 @@ LOWER_VALUE[65:91] = BYTE_VALUE[97:123]
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
+CHUNK = 1 << 16
+BLOCK = 1 << 20  # bytes of text that one step of a task works on (or one longer text)
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base**0 .. base**(n-1)`` modulo 2**64."""
+    """``base**0 .. base**(n-1)`` modulo 2**64; tables of up to 2 * CHUNK + 1 entries are kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, U)
+        have = np.full(max(n, 2 * CHUNK + 1), base, U)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[base] = have
+        if n <= 2 * CHUNK + 1:
+            _powers[base] = have
     return have[:n]
 
 
@@ -62,53 +69,89 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and per text the range of its words (offsets into them)."""
-    n = len(data)
-    if n == 0:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(len(offsets), np.int64)
-    inside = ~IS_SPACE[data]
-    edge = np.zeros(n + 1, bool)  # a text begins here
-    edge[offsets] = True
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | edge[:n]))
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
-
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and per text the range of its words (offsets into them).
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span (an empty span hashes as its length)."""
+    ``space`` tells which bytes separate words."""
+    n = len(data)
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, n, CHUNK):
+        b = min(n, a + CHUNK)
+        inside = np.zeros(b - a + 2, bool)  # one byte more at either side
+        inside[(a == 0):b - a + 1 + (b < n)] = ~space[data[max(a - 1, 0):b + 1]]
+        here = inside[1:-1]
+        edge = np.zeros(b - a + 1, bool)  # a text begins here
+        edge[offsets[np.searchsorted(offsets, a):np.searchsorted(offsets, b, side="right")] - a] = True
+        starts.append(np.flatnonzero(here & (~inside[:-2] | edge[:-1])) + a)
+        ends.append(np.flatnonzero(here & (~inside[2:] | edge[1:])) + a + 1)
+    starts = np.concatenate(starts)
+    return starts, np.concatenate(ends), np.searchsorted(starts, offsets)
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Unfinished hashes of spans that lie within ``data``, which is at most 2 * CHUNK long."""
     n = len(data)
     sums = np.zeros(n + 1, U)
     np.cumsum(values[data] * powers(_PRIME, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(_PRIME_INV, n + 1)[starts] + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
+    return (sums[ends] - sums[starts]) * powers(_PRIME_INV, n + 1)[starts]
+
+
+def _long_sum(parts, base: int) -> np.uint64:
+    """The polynomial of a long sequence from values that come in stretches of CHUNK."""
+    total, scale = 0, 1
+    for x in parts:
+        total += int((x * powers(base, len(x))).sum(dtype=U)) * scale
+        scale = scale * pow(base, len(x), 1 << 64) % (1 << 64)
+    return U(total % (1 << 64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span (an empty span hashes as its length); spans come in order."""
+    out = np.zeros(len(starts), U)
+    lens = ends - starts
+    cuts = np.searchsorted(starts, np.arange(0, (int(starts[-1]) if len(starts) else -1) + CHUNK + 1, CHUNK))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if i == j:
+            continue
+        if ends[j - 1] - starts[i] > 2 * CHUNK:  # only the last span can reach that far
+            j -= 1
+            a, b = int(starts[j]), int(ends[j])
+            out[j] = _long_sum((values[data[k:min(k + CHUNK, b)]] for k in range(a, b, CHUNK)), _PRIME)
+            if i == j:
+                continue
+        a = starts[i]
+        out[i:j] = _span_hashes(data[a:ends[j - 1]], starts[i:j] - a, ends[i:j] - a, values)
+    return mix(out + lens.astype(U) * U(0xA24BAED4963EE407))
+
+
+def _family(words: np.ndarray, second: bool) -> tuple[np.ndarray, int, int]:
+    if second:
+        return mix(words ^ U(0x5851F42D4C957F2D)), _SECOND, _SECOND_INV
+    return words, _PRIME, _PRIME_INV
 
 
 def window_hashes(words: np.ndarray, width: int, second: bool = False) -> np.ndarray:
-    """Hash of every run of ``width`` consecutive word hashes (``len(words) - width + 1`` of them).
+    """Hash of every run of ``width`` (below CHUNK) consecutive word hashes (``len(words) - width + 1`` of them).
 
     ``second`` gives an independent family, for 128 bits together."""
-    n = len(words)
-    if n < width:
-        return np.zeros(0, U)
-    base, inv = (_SECOND, _SECOND_INV) if second else (_PRIME, _PRIME_INV)
-    w = mix(words ^ U(0x5851F42D4C957F2D)) if second else words
-    sums = np.zeros(n + 1, U)
-    np.cumsum(w * powers(base, n), out=sums[1:])
-    return mix((sums[width:] - sums[:n - width + 1]) * powers(inv, n + 1)[:n - width + 1] + U(width))
+    n = len(words) - width + 1
+    out = np.zeros(max(n, 0), U)
+    for a in range(0, n, CHUNK):
+        b = min(n, a + CHUNK)
+        w, base, inv = _family(words[a:b + width - 1], second)
+        sums = np.zeros(len(w) + 1, U)
+        np.cumsum(w * powers(base, len(w)), out=sums[1:])
+        out[a:b] = mix((sums[width:] - sums[:b - a]) * powers(inv, b - a) + U(width))
+    return out
 
 
 def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` over each range of ``offsets`` (empty ranges give 0)."""
-    sums = np.zeros(len(values) + 1, np.int64)
-    np.cumsum(values, out=sums[1:])
-    return sums[offsets[1:]] - sums[offsets[:-1]]
+    """Sum of ``values`` over each range of ``offsets``, which tile them (empty ranges give 0)."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    some = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values[:offsets[-1]], offsets[some], dtype=np.int64)
+    return out
 
 
 def repeated(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -126,12 +169,24 @@ def repeated(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def text_digests(words: np.ndarray, word_off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each text's whole word sequence."""
     out = []
+    lens = np.diff(word_off)
     for second in (False, True):
-        base, inv = (_SECOND, _SECOND_INV) if second else (_PRIME, _PRIME_INV)
-        w = mix(words ^ U(0x5851F42D4C957F2D)) if second else words
-        n = len(w)
-        sums = np.zeros(n + 1, U)
-        np.cumsum(w * powers(base, n), out=sums[1:])
-        a, b = word_off[:-1], word_off[1:]
-        out.append(mix((sums[b] - sums[a]) * powers(inv, n + 1)[a] + (b - a).astype(U)))
+        sums = np.zeros(len(lens), U)
+        i = 0
+        while i < len(lens):
+            a = int(word_off[i])
+            j = max(i + 1, int(np.searchsorted(word_off, a + CHUNK, side="right")) - 1)
+            j = min(j, len(lens))
+            b = int(word_off[j])
+            if b - a > CHUNK:  # one long text
+                _, base, _ = _family(words[:0], second)
+                sums[i] = _long_sum((_family(words[k:min(k + CHUNK, b)], second)[0] for k in range(a, b, CHUNK)), base)
+            else:
+                w, base, inv = _family(words[a:b], second)
+                upto = np.zeros(b - a + 1, U)
+                np.cumsum(w * powers(base, b - a), out=upto[1:])
+                at = word_off[i:j + 1] - a
+                sums[i:j] = (upto[at[1:]] - upto[at[:-1]]) * powers(inv, b - a + 1)[at[:-1]]
+            i = j
+        out.append(mix(sums + lens.astype(U)))
     return out[0], out[1]

@@ -39,7 +39,7 @@ def time_on_page(wp: DataFrame) -> DataFrame:
     """
     t = timed_hits(wp, URL)
     secs = boundary_diff("SECOND", TS, "next_ts")
-    sums = t.groupBy(URL).agg((F.sum(secs * F.col("_c")).cast("double") / F.lit(60.0)).alias("_mins"))
+    sums = t.groupBy(URL).agg((F.sum(secs).cast("double") / F.lit(60.0)).alias("_mins"))
     counts = wp.groupBy(URL).agg(F.count(URL).alias("_n"))
     per_url = counts.join(sums, URL, "left")
     return per_url.select(URL, round_half_away(F.try_divide(F.col("_mins"), F.col("_n").cast("double")), 1)

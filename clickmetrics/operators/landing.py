@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickmetrics.constants import DIRECT_SEARCH, GOAL_PAGE
-from clickmetrics.functions.compat import boundary_diff, pct, round_half_away
+from clickmetrics.functions.compat import boundary_diff, int_avg, pct, round_half_away
 from clickmetrics.operators.sessions import SESSION, TS, URL, timed_hits
 
 def landing_time(wp: DataFrame, ws: DataFrame, by: str | None = None, label: str = DIRECT_SEARCH) -> DataFrame:
@@ -22,9 +22,8 @@ def landing_time(wp: DataFrame, ws: DataFrame, by: str | None = None, label: str
     paid = ws.filter(F.col("utm_content") != F.lit(label)).select(SESSION)
     entries = timed_hits(wp, URL).where(F.col("_entry") & F.col("next_ts").isNotNull())
     e = (entries.join(paid, SESSION, "left_semi")
-         .select(URL, "_c", boundary_diff("SECOND", TS, "next_ts").alias("_secs")))
-    avg = F.expr("sum(`_secs` * `_c`) div nullif(sum(`_c`), 0)")  # integer AVG over hits
-    value = round_half_away(avg.cast("double") / F.lit(60.0), 2).alias("avg_landing_min")
+         .select(URL, boundary_diff("SECOND", TS, "next_ts").alias("_secs")))
+    value = round_half_away(int_avg("_secs").cast("double") / F.lit(60.0), 2).alias("avg_landing_min")
     if by is None:
         return e.agg(value)
     return e.groupBy(F.col(by).alias(by)).agg(value)

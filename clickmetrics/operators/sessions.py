@@ -6,23 +6,24 @@ count, first time, first session) are therefore computed with aggregates,
 which Spark combines map-side before the shuffle, and joined back on the key;
 hits are reduced (per session, per time, or per page) before such joins, so
 neither a large session nor a pile of identical copies reaches one task.
-The only ordered operation, the search for the next time, runs per session
-only for sessions below the hot limit; hot sessions are cut into bounded time
-buckets.
+Ordered operations (the next time, ranks) range-partition the hits by session
+and time, so a large session spreads over as many partitions as its share
+(:mod:`clickmetrics.operators.ordered`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickmetrics.functions.compat import epoch_micros, floor_div
-from clickmetrics.operators.joins import HOT_KEY_ROWS, hot_keys, hot_limit, skew_join
+from clickmetrics.functions.compat import boundary_diff
+from clickmetrics.operators.ordered import NEXT, RANK, ordered_scan
 
 SESSION = "website_session_id"
 USER = "user_id"
 TS = "created_at"
 URL = "pageview_url"
+HIT = "website_pageview_id"
 
 
 def hits_per_session(hits: DataFrame, count_col: str | None = None, name: str = "n_hits") -> DataFrame:
@@ -49,124 +50,55 @@ def entry_hits(hits: DataFrame) -> DataFrame:
     return at_first.drop("_fs", "_first_ts").unionByName(hits.where(F.col(TS).isNull()))
 
 
-# Bucket widths of the next-event search: seconds, then hours.  A group never
-# holds more than the distinct timestamps of one second (1e6 at microsecond
-# precision) or the non-empty seconds of one hour (3,600); the top level holds
-# one row per non-empty hour of a session.
-_NEXT_LEVELS_US = (1_000_000, 3_600_000_000)
-
-
-def time_buckets(ts: str = TS) -> tuple:
-    """``(_b2, _b1)``: the hour and second of ``ts``."""
-    l1, l2 = _NEXT_LEVELS_US
-    us = epoch_micros(ts)
-    return (floor_div(us, l2).alias("_b2"), floor_div(us, l1).alias("_b1"))
-
-
-def _time_counts(valid: DataFrame, key: str, ts: str, *cols: str) -> DataFrame:
-    return valid.groupBy(key, ts, *cols).agg(F.count(F.lit(1)).alias("_c"))
-
-
-def _later(key_cols: tuple[str, ...]) -> Window:
-    """Rows of a group whose time (``_us``) is strictly later: descending order, ending one microsecond before."""
-    return Window.partitionBy(*key_cols).orderBy(F.col("_us").desc()).rangeBetween(Window.unboundedPreceding, -1)
-
-
-def hot_sessions(hits: DataFrame, key: str = SESSION, ts: str = TS, threshold: int = HOT_KEY_ROWS) -> DataFrame:
-    """``(key, _first, _untimed)`` of the keys with more hits than the hot limit: first time, and
-    whether a hit has no time.  Fewer than ``MOST_HOT_KEYS`` rows, so it is broadcast."""
-    facts = hits.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(ts).alias("_first"), F.max(F.col(ts).isNull()).alias("_untimed"))
-    hot = facts.where(F.col("_rows") > hot_limit(facts, "_rows", threshold))
-    return F.broadcast(hot.select(key, "_first", "_untimed"))
-
-
-def _bucketed_next(c: DataFrame, valid: DataFrame, key: str, ts: str, name: str) -> DataFrame:
-    """``name`` on every row of ``c`` (times of hot keys) without a window over a whole key.
-
-    Rows are partitioned by (key, hour, second).  The next time inside the second comes from a
-    window there; otherwise it is the first time of the next non-empty second of the hour, else of
-    the next non-empty hour, from tables of one row per non-empty second and hour that are
-    aggregated from the hits with map-side combining.  A window group holds the rows of one
-    second, the non-empty seconds of one hour, or the key's non-empty hours.
-    """
-    c = (c.withColumn("_us", epoch_micros(ts)).select("*", *time_buckets(ts))
-         .repartition(key, "_b2", "_b1").withColumn("_n0", F.min(ts).over(_later((key, "_b2", "_b1")))))
-    m1 = valid.select(key, ts, *time_buckets(ts)).groupBy(key, "_b2", "_b1").agg(F.min(ts).alias("_m1"))
-    n1 = m1.withColumn("_n1", F.lead("_m1").over(Window.partitionBy(key, "_b2").orderBy("_b1")))
-    m2 = n1.groupBy(key, "_b2").agg(F.min("_m1").alias("_m2"))
-    n2 = m2.withColumn("_n2", F.lead("_m2").over(Window.partitionBy(key).orderBy("_b2"))).select(key, "_b2", "_n2")
-    after = (n1.join(n2, [key, "_b2"], "left")
-               .select(key, "_b2", "_b1", F.coalesce("_n1", "_n2").alias("_after")))
-    return (c.join(after, [key, "_b2", "_b1"], "left").withColumn(name, F.coalesce("_n0", "_after"))
-            .drop("_n0", "_after", "_us", "_b2", "_b1"))
+def _ids(hits: DataFrame) -> tuple[str, ...]:
+    """Columns that tell hits of one session and time apart."""
+    return (HIT,) if HIT in hits.columns else tuple(hits.columns)
 
 
 def timed_hits(hits: DataFrame, *cols: str, key: str = SESSION, ts: str = TS, name: str = "next_ts",
-               hot_threshold: int = HOT_KEY_ROWS) -> DataFrame:
-    """``(key, ts, *cols, _c, name, _entry)``: hits with a non-NULL key and time, counted
-    (``_c``), each with ``name``, the earliest time of the same key that is *strictly later* (NULL
-    for the last one), and ``_entry``, whether it is at the key's first time (false for all hits of
-    a key that has a hit without time: that one ranks first).
-
-    Ordinary keys take one hit-sized exchange, by key; counting and the growing-frame window
-    (tie-correct) run on that partitioning.  Keys above the hot limit are counted with map-side
-    combining, so that identical copies become one row before anything moves, and go through
-    :func:`_bucketed_next`; where there are none, that branch is dropped at run time.
-    """
-    hot = hot_sessions(hits, key, ts, hot_threshold)
-    known = hits.where(F.col(key).isNotNull()).select(key, ts, *cols)
-
-    by_key = Window.partitionBy(key)
-    cold = _time_counts(known.join(hot, key, "left_anti").repartition(key), key, ts, *cols)
-    cold = (cold.withColumn("_us", epoch_micros(ts))
-            .withColumn(name, F.min(ts).over(_later((key,))))
-            .withColumn("_entry", (F.col(ts) == F.min(ts).over(by_key)) & ~F.max(F.col(ts).isNull()).over(by_key))
-            .where(F.col(ts).isNotNull()))
+               partitions: int | None = None) -> DataFrame:
+    """``(key, ts, *cols, name, _entry)``: every hit with a non-NULL key and time, with ``name``, the earliest
+    time of the same key that is *strictly later* (NULL for the last one), and ``_entry``, whether it is
+    at the key's first time (false for all hits of a key that has a hit without time: that one ranks first).
 
-    valid = known.where(F.col(ts).isNotNull()).join(hot, key)
-    counted = _time_counts(valid, key, ts, *cols, "_first", "_untimed")
-    warm = _bucketed_next(counted, valid, key, ts, name).withColumn(
-        "_entry", (F.col(ts) == F.col("_first")) & ~F.col("_untimed"))
-    out = [key, ts, *cols, "_c", name, "_entry"]
-    return cold.select(*out).unionByName(warm.select(*out))
-
-
-def next_times(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str = "next_ts",
-               hot_threshold: int = HOT_KEY_ROWS) -> DataFrame:
-    """``(key, ts, name)``, one row per distinct non-NULL ``(key, ts)``: the earliest
-    time of the same key that is *strictly later* (NULL for the last one)."""
-    return timed_hits(hits, key=key, ts=ts, name=name, hot_threshold=hot_threshold).select(key, ts, name)
+    One exchange of the hits, by (key, time): :func:`ordered_scan`."""
+    known = hits.where(F.col(key).isNotNull())
+    scanned = ordered_scan(known, [key], ts, _ids(hits), partitions, keep=[key, ts, *cols])
+    return scanned.where(F.col(ts).isNotNull()).select(key, ts, *cols, F.col(NEXT).alias(name), (F.col(RANK) == 1).alias("_entry"))
 
 
 def next_later_time(hits: DataFrame, key: str = SESSION, ts: str = TS, name: str = "next_ts",
-                    spread_by: tuple[str, ...] | None = None, hot_threshold: int = HOT_KEY_ROWS) -> DataFrame:
-    """Add ``name`` to every hit: the earliest ``ts`` of the same ``key`` that is
-    *strictly later*.
+                    spread_by: tuple[str, ...] | None = None, partitions: int | None = None) -> DataFrame:
+    """Add ``name`` to every hit: the earliest ``ts`` of the same ``key`` that is *strictly later*.
 
     Equal to the reference's self-join ``LEFT JOIN hits b ON a.key = b.key AND
     a.ts < b.ts`` + ``MIN(b.ts)``, including ties (tied hits share the same
     next time), without its quadratic pair list.  Hits with a NULL key or time
-    get NULL, as the join gives them no partner.
+    get NULL, as the join gives them no partner.  ``spread_by`` names columns
+    that tell hits of one key and time apart."""
+    scanned = ordered_scan(hits, [key], ts, spread_by or _ids(hits), partitions)
+    return scanned.select(*hits.columns, F.when(F.col(key).isNotNull(), F.col(NEXT)).alias(name))
 
-    Ordinary keys take one exchange and one window.  The hits of hot keys get
-    the times of :func:`_bucketed_next` by a skew join: a (key, time) that very
-    many hits share is spread over several tasks by ``spread_by``.
-    """
-    hot = hot_sessions(hits, key, ts, hot_threshold).select(key)
-    # Hits without a key have no partner; a hash of their own spreads them.
-    apart = F.when(F.col(key).isNull(), F.xxhash64(*[F.col(c) for c in spread_by or hits.columns]))
-    cold = (hits.join(F.broadcast(hot), key, "left_anti")
-            .withColumn("_us", epoch_micros(ts)).withColumn("_apart", apart)
-            .withColumn(name, F.when(F.col(key).isNotNull() & F.col(ts).isNotNull(),
-                                     F.min(ts).over(_later((key, "_apart"))))))
-    warm = hits.join(F.broadcast(hot), key, "left_semi")
-    timed = _time_counts(warm.where(F.col(ts).isNotNull()), key, ts)
-    times = _bucketed_next(timed, warm.where(F.col(ts).isNotNull()), key, ts, name).select(key, ts, name)
-    warm = skew_join(warm, times, [key, ts], "left", hot=hot_keys(timed, [key, ts], "_c", hot_threshold),
-                     spread_by=spread_by, threshold=hot_threshold)
-    out = [*hits.columns, name]
-    return cold.select(*out).unionByName(warm.select(*out))
+
+def hit_ranks(hits: DataFrame, partitions: int | None = None) -> DataFrame:
+    """WN-2: ``DENSE_RANK() OVER (PARTITION BY session ORDER BY created_at)`` as a column of every hit."""
+    scanned = ordered_scan(hits, [SESSION], TS, _ids(hits), partitions)
+    return scanned.select(*hits.columns, F.col(RANK).alias("hit_rank"))
+
+
+def visit_ranks(sessions: DataFrame, partitions: int | None = None) -> DataFrame:
+    """WN-1: ``DENSE_RANK() OVER (PARTITION BY user_id ORDER BY website_session_id)`` of every session row."""
+    scanned = ordered_scan(sessions.select(USER, SESSION), [USER], SESSION, (), partitions)
+    return scanned.select(USER, SESSION, F.col(RANK).alias("visit_rank"))
+
+
+def grouped_hit_ranks(hits: DataFrame, sessions: DataFrame, partitions: int | None = None) -> DataFrame:
+    """WN-3: hits of ``sessions`` grouped with their next later time: page start, next start, seconds between
+    and the dense rank of the hit's time in its session, all from one scan."""
+    rows = hits.join(sessions.select(SESSION), SESSION, "left_semi").select(SESSION, HIT, URL, TS).distinct()
+    scanned = ordered_scan(rows, [SESSION], TS, (HIT,), partitions)
+    return scanned.select(SESSION, HIT, URL, F.col(TS).alias("page_start_time"), F.col(NEXT).alias("next_page_start_time"),
+                          boundary_diff("SECOND", TS, NEXT).alias("time_spent_seconds"), F.col(RANK).alias("hit_rank"))
 
 
 def hits_at_time(hits: DataFrame, *cols: str) -> DataFrame:

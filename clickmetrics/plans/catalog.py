@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clickmetrics.constants import FUNNEL_STEPS, HOME_LABEL, HOME_PAGE
 from clickmetrics.operators import bounce, conversion, engagement, landing, traffic, visitors
 from clickmetrics.operators.prepare import clean_sessions, session_pageviews
-from clickmetrics.operators.sessions import next_later_time
+from clickmetrics.operators.sessions import grouped_hit_ranks, hit_ranks, next_later_time, visit_ranks
 from clickmetrics.sources.events import load_from_events, web_tables_for
 from clickmetrics.sources.tables import WebTables
 
@@ -52,6 +52,10 @@ CATALOG: dict[str, Plan] = {
     "t3_session_pageviews": lambda t: t.sp,
     "jn6_next_event": lambda t: next_later_time(t.wp, spread_by=("website_pageview_id",)).select(
         "website_pageview_id", "website_session_id", "created_at", "next_ts"),
+    # WN: the reference's DENSE_RANK() expressions as columns.
+    "wn1_visit_rank": lambda t: visit_ranks(t.ws),
+    "wn2_hit_rank": lambda t: hit_ranks(t.wp),
+    "wn3_grouped_rank": lambda t: grouped_hit_ranks(t.wp, t.ws.filter(bounce.paid())),
     "m01_total_visits": lambda t: traffic.total_visits(t.ws),
     "m02_unique_visitors": lambda t: traffic.unique_visitors(t.ws),
     "m03_page_views": lambda t: traffic.page_views(t.wp),

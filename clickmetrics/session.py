@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -70,6 +73,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application (``addPyFile`` of a zip), so that Python
+    tasks can import it whatever folder the driver runs in."""
+    sc = spark.sparkContext
+    if getattr(sc, "_clickmetrics_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    to = os.path.join(tempfile.mkdtemp(prefix="clickmetrics-"), "clickmetrics.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(Path(root.name) / p.relative_to(root)))
+    sc.addPyFile(to)
+    sc._clickmetrics_shipped = True
+
+
 def cluster_conf(input_bytes: int, cores: int = 4000, partition_bytes: int = 256 << 20,
                  broadcast_bytes: int = 64 << 20) -> dict:
     """Shuffle and scan sizing for ``input_bytes`` of events on ``cores`` executor cores.

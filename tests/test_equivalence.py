@@ -132,7 +132,7 @@ def test_skew_split_row_level_outputs_are_identical(spark, golden):
 
     hits = golden.pageviews
     a = sorted(tuple(r) for r in next_later_time(hits).select("website_pageview_id", "next_ts").collect())
-    b = sorted(tuple(r) for r in next_later_time(hits, spread_by=("website_pageview_id",), hot_threshold=1)
+    b = sorted(tuple(r) for r in next_later_time(hits, spread_by=("website_pageview_id",), partitions=17)
                .select("website_pageview_id", "next_ts").collect())
     assert a == b
     p1 = sorted(tuple(r) for r in session_pageviews(hits, golden.sessions).collect())
@@ -148,9 +148,9 @@ def test_sessionization_with_string_users(spark):
     assert ours == ref
 
 
-def test_timed_hits_of_hot_sessions_equal_those_of_ordinary_ones(golden):
+def test_timed_hits_of_one_partition_equal_those_of_many(golden):
     hits = golden.pageviews
-    cols = ["website_session_id", "created_at", "pageview_url", "_c", "next_ts", "_entry"]
-    plain = sorted(map(repr, (tuple(r) for r in timed_hits(hits, "pageview_url").select(*cols).collect())))
-    hot = sorted(map(repr, (tuple(r) for r in timed_hits(hits, "pageview_url", hot_threshold=1).select(*cols).collect())))
-    assert plain and hot == plain
+    cols = ["website_session_id", "created_at", "pageview_url", "next_ts", "_entry"]
+    plain = sorted(map(repr, (tuple(r) for r in timed_hits(hits, "pageview_url", partitions=1).select(*cols).collect())))
+    many = sorted(map(repr, (tuple(r) for r in timed_hits(hits, "pageview_url", partitions=40).select(*cols).collect())))
+    assert plain and many == plain

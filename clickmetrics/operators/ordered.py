@@ -11,7 +11,7 @@ and one *edge* row per partition: the first and last key, with their first two,
 distinct order values.  Only two things of a partition depend on others: the ranks of its first key
 need the number of that key's values before, and its last group of equal rows needs the value after.  Both
 come from the edge rows of all partitions, at most one per partition (a few thousand), through
-windows over those rows alone; they go back to the rows by a broadcast of two rows per partition, found by
+windows over those rows alone; they go back to the rows by a broadcast of three rows per partition, found by
 key and value (not by a partition number, which a plan around this one may shift).
 
 The rows move in one exchange.  Edge rows and rows are two branches over that exchange; its explicit
@@ -29,8 +29,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -162,44 +161,59 @@ def _scan(keys: list[str], order: str, names: list[str], schema: pa.Schema):
     return run
 
 
-def _carry(edges: DataFrame) -> DataFrame:
-    """``id, before, after``: for a partition's first key (id ``0, key, first value``) the number of its values in
-    earlier partitions, and for its last group (id ``1, key, value``) the next value in later ones.
-
-    ``edges`` has at most one row per partition, a few thousand, and they are put in order in one task."""
-    w = Window.orderBy("head_key", "head_first", "tail_key", "tail_last")
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = w.rowsBetween(1, Window.unboundedFollowing)
-    e = edges.select("_edge.*").select(
-        "*", *[F.lag(c).over(w).alias(f"_prev_{c}") for c in ("tail_key", "tail_last")], F.lag(F.lit(True), 1, False).over(w).alias("_some"),
-        *[F.lead(c).over(w).alias(f"_next_{c}") for c in ("head_key", "head_first")], F.lead(F.lit(True), 1, False).over(w).alias("_more"))
-    whole = F.col("head_key").eqNullSafe(F.col("tail_key"))
-    goes_on = F.col("_some") & F.col("head_key").eqNullSafe(F.col("_prev_tail_key"))
-    shared = (F.col("_more") & F.col("_next_head_key").eqNullSafe(F.col("tail_key"))
-              & F.col("_next_head_first").eqNullSafe(F.col("tail_last")))
-    # Distinct values of the last key, without the one that the next partition counts again, summed up along
-    # the partitions that the key fills.
-    e = e.withColumn("_goes_on", goes_on).withColumn("_own", F.col("tail_distinct") - shared.cast("long"))
-    e = e.withColumn("_all", F.sum("_own").over(so_far))
-    start = F.when(~(F.col("_goes_on") & whole), F.col("_all") - F.col("_own"))
-    e = e.withColumn("_upto", F.col("_all") - F.last(start, ignorenulls=True).over(so_far))
-    before = F.when(F.col("_goes_on"), F.lag("_upto").over(w)).otherwise(0)
-    # A partition that holds nothing but the group before it has no next value to offer.
-    same = F.col("_goes_on") & whole & (F.col("head_distinct") == 1) & F.col("head_first").eqNullSafe(F.col("_prev_tail_last"))
-    e = e.withColumn("_offer", F.when(~same, F.struct("head_key", "head_first", "head_second")))
-    e = e.withColumn("_before", before).withColumn("_offer", F.first("_offer", ignorenulls=True).over(later))
-    after = F.when(F.col("_offer.head_key").eqNullSafe(F.col("tail_key")),
-                   F.when(F.col("_offer.head_first").eqNullSafe(F.col("tail_last")), F.col("_offer.head_second"))
-                   .otherwise(F.col("_offer.head_first")))
-    e = e.withColumn("_after", after)
-    none = F.lit(None)
-    rows = F.array(
-        F.struct(F.struct(F.lit(0).alias("end"), F.col("head_key").alias("key"), F.col("head_first").alias("value")).alias("id"),
-                 F.col("_before").alias("before"), none.cast(edges.schema["_edge"].dataType["tail_last"].dataType).alias("after")),
-        F.struct(F.struct(F.lit(1).alias("end"), F.col("tail_key").alias("key"), F.col("tail_last").alias("value")).alias("id"),
-                 none.cast("long").alias("before"), F.col("_after").alias("after")))
-    # Partitions of one and the same group give equal rows but for "after", which the last of them knows best.
-    return (e.select(F.inline(rows)).groupBy("id").agg(F.max("before").alias("before"), F.max("after").alias("after")))
+# The rows with what their partition owes the others.  ``{scanned}`` stands for rows and edge rows of the pass,
+# ``{{..}}`` parts are filled with column names.  One statement, so that the plan is analysed once.
+#
+# Edge rows, at most one per partition, are put in order in one task: their values are in the order of the
+# partitions.  ``own``: distinct values of the last key, without the one that the next partition counts again;
+# ``upto``: their sum along the partitions that the key fills.  ``offer``: first key and first two values of a
+# partition that holds more than the group before it.  Partitions that begin or end with one and the
+# same group give the same number before and value after, so the grouping by ``end_id`` loses nothing.
+_STATEMENT = """
+WITH edges AS (SELECT _edge.* FROM {scanned} WHERE _edge IS NOT NULL),
+near AS (
+  SELECT *, head_key <=> tail_key AS whole,
+         lag(true, 1, false) OVER w AND head_key <=> lag(tail_key) OVER w AS goes_on,
+         head_distinct = 1 AND head_first <=> lag(tail_last) OVER w AS one_group,
+         tail_distinct - int(lead(true, 1, false) OVER w AND lead(head_key) OVER w <=> tail_key
+                             AND lead(head_first) OVER w <=> tail_last) AS own
+  FROM edges WINDOW w AS (ORDER BY head_key, head_first, tail_key, tail_last)
+),
+counted AS (
+  SELECT *, sum(own) OVER w AS summed, IF(goes_on AND whole AND one_group, NULL, struct(head_key, head_first, head_second)) AS offer
+  FROM near WINDOW w AS (ORDER BY head_key, head_first, tail_key, tail_last ROWS UNBOUNDED PRECEDING)
+),
+run AS (
+  SELECT *, summed - last(IF(goes_on AND whole, NULL, summed - own), true) OVER w AS upto
+  FROM counted WINDOW w AS (ORDER BY head_key, head_first, tail_key, tail_last ROWS UNBOUNDED PRECEDING)
+),
+owed AS (
+  SELECT head_key, head_first, tail_key, tail_last,
+         IF(goes_on, lag(upto) OVER (ORDER BY head_key, head_first, tail_key, tail_last), 0) AS before,
+         first(offer, true) OVER (ORDER BY head_key, head_first, tail_key, tail_last
+                                  ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS offer
+  FROM run
+),
+ends AS (
+  SELECT before, IF(offer.head_key <=> tail_key, IF(offer.head_first <=> tail_last, offer.head_second, offer.head_first), NULL) AS after,
+         explode(array(struct(1 AS end, head_key AS key, head_first AS first, IF(true, NULL, tail_last) AS last),
+                       struct(2 AS end, tail_key AS key, IF(true, NULL, head_first) AS first, tail_last AS last),
+                       struct(3 AS end, tail_key AS key, head_first AS first, tail_last AS last))) AS end_id
+  FROM owed
+),
+carry AS (SELECT end_id, max(before) AS before, max(after) AS after FROM ends GROUP BY end_id),
+hits AS (
+  SELECT *, IF(_head OR _tail, struct(int(_head) + 2 * int(_tail) AS end, struct({{keys}}) AS key, IF(_head, _first, NULL) AS first,
+                                      IF(_tail, {{order}}, NULL) AS last), NULL) AS _id
+  FROM {scanned} WHERE _edge IS NULL
+)
+SELECT /*+ BROADCAST(carry) */ {{names}}, _rank + IF(_head, carry.before, 0) AS _rank, IF(_tail, carry.after, _next) AS _next
+FROM hits LEFT JOIN carry ON hits._id = carry.end_id
+"""
+
+
+def _quoted(names: Sequence[str], table: str = "") -> str:
+    return ", ".join(table + "`" + n.replace("`", "``").replace("{", "{{").replace("}", "}}") + "`" for n in names)
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str] = (),
@@ -229,13 +243,5 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[s
     ship(spark)
     sorted_rows = df.repartitionByRange(n, *keys, order, *tie).select(*names).sortWithinPartitions(*keys, order)
     scanned = sorted_rows.mapInArrow(_scan(keys, order, names, to_arrow_schema(schema)), schema)
-    carry = F.broadcast(_carry(scanned.where(F.col("_edge").isNotNull())))
-    key = F.struct(*keys).alias("key")
-    rows = scanned.where(F.col("_edge").isNull())
-    rows = rows.withColumn("_head", F.when(F.col("_head"), F.struct(F.lit(0).alias("end"), key, F.col("_first").alias("value"))))
-    rows = rows.withColumn("_tail", F.when(F.col("_tail"), F.struct(F.lit(1).alias("end"), key, F.col(order).alias("value"))))
-    for end, col in (("_head", "before"), ("_tail", "after")):
-        found = carry.select(F.col("id").alias(f"{end}_id"), F.col("before").alias(f"{end}_before"), F.col("after").alias(f"{end}_after"))
-        rows = rows.join(found, F.col(end) == F.col(f"{end}_id"), "left")
-    return rows.select(*names, (F.col(RANK) + F.coalesce("_head_before", F.lit(0))).alias(RANK),
-                       F.when(F.col("_tail").isNotNull(), F.col("_tail_after")).otherwise(F.col(NEXT)).alias(NEXT))
+    statement = _STATEMENT.replace("{{keys}}", _quoted(keys)).replace("{{order}}", _quoted([order])).replace("{{names}}", _quoted(names, "hits."))
+    return spark.sql(statement, scanned=scanned)

@@ -8,6 +8,8 @@ data (January 2024); the operators keep the reference literals as defaults.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,9 @@ from clickmetrics.constants import FUNNEL_STEPS, HOME_LABEL, HOME_PAGE
 from clickmetrics.operators import bounce, conversion, engagement, landing, traffic, visitors
 from clickmetrics.operators.prepare import clean_sessions, session_pageviews
 from clickmetrics.operators.sessions import grouped_hit_ranks, hit_ranks, next_later_time, visit_ranks
-from clickmetrics.sources.events import load_from_events, web_tables_for
+from clickmetrics.session import checkpoint_dir
+from clickmetrics.sources.events import SESSION_GAP_SECONDS, load_from_events, read_events, web_tables_for, with_k
+from clickmetrics.sources.incremental import derive_step, read_steps
 from clickmetrics.sources.tables import WebTables
 
 # Fixed test-data parameters (the test clickstream covers 2024-01-01 .. 2024-01-30).
@@ -96,6 +100,23 @@ CATALOG: dict[str, Plan] = {
 }
 
 
+INCREMENTAL_STEPS = ("2024-01-10", "2024-01-11 12:30:00", "2024-01-20", "2024-02-01")
+
+
+def incremental_sessions(spark: SparkSession, sf_dir: str, steps: tuple[str, ...] = INCREMENTAL_STEPS) -> DataFrame:
+    """SRC-3 / T3: the events of ``sf_dir`` taken in by steps into a fresh folder under the checkpoint folder; every
+    event with its session, as one derivation of all events gives them."""
+    events = with_k(read_events(spark, sf_dir))
+    root = os.path.join(checkpoint_dir(spark), "web_tables", f"steps-{uuid.uuid4().hex}")
+    for until in steps:
+        derive_step(spark, events, root, until, SESSION_GAP_SECONDS)
+    return read_steps(spark, root, SESSION_GAP_SECONDS).select("event_id", "user_id", "session_id", "session_seq", "at_session_start")
+
+
+# Queries over the events themselves, not over web tables.
+EVENT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"src3_incremental_sessions": incremental_sessions}
+
+
 def run_on_events(name: str, events: DataFrame) -> DataFrame:
     """Run catalog plan ``name`` on web tables derived (lazily) from an ``events`` DataFrame."""
     from clickmetrics.sources.events import web_tables_from_events

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Settings every session should carry.  AQE re-plans at each exchange:
 # coalesces small shuffle partitions, turns joins whose measured side is
@@ -126,22 +127,27 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists on its file system (local, HDFS, object store)."""
     p, fs = _fs_path(spark, path)
     if fs is None:
-        import os
-
         return os.path.exists(path)
     return bool(fs.exists(p))
 
 
 def input_signature(spark: SparkSession, path: str) -> tuple:
-    """Total size, file count and latest change of ``path`` and the folder entries below it, in two
-    calls to the file system of the path (no listing of files in Python)."""
+    """A fingerprint of ``path`` that any added, removed or rewritten file changes, at any depth.
+
+    A single file: its size and change time, one call.  A folder: number, size and latest change of all files below it
+    and a hash over each one's path, size and change time, from one Spark pass over the file listing (no
+    file is opened)."""
     p, fs = _fs_path(spark, path)
     if fs is None:
-        import os
-
         st = os.stat(path)
         return (path, st.st_size, st.st_mtime_ns)
     if not fs.exists(p):
         return ()
-    summary, status = fs.getContentSummary(p), fs.getFileStatus(p)
-    return (path, int(summary.getLength()), int(summary.getFileCount()), int(status.getModificationTime()))
+    status = fs.getFileStatus(p)
+    if status.isFile():
+        return (path, int(status.getLength()), 1, int(status.getModificationTime()))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    one = files.select("path", "length", "modificationTime").agg(
+        F.sum("length"), F.count(F.lit(1)), F.max(F.unix_micros("modificationTime")),
+        F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    return (path, *one)

@@ -55,11 +55,15 @@ def _url(event_type: F.Column, k: F.Column) -> F.Column:
             .when(event_type == "purchase", F.lit("/thank-you-for-your-order")))
 
 
+def with_k(events: DataFrame) -> DataFrame:
+    """The columns of events that web tables are made of, with ``k`` parsed."""
+    return events.select("event_id", "ts", "user_id", "event_type", "value", event_k(F.col("props")).alias("k"))
+
+
 def sessionize_events(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS,
                       hot_threshold: int = HOT_KEY_ROWS) -> DataFrame:
     """Events with ``k`` and their session (:func:`gap_sessions` columns)."""
-    ev = events.select("event_id", "ts", "user_id", "event_type", "value", event_k(F.col("props")).alias("k"))
-    return gap_sessions(ev, gap_seconds, user="user_id", ts="ts", tiebreak="event_id", hot_threshold=hot_threshold)
+    return gap_sessions(with_k(events), gap_seconds, user="user_id", ts="ts", tiebreak="event_id", hot_threshold=hot_threshold)
 
 
 def web_tables_from_sessionized(hits: DataFrame, session_rows: DataFrame | None = None) -> WebTables:

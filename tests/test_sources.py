@@ -140,3 +140,24 @@ def test_csv_columns_are_taken_by_name(spark, golden):
     assert sorted(tuple(r) for r in back.select(*cols).collect()) == \
         sorted(tuple(r) for r in golden.pageviews.select(*cols).collect())
     assert back.schema["website_pageview_id"].dataType.simpleString() == "bigint"
+
+
+def test_fingerprint_sees_a_file_rewritten_in_place(spark):
+    """Same size, same number of files, below a nested folder: only the file's own time tells."""
+    from clickmetrics.session import input_signature
+
+    root = os.path.join(_scratch(spark), "events.parquet")
+    spark.range(10).selectExpr("id", "id % 2 AS day").write.partitionBy("day").parquet(root)
+    first = input_signature(spark, root)
+    assert input_signature(spark, root) == first
+    file = next(os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet"))
+    folder = os.stat(os.path.dirname(file))
+    os.utime(file, (1_600_000_000, 1_600_000_000))
+    os.utime(os.path.dirname(file), ns=(folder.st_atime_ns, folder.st_mtime_ns))
+    assert input_signature(spark, root) != first
+    single = os.path.join(os.path.dirname(root), "one.parquet")
+    with open(single, "wb") as f:
+        f.write(b"1234")
+    before = input_signature(spark, single)
+    os.utime(single, (1_600_000_000, 1_600_000_000))
+    assert input_signature(spark, single) != before

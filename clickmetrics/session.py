@@ -145,7 +145,7 @@ def input_signature(spark: SparkSession, path: str) -> tuple:
         return ()
     status = fs.getFileStatus(p)
     if status.isFile():
-        return (path, int(status.getLength()), 1, int(status.getModificationTime()))
+        return (path, int(status.getLen()), 1, int(status.getModificationTime()))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     one = files.select("path", "length", "modificationTime").agg(
         F.sum("length"), F.count(F.lit(1)), F.max(F.unix_micros("modificationTime")),

@@ -49,7 +49,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates),
           ("mixing sources", source_mix), ("byte-level BPE", byte_bpe)]
 
-# Byte-pair encoding can't be stated in SQL; tests/llm checks the pipeline against brute force.
+# Byte-pair encoding can't be stated in SQL; tests/llm checks each stage against its operator, and the
+# operators against brute force.
 ORACLE_SQL = None
 
 

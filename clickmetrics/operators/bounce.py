@@ -15,12 +15,13 @@ its shuffle, so a hot session or page never lands whole in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickmetrics.constants import (CAMPAIGN_NAME, CAMPAIGN_SOURCE, DIRECT_SEARCH, HOME_LABEL, HOME_PAGE,
                                     LANDER_LABEL, LANDER_PAGE, TREND_END, TREND_START)
 from clickmetrics.functions.compat import ntz, pct, pct_scaled_first, round_half_away, week_start
+from clickmetrics.operators.semi import bit_filter
 from clickmetrics.operators.sessions import SESSION, TS, URL, hits_per_session
 
 
@@ -96,13 +97,14 @@ def page_ab_test(wp: DataFrame, ws: DataFrame, pages: dict[str, str] | None = No
     """Landing-page test, one row per arm: campaign sessions having the arm's
     page, those with a single hit (counted over *all* their hits), and the rate.
 
-    Hits are reduced to one row of flags per session before the campaign
-    filter (a semi-join of two session-keyed aggregates).
+    Hits of other sessions mostly go before the first exchange (:func:`bit_filter`); the others are
+    reduced to one row of flags per session before the exact campaign semi join.
     """
     pages = pages or {HOME_LABEL: HOME_PAGE, LANDER_LABEL: LANDER_PAGE}
     campaign_sessions = ws.filter((F.col("utm_source") == source) & (F.col("utm_campaign") == campaign)).select(SESSION)
     flags = [F.max((F.col(URL) == F.lit(url)).cast("int")).alias(f"_f{i}") for i, url in enumerate(pages.values())]
-    per_session = (wp.groupBy(SESSION).agg(F.count("website_pageview_id").alias("_n"), *flags)
+    per_session = (bit_filter(wp, campaign_sessions, SESSION)
+                   .groupBy(SESSION).agg(F.count("website_pageview_id").alias("_n"), *flags)
                    .join(campaign_sessions, SESSION, "left_semi"))
     per_session = per_session.select("_n", *[(F.col(f"_f{i}") == 1).alias(f"_has{i}") for i in range(len(pages))])
     return _arm_counts(per_session, pages)
@@ -116,15 +118,17 @@ def weekly_page_trend(wp: DataFrame, ws: DataFrame, pages: tuple[str, ...] = (HO
     Hits are filtered to ``start <= created_at <= end`` (inclusive; text dates
     mean midnight) *before* counting hits per session, so a session crossing
     the range edge counts only its hits inside.  Weeks start on Monday,
-    Sundays belonging to the next week.  Hits become one counted row per
-    (session, page, week) before any window or join, from one scan.
+    Sundays belonging to the next week.  Hits of other campaigns mostly go
+    before the first exchange (:func:`bit_filter`).  One map-side-combined
+    aggregate per session gives its hit count and the set of its (page, week)
+    pairs, which has at most ``pages`` x weeks of the range members.
     """
     campaign_sessions = ws.filter((F.col("utm_campaign") == campaign) & (F.col("utm_source") == source)).select(SESSION)
-    h = wp.filter(F.col(TS).between(ntz(start), ntz(end)))
-    rows = h.groupBy(SESSION, URL, week_start(TS).alias("week_start_date")).agg(F.count(F.lit(1)).alias("_h"))
-    # The window runs over reduced rows: one per page and week of a session.
-    counted = rows.withColumn("_page_count", F.sum("_h").over(Window.partitionBy(SESSION)))
-    per = counted.filter(F.col(URL).isin(list(pages))).join(campaign_sessions, SESSION, "left_semi")
+    h = bit_filter(wp.filter(F.col(TS).between(ntz(start), ntz(end))), campaign_sessions, SESSION)
+    seen = F.when(F.col(URL).isin(list(pages)), F.struct(week_start(TS).alias("week_start_date"), F.col(URL)))
+    per_session = (h.groupBy(SESSION).agg(F.count(F.lit(1)).alias("_page_count"), F.collect_set(seen).alias("_seen"))
+                   .join(campaign_sessions, SESSION, "left_semi"))
+    per = per_session.select(SESSION, "_page_count", F.inline("_seen"))
     out = per.groupBy("week_start_date", URL).agg(
         F.count(SESSION).alias("total_sessions"),
         F.count(F.when(F.col("_page_count") == 1, F.col(SESSION))).alias("bounced_sessions"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clickmetrics.constants import (BILLING_PAGES, CAMPAIGN_NAME, CAMPAIGN_SOURCE, FUNNEL_END, FUNNEL_START,
                                     FUNNEL_STEPS)
 from clickmetrics.functions.compat import ntz, pct, round_half_away, safe_ratio
+from clickmetrics.operators.semi import bit_filter
 from clickmetrics.operators.sessions import SESSION, TS, URL
 
 REFERENCE_FUNNEL = FUNNEL_STEPS
@@ -46,11 +47,12 @@ def funnel(wp: DataFrame, ws: DataFrame, steps: Sequence[tuple[str, str, str]] =
     a 0/1 flag per step page; a session reaches step i if it has steps 0..i
     (in any order).  Outputs ``total_sessions``, ``<step>_page`` for steps
     after the first, and ``<rate>_click_rate`` = reached(i) / reached(i-1) *
-    100, rounded to 2 (NULL when the previous step has no session).  Hits
-    become one row of flags per session before the campaign filter.
+    100, rounded to 2 (NULL when the previous step has no session).  Hits of
+    other campaigns mostly go before the first exchange; the others become one
+    row of flags per session before the exact campaign filter.
     """
     campaign_sessions = ws.filter((F.col("utm_source") == source) & (F.col("utm_campaign") == campaign)).select(SESSION)
-    h = wp.filter(F.col(TS).between(ntz(start), ntz(end)))
+    h = bit_filter(wp.filter(F.col(TS).between(ntz(start), ntz(end))), campaign_sessions, SESSION)
     flags = [F.max(F.when(F.col(URL) == F.lit(url), 1).otherwise(0)).alias(name) for name, url, _ in steps]
     per_session = h.groupBy(SESSION).agg(*flags).join(campaign_sessions, SESSION, "left_semi")
 

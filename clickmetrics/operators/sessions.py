@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickmetrics.functions.compat import boundary_diff
+from clickmetrics.operators.joins import HOT_KEY_ROWS, hot_keys, skew_join
 from clickmetrics.operators.ordered import NEXT, RANK, ordered_scan
 
 SESSION = "website_session_id"
@@ -101,6 +102,21 @@ def grouped_hit_ranks(hits: DataFrame, sessions: DataFrame, partitions: int | No
                           boundary_diff("SECOND", TS, NEXT).alias("time_spent_seconds"), F.col(RANK).alias("hit_rank"))
 
 
+def counted_hits(hits: DataFrame, name: str = "session_hits", threshold: int = HOT_KEY_ROWS) -> DataFrame:
+    """WN-4: ``COUNT(*) OVER (PARTITION BY session)`` as a column of every hit.
+
+    Counts are combined map-side and joined back with hot sessions split, so no task holds a session
+    whole.  Hits without a session are one group, as in the window; theirs is one number, and they
+    aren't moved."""
+    counts = hits.groupBy(SESSION).agg(F.count(F.lit(1)).alias(name))
+    known = counts.where(F.col(SESSION).isNotNull())
+    joined = skew_join(hits.where(F.col(SESSION).isNotNull()), known, [SESSION], "inner",
+                       hot=hot_keys(known, [SESSION], name, threshold), spread_by=_ids(hits), threshold=threshold)
+    lost = hits.where(F.col(SESSION).isNull())
+    nulls = lost.agg(F.count(F.lit(1)).alias(name)).scalar()
+    return joined.select(*hits.columns, name).unionByName(lost.withColumn(name, nulls))
+
+
 def hits_at_time(hits: DataFrame, *cols: str) -> DataFrame:
     """Hits counted per ``(session, time, *cols)`` (``_c``): identical copies become one row, map-side."""
     return hits.groupBy(SESSION, TS, *cols).agg(F.count(F.lit(1)).alias("_c"))

@@ -13,14 +13,17 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clickmetrics.constants import FUNNEL_STEPS, HOME_LABEL, HOME_PAGE
+from clickmetrics.constants import CAMPAIGN_NAME, CAMPAIGN_SOURCE, FUNNEL_STEPS, HOME_LABEL, HOME_PAGE
 from clickmetrics.operators import bounce, conversion, engagement, landing, traffic, visitors
 from clickmetrics.operators.prepare import clean_sessions, session_pageviews
-from clickmetrics.operators.sessions import grouped_hit_ranks, hit_ranks, next_later_time, visit_ranks
+from clickmetrics.operators.semi import rows_of_keys
+from clickmetrics.operators.sessions import HIT, SESSION, counted_hits, grouped_hit_ranks, hit_ranks, next_later_time, visit_ranks
 from clickmetrics.session import checkpoint_dir
 from clickmetrics.sources.events import SESSION_GAP_SECONDS, load_from_events, read_events, web_tables_for, with_k
 from clickmetrics.sources.incremental import derive_step, read_steps
+from clickmetrics.sources.sink import save_table, use_database
 from clickmetrics.sources.tables import WebTables
 
 # Fixed test-data parameters (the test clickstream covers 2024-01-01 .. 2024-01-30).
@@ -60,6 +63,10 @@ CATALOG: dict[str, Plan] = {
     "wn1_visit_rank": lambda t: visit_ranks(t.ws),
     "wn2_hit_rank": lambda t: hit_ranks(t.wp),
     "wn3_grouped_rank": lambda t: grouped_hit_ranks(t.wp, t.ws.filter(bounce.paid())),
+    # WN-4 at row grain; FL-6 / JN-8 at row grain: every hit of the campaign's sessions.
+    "wn4_hit_count": lambda t: counted_hits(t.wp),
+    "fl6_campaign_hits": lambda t: rows_of_keys(t.wp, t.ws.filter(
+        (F.col("utm_source") == CAMPAIGN_SOURCE) & (F.col("utm_campaign") == CAMPAIGN_NAME)), SESSION, spread_by=(HIT,)),
     "m01_total_visits": lambda t: traffic.total_visits(t.ws),
     "m02_unique_visitors": lambda t: traffic.unique_visitors(t.ws),
     "m03_page_views": lambda t: traffic.page_views(t.wp),
@@ -113,8 +120,25 @@ def incremental_sessions(spark: SparkSession, sf_dir: str, steps: tuple[str, ...
     return read_steps(spark, root, SESSION_GAP_SECONDS).select("event_id", "user_id", "session_id", "session_seq", "at_session_start")
 
 
-# Queries over the events themselves, not over web tables.
-EVENT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"src3_incremental_sessions": incremental_sessions}
+def saved_table(spark: SparkSession, sf_dir: str, database: str = "web_analytics") -> DataFrame:
+    """D1, D2, SRC-3, SRC-4: create a database under the checkpoint folder, use it, write the derived table into it
+    (T3, a table of its own in each run) and read it back from the catalog by name.  The session's
+    current database is as before afterwards."""
+    before = spark.catalog.currentDatabase()
+    derived = Prepared(web_tables_for(spark, sf_dir)).sp
+    table = f"website_session_pageviews_{uuid.uuid4().hex}"
+    root = os.path.join(checkpoint_dir(spark), "databases", database)
+    use_database(spark, database, root)
+    try:
+        save_table(derived, path=os.path.join(root, table), name=table)
+        return spark.table(f"`{database}`.`{table}`")
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+
+
+# Queries that write tables of their own on the way.
+EVENT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "src3_incremental_sessions": incremental_sessions, "src4_saved_table": saved_table}
 
 
 def run_on_events(name: str, events: DataFrame) -> DataFrame:

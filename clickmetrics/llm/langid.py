@@ -8,13 +8,15 @@ prediction is the largest (ties: the smaller language name) and the score is its
 
 Training is in numpy by backpropagation through time on the driver, over a bounded sample:
 SAMPLE segments in all, shared evenly between the learned languages and drawn by a hash of id and
-text.  The cross entropy of every position is minimised with Adam.  The weights (a few thousand
+text.  At most SAMPLE languages are learned, the most frequent ones (then one segment each).  The cross entropy of every position is minimised with Adam.  The weights (a few thousand
 numbers) go to the tasks, which run many segments at once as matrix products.
 
 Edge cases: a null text or one without any letter gets ``und`` and score 0.  Rows with a null
 language aren't learned from, nor are rows with a null id (which count as not held out).  With no
 learnable row at all every text is ``und``.  Repeated rows get equal predictions.  An empty table
-gives an empty result.  Only ``doc_id`` and ``text`` are read when predicting.
+gives an empty result.  Only ``doc_id`` and ``text`` are read when predicting, and ``lang`` when
+learning; further columns of any name are left alone.  A very long text is read whole, in blocks of
+segments: a task holds its bytes, eight bytes a byte of codes, and one block of states.
 """
 
 from __future__ import annotations
@@ -184,7 +186,7 @@ def train(segments: list[bytes], labels: list[str], seed: int = 1, epochs: int =
 
 def learn(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Net | None:
     """Fit a network on at most ``sample`` segments of the rows that aren't held out."""
-    rows = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()
+    rows = docs.select("doc_id", "lang", "text").filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()
                        & F.col("text").rlike(LETTER))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
     if not counts:

@@ -3,19 +3,23 @@
 Features are the presence of byte 4- and 5-grams of the whole text (A-Z folded), hashed into
 FEATURES slots.  r = log of (share of a feature in toxic documents / share in the others), both
 smoothed by one.  A logistic regression is trained on the present features, each scaled by its r
-(features with |r| < LEAST_RATIO or in fewer than LEAST_DOCS sample documents are left out).  The
-weights w * r fold into one table, so a score is the logistic of the sum of the table over the
-distinct features of a text.
+(features with |r| < LEAST_RATIO or in fewer than LEAST_DOCS sample documents are left out; of the
+others the MOST_SLOTS that part the classes most are used).  The weights w * r fold into one table,
+so a score is the logistic of the sum of the table over the distinct features of a text.
 
-Learning uses a bounded sample of labelled rows: SAMPLE at most, half of each class where there are
-enough, drawn by a hash of the id; the intercept is corrected for the class shares among all
-learnable rows.  Tasks extract the features of the sample, the driver fits it.
+Learning uses a bounded sample of labelled rows: a draw, by a hash of the id, whose expected size is
+SAMPLE, half of each class where there are enough; the intercept is corrected for the class shares
+among all learnable rows.  What the driver gets is bounded by these parameters, not by the texts: first
+one count per slot and class, then one bitmap of MOST_SLOTS bits per sampled document.
 
 Edge cases: null and empty texts score the intercept alone.  Labels that are null, or other than 0
 and 1, aren't learned from, nor are rows with a null id (not held out).  A document with several
 labels is learned as toxic if one says so.  With no label of one class, every score is the share
-of toxic labels (0.0 with no labels at all).  Repeated rows get equal scores.  Empty tables give
-an empty result.  Only ``doc_id`` and ``text`` are read when scoring.
+of toxic labels (0.0 with no labels at all).  Repeated rows get equal scores (and count
+as often as they occur in the sample).  Empty tables give an empty result.  Only ``doc_id`` and
+``text`` are read when scoring, and ``doc_id`` and ``toxic`` of the labels; further columns of any
+name are left alone.  A very long text is read whole; a task holds its bytes and eight bytes a byte
+for each n-gram length.
 """
 
 from __future__ import annotations
@@ -32,8 +36,9 @@ FEATURE_BITS = 17
 GRAMS = (4, 5)
 SAMPLE = 4000
 LEAST_RATIO = 1.0
-LEAST_DOCS = 4
-RIDGE = 1e-4
+LEAST_DOCS = 8
+MOST_SLOTS = 4096
+RIDGE = 3e-3
 ROUNDS = 200
 THRESHOLD = 0.3
 HELD_MOD, HELD_REST = 4, 2
@@ -72,27 +77,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums + self.bias, -500, 500)))
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float) -> Model:
-    """A model from the feature slots and 0/1 labels of a sample; ``share`` is the true share of toxic rows."""
-    size = 1 << FEATURE_BITS
+def choose(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int):
+    """The log ratio of every slot and the slots to use, ascending, from the documents of each class that have it."""
+    p1, p0 = (c1 + 1) / (n1 + 2), (c0 + 1) / (n0 + 2)
+    r = np.log(p1) - np.log(p0)
+    use = np.flatnonzero((np.abs(r) >= LEAST_RATIO) & (c1 + c0 >= LEAST_DOCS))
+    parts = np.abs(r) * np.abs(p1 - p0)
+    best = use[np.argsort(-parts[use], kind="stable")[:MOST_SLOTS]]
+    return r, np.sort(best)
+
+
+def fit(has: np.ndarray, toxic: np.ndarray, r: np.ndarray, chosen: np.ndarray, share: float) -> Model:
+    """A model from which of the ``chosen`` slots each sample document has (documents x slots) and its 0/1
+    label; ``share`` is the true share of toxic rows."""
     n1 = max(1, int(toxic.sum()))
     n0 = max(1, len(toxic) - n1)
-    c1, c0 = np.zeros(size), np.zeros(size)
-    for f, y in zip(rows, toxic, strict=True):
-        (c1 if y else c0)[f] += 1
-    r = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
-    use = (np.abs(r) >= LEAST_RATIO) & (c1 + c0 >= LEAST_DOCS)
-    kept = [f[use[f]] for f in rows]
-    owner = np.repeat(np.arange(len(kept)), [len(f) for f in kept])
-    flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-    x = r[flat]
+    size = len(chosen)
+    x = has.astype(np.float32)  # at most about SAMPLE x MOST_SLOTS numbers, whatever the texts
+    x *= r[chosen].astype(np.float32)
     # w is per slot; features are r, so the folded table is w * r.
     w, bias, m, v, mb, vb = np.zeros(size), 0.0, np.zeros(size), np.zeros(size), 0.0, 0.0
     y = toxic.astype(float)
     for step in range(1, ROUNDS + 1):
-        z = np.bincount(owner, weights=x * w[flat], minlength=len(y)) + bias
+        z = x @ w.astype(np.float32) + bias
         err = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
-        g = np.bincount(flat, weights=x * err[owner], minlength=size) + RIDGE * w
+        g = err.astype(np.float32) @ x + RIDGE * w
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -100,15 +109,36 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float) -> Model:
         w -= 0.02 * (m / up) / (np.sqrt(v / down) + 1e-8)
         bias -= 0.02 * (mb / up) / (np.sqrt(vb / down) + 1e-8)
     shift = np.log(max(share, 1e-6) / max(1 - share, 1e-6)) - np.log(n1 / n0)
-    return Model((w * r * use).astype(np.float32), float(bias + shift))
+    table = np.zeros(1 << FEATURE_BITS, np.float32)
+    table[chosen] = w * r[chosen]
+    return Model(table, float(bias + shift))
 
 
-def _features_task(batches):
+def _count_task(batches):
+    """Documents per slot and class among the rows of a task."""
+    counts = np.zeros((2, 1 << FEATURE_BITS), np.int64)
     for block in text_blocks(batches):
-        data, offsets = W.text_bytes(block.column("text"))
-        packed = [f.astype(np.int32).tobytes() for f in features(data, offsets)]
-        yield pa.RecordBatch.from_arrays([block.column("toxic"), block.column("draw"), pa.array(packed, pa.binary())],
-                                         ["toxic", "draw", "slots"])
+        toxic = block.column("toxic").to_numpy(zero_copy_only=False)
+        for y, f in zip(toxic, features(*W.text_bytes(block.column("text"))), strict=True):
+            counts[int(y), f] += 1
+    for y in (0, 1):
+        slot = np.flatnonzero(counts[y])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), y, np.int32)), pa.array(slot.astype(np.int32)),
+                                          pa.array(counts[y][slot])], ["toxic", "slot", "n"])
+
+
+def _bits_task(chosen: np.ndarray):
+    def run(batches):
+        for block in text_blocks(batches):
+            packed = []
+            for f in features(*W.text_bytes(block.column("text"))):
+                has = np.zeros(1 << FEATURE_BITS, bool)
+                has[f] = True
+                packed.append(np.packbits(has[chosen]).tobytes())
+            toxic = block.column("toxic").cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([toxic, block.column("draw"), pa.array(packed, pa.binary())],
+                                             ["toxic", "draw", "bits"])
+    return run
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -125,19 +155,21 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     take1 = min(n1, max(sample // 2, sample - n0))
     take0 = min(n0, sample - take1)
     draw = unit_interval(F.lit(21), "doc_id")
-    rate = F.when(F.col("toxic") == 1, min(1.0, 1.2 * take1 / n1)).otherwise(min(1.0, 1.2 * take0 / n0))
-    drawn = present.distinct().withColumn("draw", draw).filter(F.col("draw") < rate)  # about 1.2 * sample ids: broadcast
+    rate = F.when(F.col("toxic") == 1, take1 / n1).otherwise(take0 / n0)
+    drawn = present.distinct().withColumn("draw", draw).filter(F.col("draw") < rate)  # about `sample` ids: broadcast
     picked = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "draw", "text")
-    got = picked.mapInArrow(_features_task, f"toxic {dict(picked.dtypes)['toxic']}, draw double, slots binary").collect()
-    got.sort(key=lambda r: (r["draw"], len(r["slots"]), bytes(r["slots"][:64])))
-    left = {0: take0, 1: take1}
-    slots, toxic = [], []
-    for r in got:
-        if left[r["toxic"]] > 0:
-            left[r["toxic"]] -= 1
-            slots.append(np.frombuffer(r["slots"], np.int32).astype(np.int64))
-            toxic.append(r["toxic"])
-    return fit(slots, np.array(toxic), share)
+    picked = written(spark, picked, "toxicity-sample")
+    seen = picked.mapInArrow(_count_task, "toxic int, slot int, n long").groupBy("toxic", "slot").agg(F.sum("n").alias("n"))
+    counts = np.zeros((2, 1 << FEATURE_BITS), np.int64)
+    for row in seen.collect():  # at most one row per slot and class
+        counts[row["toxic"], row["slot"]] = row["n"]
+    sizes = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
+    r, chosen = choose(counts[1], counts[0], sizes.get(1, 0), sizes.get(0, 0))
+    got = picked.mapInArrow(_bits_task(chosen), "toxic int, draw double, bits binary").collect()
+    got.sort(key=lambda g: (g["draw"], bytes(g["bits"])))  # one order whatever task ended first
+    bits = np.frombuffer(b"".join(bytes(g["bits"]) for g in got), np.uint8).reshape(len(got), -(-len(chosen) // 8))
+    has = np.unpackbits(bits, axis=1, count=len(chosen)).astype(bool)
+    return fit(has, np.array([g["toxic"] for g in got]), r, chosen, share)
 
 
 def _score_task(model: Model):

@@ -9,10 +9,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from clickmetrics.llm import bpe, langid, linededup, paretomix, pfor, quality, recompress, sigtree, toxicity, vptree
+from clickmetrics.llm import words as W
 
 SPACE = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -390,3 +392,93 @@ def test_empty_documents(spark, empty, op):
 def test_empty_others(spark, empty):
     assert toxicity.op8(spark, empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
     assert vptree.op3(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_language_probabilities_are_those_of_a_plain_pass():
+    """`pooled` against one byte at a time in plain Python: whole texts, also beyond one segment and one block."""
+    rng = np.random.default_rng(3)
+    net = langid.train([b"the and that with", b"der und die das"] * 4, ["en", "de"] * 4, epochs=1)
+    texts = [bytes(rng.integers(32, 127, n).tolist()).decode() for n in (0, 1, 47, 48, 49, 700)] + ["Straße ÄÖ — ζ"]
+
+    def direction(g, codes):
+        h, out = np.zeros(g.rec.shape[1]), []
+        for c in codes:
+            s = g.table[:, c].astype(float) + g.rec @ h
+            s = s / (1 + np.abs(s))
+            z, cand = (s[:len(h)] + 1) / 2, s[len(h):]
+            h = h + z * (cand - h)
+            out.append(h)
+        return out
+
+    col = pa.array(texts, pa.string())
+    got = net.pooled(*W.text_bytes(col), at_once=3)
+    for text, row in zip(texts, got, strict=True):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        total = np.zeros(2)
+        for a in range(0, len(raw), langid.STEPS):
+            part = list(raw[a:a + langid.STEPS])
+            codes = part + [langid.PAD] * (langid.STEPS - len(part))
+            f, b = direction(net.fwd, codes), direction(net.bwd, codes[::-1])[::-1]
+            for i in range(len(part)):
+                e = np.exp(net.out @ np.concatenate([f[i], b[i]]) + net.bias)
+                total += e / e.sum()
+        assert row == pytest.approx(total / max(1, len(raw)), abs=1e-4)
+
+
+def test_classifiers_leave_further_columns_alone(spark, learnable):
+    docs, labels = learnable
+    names = ["l", "rate", "draw", "toxic", "lettered", "held_out", "score", "slot", "n", "count"]
+    wide = docs.select("*", *[F.lit(1.5).alias(n) for n in names])
+    more = labels.select("*", F.lit("x").alias("text"), F.lit(1).alias("draw"), F.lit(2).alias("lang"))
+    for op, a, b in ((langid.op1, (docs,), (wide,)), (toxicity.op8, (docs, labels), (wide, more))):
+        assert sorted(op(spark, *a).collect()) == sorted(op(spark, *b).collect())
+
+
+def test_classifiers_on_long_and_repeated_texts(spark, learnable):
+    docs, labels = learnable
+    long = [(5000 + i, "the and that with for this was you " * 200_000, "en", "s", 0) for i in range(1)]
+    again = docs.where("doc_id < 40").unionByName(docs.where("doc_id < 40"))
+    more = docs.unionByName(again).unionByName(spark.createDataFrame(long, docs.schema))
+    out = [r.asDict() for r in langid.op1(spark, more).collect()]
+    assert len(out) == more.count() and {r["lang_pred"] for r in out if r["doc_id"] == 5000} == {"en"}
+    for r in (toxicity.op8(spark, more, labels).collect(), langid.op1(spark, more).collect()):
+        assert len({(x["doc_id"], x["score"]) for x in r if x["doc_id"] < 40}) == 40
+
+
+def test_toxicity_against_plain_counts(spark, learnable):
+    """Slots, their counts and the scores against sets of n-grams in plain Python."""
+    docs, labels = learnable
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+    def grams(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        return {raw[i:i + g] for g in toxicity.GRAMS for i in range(len(raw) - g + 1)}
+
+    def slot(gram):
+        code = 0
+        for b in gram:
+            code = (code * 257 + b) % 2 ** 64
+        mixed = W.mix(np.array([(code * 8 + len(gram)) % 2 ** 64], np.uint64))
+        return int(mixed[0] >> np.uint64(64 - toxicity.FEATURE_BITS))
+
+    plain = {i: {slot(g) for g in grams(t)} for i, t in texts.items()}
+    col = pa.array(list(texts.values()), pa.string())
+    for want, f in zip(plain.values(), toxicity.features(*W.text_bytes(col)), strict=True):
+        assert sorted(f.tolist()) == sorted(want)
+    model = toxicity.learn(spark, docs, labels)
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect()
+             if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    n1 = sum(known.values())
+    n0 = len(known) - n1
+    use = set()
+    for s in set().union(*plain.values()):
+        c1 = sum(s in plain[i] for i, y in known.items() if y)
+        c0 = sum(s in plain[i] for i, y in known.items() if not y)
+        r = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
+        if abs(r) >= toxicity.LEAST_RATIO and c1 + c0 >= toxicity.LEAST_DOCS:
+            use.add(s)
+    assert set(np.flatnonzero(model.table).tolist()) <= use and len(use) < toxicity.MOST_SLOTS
+    out = {r["doc_id"]: r["score"] for r in toxicity.op8(spark, docs, labels).collect()}
+    for i, slots in plain.items():
+        z = sum(float(model.table[s]) for s in slots) + model.bias
+        assert out[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickmetrics.constants import DIRECT_SEARCH
-from clickmetrics.functions.compat import round_half_away
+from clickmetrics.functions.compat import round_half_away, week_start
+from clickmetrics.operators.distinct import count_bitmaps, distinct_counts, id_bitmaps, merge_bitmaps
+from clickmetrics.sources.sink import materialize
 
 SESSION = "website_session_id"
 
@@ -26,7 +28,7 @@ def unique_visitors(ws: DataFrame) -> DataFrame:
     """``user_rows`` is the literal ``COUNT(user_id)`` (non-NULL rows; the
     DISTINCT there applies to the one-row result), ``unique_users`` the
     distinct count the label intends."""
-    return ws.agg(F.count("user_id").alias("user_rows"), F.countDistinct("user_id").alias("unique_users"))
+    return distinct_counts(ws, "user_id", {"unique_users": None}, counts={"user_rows": F.col("user_id")}).select("user_rows", "unique_users")
 
 
 def page_views(wp: DataFrame) -> DataFrame:
@@ -45,9 +47,9 @@ def conversion_rate(o: DataFrame, ws: DataFrame) -> DataFrame:
     The two one-row aggregates are combined with a scalar subquery (each is
     evaluated once), not a join.
     """
-    sessions = ws.agg(F.countDistinct(SESSION).cast("double").alias("s"))
-    rate = F.try_divide(F.countDistinct("order_id").cast("double"), sessions.scalar()) * F.lit(100.0)
-    return o.agg(round_half_away(rate, 2).alias("conversion_rate"))
+    sessions = distinct_counts(ws, SESSION, {"s": None}).select(F.col("s").cast("double"))
+    rate = F.try_divide(F.col("orders").cast("double"), sessions.scalar()) * F.lit(100.0)
+    return distinct_counts(o, "order_id", {"orders": None}).select(round_half_away(rate, 2).alias("conversion_rate"))
 
 
 def _organic(col: str = "utm_content", label: str = DIRECT_SEARCH):
@@ -61,7 +63,7 @@ def organic_sessions(ws: DataFrame, label: str = DIRECT_SEARCH) -> DataFrame:
 
 def organic_users(ws: DataFrame, label: str = DIRECT_SEARCH) -> DataFrame:
     """Distinct users of organic sessions."""
-    return ws.filter(_organic(label=label)).agg(F.countDistinct("user_id").alias("organic_users"))
+    return distinct_counts(ws.filter(_organic(label=label)), "user_id", {"organic_users": None})
 
 
 def _sessions_with_hits(wp: DataFrame, ws: DataFrame, *cols: str) -> DataFrame:
@@ -73,8 +75,7 @@ def _sessions_with_hits(wp: DataFrame, ws: DataFrame, *cols: str) -> DataFrame:
 def organic_reach(wp: DataFrame, ws: DataFrame, label: str = DIRECT_SEARCH) -> DataFrame:
     """Distinct users and sessions of organic hits in the derived table."""
     per_session = _sessions_with_hits(wp, ws, "user_id", "utm_content").filter(_organic(label=label))
-    return per_session.agg(F.countDistinct("user_id").alias("organic_users"),
-                           F.count(SESSION).alias("organic_sessions"))
+    return distinct_counts(per_session, "user_id", {"organic_users": None}, counts={"organic_sessions": F.col(SESSION)})
 
 
 def organic_by_device(wp: DataFrame, ws: DataFrame, top: int | None = None, label: str = DIRECT_SEARCH) -> DataFrame:
@@ -106,3 +107,34 @@ def paid_pages(wp: DataFrame, ws: DataFrame, label: str = DIRECT_SEARCH) -> Data
     paid = ws.filter(F.col("utm_content") != F.lit(label)).select(SESSION)
     pairs = wp.select(SESSION, "pageview_url").distinct().join(paid, SESSION, "left_semi")
     return pairs.select(F.col("pageview_url").alias("pages")).distinct()
+
+
+REACH = ("users", "organic_users", "repeat_users")
+
+
+def visitor_bitmaps(ws: DataFrame, label: str = DIRECT_SEARCH) -> DataFrame:
+    """AG-3 / AG-5: per day of visit (``visit_day``) the bitmaps of its users, its organic users and its users with
+    a repeat session, and the number of its sessions.  A table to keep: days are added by writing theirs beside it."""
+    masks = {"users": None, "organic_users": _organic(label=label), "repeat_users": F.col("is_repeat_session") == 1}
+    return id_bitmaps(ws.withColumn("visit_day", F.to_date("created_at")), "user_id", masks, ["visit_day"],
+                      {"sessions": F.col(SESSION)})
+
+
+def reach_by_period(bitmaps: DataFrame) -> DataFrame:
+    """AG-6: distinct users, organic users and repeat users of every day, every week (Sundays belong to the next
+    one) and of all days, and the sessions, from :func:`visitor_bitmaps` alone: a week's bitmap is the ``bit_or`` of
+    its days' and all days' that of the weeks'.  ``period`` is ``day``, ``week`` or ``all`` (``starts`` NULL)."""
+    masks, counts = list(REACH), ["sessions"]
+    week = F.to_date(week_start(F.col("visit_day").cast("timestamp_ntz"))).alias("visit_week")
+    weeks = merge_bitmaps(bitmaps, masks=masks, by=[week], counts=counts)
+    everything = merge_bitmaps(weeks, masks=masks, counts=counts)
+    parts = [("day", F.col("visit_day"), count_bitmaps(bitmaps, masks, ["visit_day"], counts)),
+             ("week", F.col("visit_week"), count_bitmaps(weeks, masks, ["visit_week"], counts)),
+             ("all", F.lit(None).cast("date"), count_bitmaps(everything, masks, [], counts))]
+    rows = [df.select(F.lit(name).alias("period"), starts.alias("starts"), *counts, *masks) for name, starts, df in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def visitor_reach(ws: DataFrame, label: str) -> DataFrame:
+    """:func:`reach_by_period` over daily bitmaps that are written once (as ``label``) and read for all periods."""
+    return reach_by_period(materialize(ws.sparkSession, visitor_bitmaps(ws), label))

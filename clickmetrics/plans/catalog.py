@@ -136,9 +136,16 @@ def saved_table(spark: SparkSession, sf_dir: str, database: str = "web_analytics
         spark.catalog.setCurrentDatabase(before)
 
 
+def visitor_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-3, AG-5, AG-6: distinct visitors by day, week and in all, merged from daily bitmaps in a table of its own."""
+    ws = Prepared(web_tables_for(spark, sf_dir)).ws
+    return traffic.visitor_reach(ws, f"visitor-bitmaps-{uuid.uuid4().hex}")
+
+
 # Queries that write tables of their own on the way.
 EVENT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "src3_incremental_sessions": incremental_sessions, "src4_saved_table": saved_table}
+    "src3_incremental_sessions": incremental_sessions, "src4_saved_table": saved_table,
+    "ag6_visitor_reach": visitor_reach}
 
 
 def run_on_events(name: str, events: DataFrame) -> DataFrame:

@@ -95,12 +95,12 @@ CATALOG: dict[str, Plan] = {
     "m24_bounce_by_page": lambda t: bounce.bounce_by_page(t.wp, t.ws),
     "m25_home_bounce": lambda t: bounce.page_bounce(t.wp, HOME_PAGE, HOME_LABEL),
     "m26_landing_ab_test": lambda t: bounce.page_ab_test(t.wp, t.ws),
-    "m27_weekly_trend": lambda t: bounce.weekly_page_trend(t.wp, t.ws, start=TREND_START, end=TREND_END),
+    "m27_weekly_trend": lambda t: bounce.weekly_page_trend(t.raw.hits(TREND_START, TREND_END), t.ws, start=TREND_START, end=TREND_END),
     "m28_page_scorecard": lambda t: landing.page_scorecard(t.wp, t.ws),
     "m29_billing_test": lambda t: conversion.page_order_rate(t.wp, t.o),
-    "m30_billing_test_cutoff": lambda t: conversion.page_order_rate(t.wp, t.o, before=ORDER_CUTOFF),
-    "m31_funnel": lambda t: conversion.funnel(t.wp, t.ws, FUNNEL_STEPS, start=FUNNEL_START, end=FUNNEL_END),
-    "m32_funnel_rates": lambda t: conversion.funnel(t.wp, t.ws, FUNNEL_STEPS, start=FUNNEL_START, end=FUNNEL_END,
+    "m30_billing_test_cutoff": lambda t: conversion.page_order_rate(t.raw.hits(end=ORDER_CUTOFF), t.o, before=ORDER_CUTOFF),
+    "m31_funnel": lambda t: conversion.funnel(t.raw.hits(FUNNEL_START, FUNNEL_END), t.ws, FUNNEL_STEPS, start=FUNNEL_START, end=FUNNEL_END),
+    "m32_funnel_rates": lambda t: conversion.funnel(t.raw.hits(FUNNEL_START, FUNNEL_END), t.ws, FUNNEL_STEPS, start=FUNNEL_START, end=FUNNEL_END,
                                                     rates_only=True),
     "m33_paid_pages": lambda t: traffic.paid_pages(t.wp, t.ws),
     "m34_first_session_per_user": lambda t: visitors.first_session_per_user(t.ws),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickmetrics.constants import BILLING_CUTOFF
+from clickmetrics.constants import BILLING_CUTOFF, FUNNEL_END, FUNNEL_START, TREND_END, TREND_START
 from clickmetrics.operators import bounce, conversion
 from clickmetrics.plans.catalog import CATALOG, Plan, Prepared
 from clickmetrics.sources.tables import load_web_tables
@@ -19,14 +19,14 @@ REFERENCE_ORDER_CUTOFF = BILLING_CUTOFF
 
 REFERENCE_PLANS: dict[str, Plan] = dict(CATALOG)
 REFERENCE_PLANS.update({
-    "m27_weekly_trend": lambda t: bounce.weekly_page_trend(t.wp, t.ws),
-    "m30_billing_test_cutoff": lambda t: conversion.page_order_rate(t.wp, t.o, before=REFERENCE_ORDER_CUTOFF),
-    "m31_funnel": lambda t: conversion.funnel(t.wp, t.ws),
-    "m32_funnel_rates": lambda t: conversion.funnel(t.wp, t.ws, rates_only=True),
+    "m27_weekly_trend": lambda t: bounce.weekly_page_trend(t.raw.hits(TREND_START, TREND_END), t.ws),
+    "m30_billing_test_cutoff": lambda t: conversion.page_order_rate(t.raw.hits(end=REFERENCE_ORDER_CUTOFF), t.o, before=REFERENCE_ORDER_CUTOFF),
+    "m31_funnel": lambda t: conversion.funnel(t.raw.hits(FUNNEL_START, FUNNEL_END), t.ws),
+    "m32_funnel_rates": lambda t: conversion.funnel(t.raw.hits(FUNNEL_START, FUNNEL_END), t.ws, rates_only=True),
 })
 
 
-def run_on_tables(name: str, spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
+def run_on_tables(name: str, spark: SparkSession, root: str, fmt: str = "parquet", dated: bool = False) -> DataFrame:
     """Run analysis ``name`` with reference parameters on ``root/<table>.<fmt>``
-    (``website_sessions``, ``website_pageviews``, ``orders``, ``order_items``)."""
-    return REFERENCE_PLANS[name](Prepared(load_web_tables(spark, root, fmt)))
+    (``website_sessions``, ``website_pageviews``, ``orders``, ``order_items``); ``dated`` as in :func:`load_web_tables`."""
+    return REFERENCE_PLANS[name](Prepared(load_web_tables(spark, root, fmt, dated)))

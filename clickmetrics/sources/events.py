@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from clickmetrics.operators.joins import HOT_KEY_ROWS
 from clickmetrics.operators.sessionize import gap_sessions, sessions_of
 from clickmetrics.session import checkpoint_dir, input_signature, path_exists
+from clickmetrics.sources.dated import DATE, write_by_date
 from clickmetrics.sources.tables import WebTables
 
 # Fixed adapter parameters and labels (our own test-data rules).
 SESSION_GAP_SECONDS = 12 * 3600
-ADAPTER_VERSION = 2  # part of the label of derived tables
+ADAPTER_VERSION = 3  # part of the label of derived tables
 # Parquet row-group size of the written sessionized events (see materialize_events).
 ROW_GROUP_BYTES = 16 * 1024 * 1024
 MARKER = "NULL"
@@ -87,12 +88,11 @@ def web_tables_from_sessionized(hits: DataFrame, session_rows: DataFrame | None
         F.when(m5 == 4, MARKER).otherwise(REFERER).alias("http_referer"),
     )
 
-    pageviews = hits.select(
-        F.col("event_id").alias("website_pageview_id"),
-        F.col("ts").alias("created_at"),
-        F.col("session_id").alias("website_session_id"),
-        _url(F.col("event_type"), F.col("k")).alias("pageview_url"),
-    )
+    pageview = [F.col("event_id").alias("website_pageview_id"),
+                F.col("ts").alias("created_at"),
+                F.col("session_id").alias("website_session_id"),
+                _url(F.col("event_type"), F.col("k")).alias("pageview_url")]
+    dated = hits.select(*pageview, DATE) if DATE in hits.columns else None
 
     purchases = hits.filter(F.col("event_type") == "purchase")
     orders = purchases.select(
@@ -105,7 +105,7 @@ def web_tables_from_sessionized(hits: DataFrame, session_rows: DataFrame | None
              .select((F.col("event_id") * 10 + F.col("n")).alias("order_item_id"),
                      F.col("event_id").alias("order_id"),
                      price(F.col("value")).alias("price_usd")))
-    return WebTables(sessions=sessions, pageviews=pageviews, orders=orders, order_items=items)
+    return WebTables(sessions=sessions, pageviews=hits.select(*pageview), orders=orders, order_items=items, dated_pageviews=dated)
 
 
 def web_tables_from_events(events: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> WebTables:
@@ -150,11 +150,9 @@ def materialize_events(spark: SparkSession, events: DataFrame, label: str,
     """
     root = os.path.join(checkpoint_dir(spark), "web_tables", label)
     hits_path, sess_path = os.path.join(root, "sessionized_events"), os.path.join(root, "session_rows")
-    # Each partition is sorted by time (local, no shuffle) and written in 16 MB row
-    # groups, so a ~256 MB file holds ~16 row groups that each cover a slice of its
-    # time span; a pushed-down date filter skips the row groups outside its range.
-    (sessionize_events(events, gap_seconds).sortWithinPartitions("ts")
-     .write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(hits_path))
+    # By day, in time order inside a file, in 16 MB row groups: a date range reads the folders of
+    # its days, and of an edge day the row groups inside the range.
+    write_by_date(sessionize_events(events, gap_seconds), hits_path, "ts", row_group_bytes)
     hits = spark.read.parquet(hits_path)
     sessions_of(hits, carry=("k",)).write.mode("overwrite").parquet(sess_path)
     return web_tables_from_sessionized(hits, spark.read.parquet(sess_path))

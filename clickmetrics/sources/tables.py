@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clickmetrics.sources.dated import DATE, pruned
 from clickmetrics.sources.schema import (
     ORDER_ITEMS,
     ORDERS,
@@ -30,6 +31,12 @@ class WebTables:
     order_items: DataFrame
     products: DataFrame | None = None
     order_item_refunds: DataFrame | None = None
+    # the same pageviews with event_date, where they are stored by day (sources.dated)
+    dated_pageviews: DataFrame | None = None
+
+    def hits(self, start: str | None = None, end: str | None = None) -> DataFrame:
+        """Pageviews, at least all with ``start <= created_at <= end``: only the days of the range where they are stored by day."""
+        return self.pageviews if self.dated_pageviews is None else pruned(self.dated_pageviews, start, end)
 
     def checked(self) -> "WebTables":
         return replace(
@@ -82,9 +89,11 @@ def load_database(spark: SparkSession, database: str | None = None) -> WebTables
                      order_item_refunds=optional("order_item_refunds"))
 
 
-def load_web_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> WebTables:
+def load_web_tables(spark: SparkSession, root: str, fmt: str = "parquet", dated: bool = False) -> WebTables:
     """Load ``website_sessions``, ``website_pageviews``, ``orders``, ``order_items``
-    (and, if present, ``products`` / ``order_item_refunds``) from ``root/<name>.<fmt>``."""
+    (and, if present, ``products`` / ``order_item_refunds``) from ``root/<name>.<fmt>``.
+
+    ``dated``: the pageviews were written by :func:`clickmetrics.sources.dated.write_by_date` over ``created_at``."""
     from clickmetrics.session import path_exists
 
     def path(n: str) -> str:
@@ -94,9 +103,11 @@ def load_web_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Web
         p = path(n)
         return read_table(spark, p, n, fmt) if path_exists(spark, p) else None
 
+    hits = read_table(spark, path("website_pageviews"), "website_pageviews", fmt)
     return WebTables(
         sessions=read_table(spark, path("website_sessions"), "website_sessions", fmt),
-        pageviews=read_table(spark, path("website_pageviews"), "website_pageviews", fmt),
+        pageviews=hits.drop(DATE) if dated else hits,
+        dated_pageviews=hits if dated else None,
         orders=read_table(spark, path("orders"), "orders", fmt),
         order_items=read_table(spark, path("order_items"), "order_items", fmt),
         products=optional("products"),

@@ -96,8 +96,8 @@ def test_sessionized_events_row_groups_are_time_ordered(spark):
     from conftest import SF001
 
     label = "rowgroups-" + os.path.basename(_scratch(spark))
-    t = materialize_events(spark, read_events(spark, SF001), label, row_group_bytes=32 * 1024)
-    files = glob.glob(os.path.join(checkpoint_dir(spark), "web_tables", label, "sessionized_events", "*.parquet"))
+    t = materialize_events(spark, read_events(spark, SF001), label, row_group_bytes=1024)
+    files = glob.glob(os.path.join(checkpoint_dir(spark), "web_tables", label, "sessionized_events", "event_date=*", "*.parquet"))
     groups = 0
     for f in files:
         md = pq.ParquetFile(f).metadata

@@ -17,7 +17,21 @@ from clickmetrics.sources.tables import load_web_tables
 
 REFERENCE_ORDER_CUTOFF = BILLING_CUTOFF
 
+
+
+def _browsed(name: str) -> Plan:
+    def plan(t: Prepared) -> DataFrame:
+        df = getattr(t.raw, name)
+        if df is None:
+            raise ValueError(f"there is no table {name}")
+        return df
+
+    return plan
+
+
 REFERENCE_PLANS: dict[str, Plan] = dict(CATALOG)
+# D3: the two tables that are only browsed, with whatever columns their files have.
+REFERENCE_PLANS.update({f"d3_{name}": _browsed(name) for name in ("products", "order_item_refunds")})
 REFERENCE_PLANS.update({
     "m27_weekly_trend": lambda t: bounce.weekly_page_trend(t.raw.hits(TREND_START, TREND_END), t.ws),
     "m30_billing_test_cutoff": lambda t: conversion.page_order_rate(t.raw.hits(end=REFERENCE_ORDER_CUTOFF), t.o, before=REFERENCE_ORDER_CUTOFF),

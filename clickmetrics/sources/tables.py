@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from clickmetrics.sources.dated import DATE, pruned
+from clickmetrics.sources.evolving import read_evolving
 from clickmetrics.sources.schema import (
     ORDER_ITEMS,
     ORDERS,
@@ -91,7 +92,7 @@ def load_database(spark: SparkSession, database: str | None = None) -> WebTables
 
 def load_web_tables(spark: SparkSession, root: str, fmt: str = "parquet", dated: bool = False) -> WebTables:
     """Load ``website_sessions``, ``website_pageviews``, ``orders``, ``order_items``
-    (and, if present, ``products`` / ``order_item_refunds``) from ``root/<name>.<fmt>``.
+    (and, if present, ``products`` / ``order_item_refunds``, with the schema their files have) from ``root/<name>.<fmt>``.
 
     ``dated``: the pageviews were written by :func:`clickmetrics.sources.dated.write_by_date` over ``created_at``."""
     from clickmetrics.session import path_exists
@@ -101,7 +102,9 @@ def load_web_tables(spark: SparkSession, root: str, fmt: str = "parquet", dated:
 
     def optional(n: str) -> DataFrame | None:
         p = path(n)
-        return read_table(spark, p, n, fmt) if path_exists(spark, p) else None
+        if not path_exists(spark, p):
+            return None
+        return read_evolving(spark, p) if fmt == "parquet" else read_table(spark, p, n, fmt)
 
     hits = read_table(spark, path("website_pageviews"), "website_pageviews", fmt)
     return WebTables(

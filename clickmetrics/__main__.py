@@ -32,6 +32,7 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--database", help="catalog database with those tables")
     src.add_argument("--events", help="folder with events.parquet")
     r.add_argument("--format", default="parquet", choices=["parquet", "csv"])
+    r.add_argument("--collate", action="store_true", help="with --tables or --database: ignore case and trailing blanks of text")
     r.add_argument("--out", help="write the result here as Parquet")
     r.add_argument("--show", type=int, default=20)
     r.add_argument("--master", default=None)
@@ -48,9 +49,10 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     spark = get_spark(args.master)
     if args.database:
-        df = REFERENCE_PLANS[args.name](Prepared(load_database(spark, args.database)))
+        tables = load_database(spark, args.database)
+        df = REFERENCE_PLANS[args.name](Prepared(tables.collated() if args.collate else tables))
     elif args.tables:
-        df = run_on_tables(args.name, spark, args.tables, args.format)
+        df = run_on_tables(args.name, spark, args.tables, args.format, collate=args.collate)
     else:
         df = run(args.name, spark, args.events)
     if args.out:

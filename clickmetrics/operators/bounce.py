@@ -125,14 +125,17 @@ def weekly_page_trend(wp: DataFrame, ws: DataFrame, pages: tuple[str, ...] = (HO
     """
     campaign_sessions = ws.filter((F.col("utm_campaign") == campaign) & (F.col("utm_source") == source)).select(SESSION)
     h = bit_filter(wp.filter(F.col(TS).between(ntz(start), ntz(end))), campaign_sessions, SESSION)
-    seen = F.when(F.col(URL).isin(list(pages)), F.struct(week_start(TS).alias("week_start_date"), F.col(URL)))
+    # Pages by their place in ``pages``: a set can't hold collated text.
+    page = F.coalesce(*[F.when(F.col(URL) == F.lit(p), F.lit(i)) for i, p in enumerate(pages, 1)])
+    seen = F.when(page.isNotNull(), F.struct(week_start(TS).alias("week_start_date"), page.alias("_page")))
     per_session = (h.groupBy(SESSION).agg(F.count(F.lit(1)).alias("_page_count"), F.collect_set(seen).alias("_seen"))
                    .join(campaign_sessions, SESSION, "left_semi"))
     per = per_session.select(SESSION, "_page_count", F.inline("_seen"))
-    out = per.groupBy("week_start_date", URL).agg(
+    out = per.groupBy("week_start_date", "_page").agg(
         F.count(SESSION).alias("total_sessions"),
         F.count(F.when(F.col("_page_count") == 1, F.col(SESSION))).alias("bounced_sessions"),
     )
-    return (out.select("week_start_date", F.col(URL).alias("entry_page"), "total_sessions", "bounced_sessions",
+    name = F.element_at(F.array(*[F.lit(p) for p in pages]), F.col("_page"))
+    return (out.select("week_start_date", name.alias("entry_page"), "total_sessions", "bounced_sessions",
                        pct_scaled_first(F.col("bounced_sessions"), F.col("total_sessions")).alias("bounce_rate"))
             .orderBy("week_start_date", "entry_page"))

@@ -40,7 +40,9 @@ REFERENCE_PLANS.update({
 })
 
 
-def run_on_tables(name: str, spark: SparkSession, root: str, fmt: str = "parquet", dated: bool = False) -> DataFrame:
+def run_on_tables(name: str, spark: SparkSession, root: str, fmt: str = "parquet", dated: bool = False, collate: bool = False) -> DataFrame:
     """Run analysis ``name`` with reference parameters on ``root/<table>.<fmt>``
-    (``website_sessions``, ``website_pageviews``, ``orders``, ``order_items``); ``dated`` as in :func:`load_web_tables`."""
-    return REFERENCE_PLANS[name](Prepared(load_web_tables(spark, root, fmt, dated)))
+    (``website_sessions``, ``website_pageviews``, ``orders``, ``order_items``); ``dated`` as in :func:`load_web_tables`,
+    ``collate``: text compares as on the reference's server (:meth:`WebTables.collated`)."""
+    tables = load_web_tables(spark, root, fmt, dated)
+    return REFERENCE_PLANS[name](Prepared(tables.collated() if collate else tables))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clickmetrics.sources.dated import DATE, pruned
 from clickmetrics.sources.evolving import read_evolving
@@ -18,6 +19,15 @@ from clickmetrics.sources.schema import (
 )
 
 
+# Case by Unicode lower case, accents kept apart, trailing blanks ignored.
+SERVER_COLLATION = "UTF8_LCASE_RTRIM"
+
+
+def _collated(df: DataFrame, collation: str) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`").cast(f"string collate {collation}").alias(c) if kind == "string" else F.col(f"`{c}`")
+                       for c, kind in df.dtypes])
+
+
 @dataclass(frozen=True)
 class WebTables:
     """Sessions, pageviews, orders and order items (plus the two browse-only tables).
@@ -39,6 +49,14 @@ class WebTables:
         """Pageviews, at least all with ``start <= created_at <= end``: only the days of the range where they are stored by day."""
         return self.pageviews if self.dated_pageviews is None else pruned(self.dated_pageviews, start, end)
 
+    def collated(self, collation: str = SERVER_COLLATION) -> "WebTables":
+        """The same tables whose text compares, groups and joins under ``collation`` (FL-1, FL-2), by default without regard
+        to case and trailing blanks, as the reference's server does.  Values keep their spelling; a group shows
+        the spelling of one of its rows.  Predicates on such columns aren't pushed into the scan (their statistics are
+        binary); those on time and ids are, and their columns are pruned as before."""
+        tables = {f.name: getattr(self, f.name) for f in fields(self)}
+        return WebTables(**{name: df if df is None else _collated(df, collation) for name, df in tables.items()})
+
     def checked(self) -> "WebTables":
         return replace(
             self,

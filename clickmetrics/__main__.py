@@ -16,7 +16,7 @@ import argparse
 import sys
 
 from clickmetrics.plans.catalog import CATALOG, Prepared, run
-from clickmetrics.plans.reference import REFERENCE_PLANS, run_on_tables
+from clickmetrics.plans.reference import ALL_PLANS, run_on_tables
 from clickmetrics.session import get_spark
 from clickmetrics.sources.tables import load_database
 
@@ -39,18 +39,18 @@ def main(argv: list[str] | None = None) -> int:
     args = ap.parse_args(argv)
 
     if args.cmd == "list":
-        for name in REFERENCE_PLANS:
+        for name in ALL_PLANS:
             print(name)
         return 0
 
-    known = CATALOG if args.events else REFERENCE_PLANS
+    known = CATALOG if args.events else ALL_PLANS
     if args.name not in known:
         print(f"unknown analysis {args.name!r}; see `python -m clickmetrics list`", file=sys.stderr)
         return 2
     spark = get_spark(args.master)
     if args.database:
         tables = load_database(spark, args.database)
-        df = REFERENCE_PLANS[args.name](Prepared(tables.collated() if args.collate else tables))
+        df = ALL_PLANS[args.name](Prepared(tables.collated() if args.collate else tables))
     elif args.tables:
         df = run_on_tables(args.name, spark, args.tables, args.format, collate=args.collate)
     else:

@@ -30,8 +30,6 @@ def _browsed(name: str) -> Plan:
 
 
 REFERENCE_PLANS: dict[str, Plan] = dict(CATALOG)
-# D3: the two tables that are only browsed, with whatever columns their files have.
-REFERENCE_PLANS.update({f"d3_{name}": _browsed(name) for name in ("products", "order_item_refunds")})
 REFERENCE_PLANS.update({
     "m27_weekly_trend": lambda t: bounce.weekly_page_trend(t.raw.hits(TREND_START, TREND_END), t.ws),
     "m30_billing_test_cutoff": lambda t: conversion.page_order_rate(t.raw.hits(end=REFERENCE_ORDER_CUTOFF), t.o, before=REFERENCE_ORDER_CUTOFF),
@@ -39,10 +37,14 @@ REFERENCE_PLANS.update({
     "m32_funnel_rates": lambda t: conversion.funnel(t.raw.hits(FUNNEL_START, FUNNEL_END), t.ws, rates_only=True),
 })
 
+# D3: the two tables that are only browsed, with whatever columns their files have, where there are such tables.
+BROWSE_PLANS: dict[str, Plan] = {f"d3_{name}": _browsed(name) for name in ("products", "order_item_refunds")}
+ALL_PLANS: dict[str, Plan] = REFERENCE_PLANS | BROWSE_PLANS
+
 
 def run_on_tables(name: str, spark: SparkSession, root: str, fmt: str = "parquet", dated: bool = False, collate: bool = False) -> DataFrame:
     """Run analysis ``name`` with reference parameters on ``root/<table>.<fmt>``
     (``website_sessions``, ``website_pageviews``, ``orders``, ``order_items``); ``dated`` as in :func:`load_web_tables`,
     ``collate``: text compares as on the reference's server (:meth:`WebTables.collated`)."""
     tables = load_web_tables(spark, root, fmt, dated)
-    return REFERENCE_PLANS[name](Prepared(tables.collated() if collate else tables))
+    return ALL_PLANS[name](Prepared(tables.collated() if collate else tables))

@@ -34,9 +34,21 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def stripped(line: Column) -> Column:
+    """White space stripped at both ends.
+
+    ``btrim`` fills arrays as long as the line, so only lines with white space at an end go through it."""
+    edge = F.substring(line, 1, 1).isin(*SPACES) | F.substring(line, -1, 1).isin(*SPACES)
+    return F.when(edge, F.btrim(line, F.lit(SPACES))).otherwise(line)
+
+
 def line_key(line: Column) -> Column:
-    """White space stripped at both ends, A-Z lower-cased."""
-    return ascii_lower(F.btrim(line, F.lit(SPACES)))
+    """White space stripped at both ends, A-Z lower-cased.
+
+    ``translate`` makes an object of every character, so only lines with characters beyond ASCII
+    go through it; of the others ``lower`` changes A-Z alone."""
+    bare = stripped(line)
+    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(ascii_lower(bare))
 
 
 def text_hash(text: Column) -> Column:
@@ -52,16 +64,17 @@ def keep_bitmaps(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS,
     """
     lines = (docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"),
                          F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-             .withColumn("key", line_key(F.col("line")))
-             .filter(F.char_length("key") >= min_chars)
-             .select("doc_id", "text_hash", "pos", F.unhex(F.md5("key")).alias("h")))
+             # The key is as long as the stripped line; asked of the key, each key would be made twice.
+             .filter(F.char_length(stripped(F.col("line"))) >= min_chars)
+             .select("doc_id", "text_hash", "pos", F.unhex(F.md5(line_key(F.col("line")))).alias("h")))
     lines = written(spark, lines, "lines")
     stream = lines.repartitionByRange("h", "doc_id").sortWithinPartitions("h", "doc_id", "text_hash", "pos")
     in_doc = Window.partitionBy("h", "doc_id").orderBy("text_hash", "pos")
     firsts = stream.withColumn("nth", F.row_number().over(in_doc)).filter("nth = 1")
     frequent = firsts.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h")
-    # Written, so that the join below is between two plain shuffles, whose skew Spark can split.
-    frequent = written(spark, frequent, "frequent-lines")
+    # Written, so that the join below is between two plain shuffles, whose skew Spark can split.  These are few
+    # rows of many shuffle partitions: one file for each core, not for each partition.
+    frequent = written(spark, frequent.repartition(spark.sparkContext.defaultParallelism), "frequent-lines")
     words = (lines.join(frequent, "h", "left_semi")
              .groupBy("doc_id", "text_hash", F.expr("cast(pos div 64 as int)").alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits")))
@@ -74,7 +87,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, m
                n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
     """``docs`` with the dropped lines cut from ``text`` (a null text stays null); the named count
     columns are added where asked for."""
-    h, drops, number, words = (fresh(docs, f"line_dedup_{x}") for x in ("hash", "dropped", "n", "words"))
+    h, drops, number = (fresh(docs, f"line_dedup_{x}") for x in ("hash", "dropped", "n"))
     own = fresh(docs, "line_dedup_id")
     marks = keep_bitmaps(spark, docs, min_docs, min_chars).select(
         F.col("doc_id").alias(own), F.col("text_hash").alias(h), F.col("n_dropped").alias(number),
@@ -82,11 +95,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, m
     joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks[own]) & (text_hash(docs["text"]) == marks[h]), "left")
     lines = lines_of(F.col("text"))
     # The bitmap as a dense array of words, so that each line is one array access.
-    joined = joined.withColumn(words, F.when(F.col(drops).isNotNull(), F.transform(
-        F.sequence(F.lit(0), F.expr("cast((size(split(text, '\\n')) - 1) div 64 as int)")),
-        lambda w: F.coalesce(F.try_element_at(F.col(drops), w), F.lit(0).cast("long")))))
-    kept = F.array_join(F.filter(lines, lambda _, i: F.get(F.col(words), F.floor(i / 64).cast("int")).bitwiseAND(
-        F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)) == 0), "\n")
+    dense = F.transform(F.sequence(F.lit(0), F.expr("cast((size(split(text, '\\n')) - 1) div 64 as int)")),
+                        lambda w: F.coalesce(F.try_element_at(F.col(drops), w), F.lit(0).cast("long")))
+    # Bound by an outer lambda: as a column, Spark would inline the array and make it anew for every line.
+    kept = F.transform(F.array(dense), lambda words: F.array_join(F.filter(
+        lines, lambda _, i: F.get(words, F.floor(i / 64).cast("int")).bitwiseAND(
+            F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)) == 0), "\n"))[0]
     out = {c: F.col(c) for c in docs.columns}
     out["text"] = F.when(F.col(drops).isNull(), F.col("text")).otherwise(kept)
     cols = [v.alias(c) for c, v in out.items()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -52,6 +53,66 @@ def test_line_dedup_keeps_columns(spark, docs):
     assert out.columns == wide.columns and out.count() == wide.count()
 
 
+def test_line_dedup_lowers_ascii_only(spark):
+    """Lines beyond ASCII keep their own letters: only A-Z is lowered in a key."""
+    lines = ["\u00c9tude A", "\u00e9tude a", "\u212aELVIN", "kelvin", "\u0130", "i", "PLAIN", "plain", "\x0b Plain\t", "\U0001f600 X"]
+    text = {d: "\n".join(lines[j] for j in range(len(lines)) if (d + j) % 2 or j > 6) for d in range(12)}
+    seen = {}
+    for d, t in text.items():
+        for line in t.split("\n"):
+            seen.setdefault(line.strip(SPACE).translate(LOWER), set()).add(d)
+    want = {d: "\n".join(x for x in t.split("\n") if len(seen[x.strip(SPACE).translate(LOWER)]) < 10) for d, t in text.items()}
+    out = linededup.drop_lines(spark, spark.createDataFrame(list(text.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+    assert any("tude" in t for t in want.values()) and not any("plain" in t.lower() for t in want.values())
+
+
+def test_line_dedup_strips(spark):
+    """Every white space of the contract goes at either end, no other character does."""
+    pads = ["", *SPACE.replace("\n", ""), "\r\t ", "\u00a0", "\x1f", "\x08", "\x0e"]
+    text = {d: "\n".join(p + c + q for p in pads for q in pads for c in ("", "x", f"own {d}")) for d in range(10)}
+    want = {d: "\n".join(x for x in t.split("\n") if not (k := x.strip(SPACE)) or "own" in k) for d, t in text.items()}
+    out = linededup.drop_lines(spark, spark.createDataFrame(list(text.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+
+
+def test_line_dedup_few_files(spark, monkeypatch):
+    """The frequent hashes are few rows; they aren't written as one file for each shuffle partition."""
+    files, put = {}, linededup.written
+    def counted(spark, df, name):
+        out = put(spark, df, name)
+        files[name] = len(out.inputFiles())
+        return out
+    monkeypatch.setattr(linededup, "written", counted)
+    many = spark.createDataFrame([(d, "\n".join(f"line {i}" for i in range(300))) for d in range(10)], "doc_id long, text string")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "60"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        marks = linededup.keep_bitmaps(spark, many).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [r["n_dropped"] for r in marks] == [300] * 10
+    assert files["frequent-lines"] <= spark.sparkContext.defaultParallelism < 60
+
+
+def test_line_dedup_many_lines(spark):
+    """A text of many lines is split a few times, not once for each of its lines."""
+    n = 20_000
+    long = "\n".join("shared" if i % 7 == 3 else f"own line {i}" for i in range(n))
+    docs = spark.createDataFrame([(0, long)] + [(d, "shared") for d in range(1, 11)], "doc_id long, text string")
+    linededup.op2(spark, docs.filter("doc_id > 0")).collect()
+    began = time.monotonic()
+    found = {r["doc_id"]: r for r in linededup.op2(spark, docs).collect()}
+    took = time.monotonic() - began
+    kept = [x for x in long.split("\n") if x != "shared"]
+    assert (found[0]["n_lines"], found[0]["n_dropped"]) == (n, n - len(kept))
+    assert found[0]["kept_sha256"] == sha("\n".join(kept))
+    assert took < 15, took
+
+
 def test_mix(spark, docs, rows):
     size, per = Counter(), Counter()
     for _, t, _, s, _ in rows:
